@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Word separators of the word definition used by most operators: space and \t..\r.
@@ -62,3 +63,10 @@ class Cache:
         if len(self.map) >= self.lasting:
             self.recent.append(k)
         self.map[k] = v
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
+    """A table of driver-made rows with known size, so that Spark broadcasts it only if it is small."""
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    table = pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    return spark.createDataFrame(table)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import bpe, license_scan, mixing, sharding, simhash, tiff, token_files, toxicity
 from .common import documents
 
 
@@ -12,7 +12,45 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_simhash": op1_simhash}
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "license_words"]
+    return license_scan.scan(documents(spark, sf_dir)).select(*columns)
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(documents(spark, sf_dir))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(documents(spark, sf_dir), ids=False)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(documents(spark, sf_dir))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predictions(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(documents(spark, sf_dir))
+
+
+def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.digest(documents(spark, sf_dir))
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_license_scan": op2_license_scan,
+    "op5_token_files": op5_token_files,
+    "op6_bpe": op6_bpe,
+    "op7_mixing": op7_mixing,
+    "op8_toxicity": op8_toxicity,
+    "op9_sharding": op9_sharding,
+    "op10_tiff": op10_tiff,
+}
 
 #: Queries that SQL can express; the others have brute-force tests in tests/llm.
 ORACLE_SQL: dict[str, str] = {}
