@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, license_scan, mixing, sharding, simhash, tiff, token_files, toxicity
+from . import bpe, license_scan, mixing, quality, sharding, simhash, tiff, token_files, toxicity
 from .common import documents
 
 
@@ -17,6 +17,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir)).select(*columns)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(documents(spark, sf_dir))
 
@@ -44,6 +48,7 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_license_scan": op2_license_scan,
+    "op3_quality": op3_quality,
     "op5_token_files": op5_token_files,
     "op6_bpe": op6_bpe,
     "op7_mixing": op7_mixing,
