@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, license_scan, mixing, quality, sharding, simhash, tiff, token_files, toxicity
+from . import bpe, license_scan, mixing, quality, secret_scan, sharding, simhash, tiff, token_files, toxicity
 from .common import documents
 
 
@@ -21,6 +21,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(documents(spark, sf_dir))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(documents(spark, sf_dir))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_license_scan": op2_license_scan,
     "op3_quality": op3_quality,
+    "op4_secret_scan": op4_secret_scan,
     "op5_token_files": op5_token_files,
     "op6_bpe": op6_bpe,
     "op7_mixing": op7_mixing,
