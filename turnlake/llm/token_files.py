@@ -7,8 +7,8 @@ into memory. Shards come from a range partition on the document id; a shard's ba
 shards before it) is the prefix sum of shard sizes, one number a shard.
 
 Texts are cut where a single space stands between two non-space characters: the tokenizer's own
-pattern always starts a new piece there, so the pieces' ids, from the tokenizers library and kept in
-a bounded cache, concatenate to those of the whole text.
+pattern always starts a new word there. A piece is cut into the pattern's words, whose ids the
+tokenizers library's model gives; both stay in bounded caches and concatenate to those of the text.
 
 Edge cases: a null text counts as empty and yields the end id alone; equal or null document ids stay
 apart, in the order (id nulls first, hash of the text); an empty table makes no shard and an empty
@@ -21,11 +21,13 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,11 @@ from .common import Cache, local_path, shared_dir
 END_ID = 0
 _ODD = re.compile(r"\s\s|^\s|\s$")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_PATTERN = regex.compile(public_tokenizers.PATTERN)
+#: The letters that byte-level vocabularies write bytes with: printable Latin-1 stands for itself, the
+#: rest take the code points from 256 on in order.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _encoders: dict[str, Encoder] = {}
 
 
@@ -47,23 +54,40 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype(kind or ("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"))
-        self.cache = Cache()
+        self.code = {2: "H", 4: "I"}[self.kind.itemsize]
+        self.pieces, self.words = Cache(300_000, 200_000), Cache(200_000, 100_000)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one match of the tokenizer's pattern."""
+        ids = self.words.map.get(word)
+        if ids is None:
+            tokens = self.tokenizer.model.tokenize(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(_BYTE_LETTERS))
+            ids = array(self.code, [t.id for t in tokens]).tobytes()
+            self.words.room(1)
+            self.words.add(word, ids)
+        return ids
+
+    def _split(self, piece: str) -> bytes:
+        return b"".join(map(self._word, _PATTERN.findall(piece)))
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         pieces = _CUT.split(text) if _ODD.search(text) else text.split(" ")
-        first, rest = pieces[0], pieces[1:]
-        known = self.cache.map
-        missing = [p for p in dict.fromkeys(rest) if p not in known]
+        known = self.pieces.map
+        missing = [p for p in dict.fromkeys(pieces[1:]) if p not in known]
         if missing:
-            self.cache.room(len(missing))
-            known = self.cache.map
-            missing = [p for p in dict.fromkeys(rest) if p not in known]
-            for p, e in zip(missing, self.tokenizer.encode_batch_fast([" " + p for p in missing], add_special_tokens=False), strict=True):
-                self.cache.add(p, np.array(e.ids, self.kind).tobytes())
-        head = np.array(self.tokenizer.encode(first, add_special_tokens=False).ids, self.kind).tobytes()
-        return head + b"".join(map(known.__getitem__, rest))
+            self.pieces.room(len(missing))
+            for p in missing:
+                self.pieces.add(p, self._split(" " + p))
+        out = [self._split(pieces[0])]
+        for p in pieces[1:]:
+            ids = known.get(p)
+            if ids is None:  # dropped just now to make room
+                ids = self._split(" " + p)
+                self.pieces.add(p, ids)
+            out.append(ids)
+        return b"".join(out)
 
 
 def encoder(path: str) -> Encoder:

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -303,18 +304,13 @@ def predictions(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
 def reject(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The input's rows and columns without those that score THRESHOLD or more."""
+    key = hash((tuple(model.terms.items()), tuple(model.stems.items()), model.weights))
 
-    def run(texts: Iterator) -> Iterator:
+    @F.pandas_udf("boolean")
+    def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         if _loaded[0] != key:
             _loaded[:] = [key, model.lexicon()]
         for series in texts:
-            yield series.map(lambda t: model.score(t or "", _loaded[1]) < THRESHOLD).astype(bool)
-
-    from collections.abc import Iterator as It
+            yield pd.Series([model.score(t or "", _loaded[1]) < THRESHOLD for t in series], dtype=bool)
 
-    import pandas as pd
-
-    key = hash((tuple(model.terms.items()), tuple(model.stems.items()), model.weights))
-    run.__annotations__ = {"texts": It[pd.Series], "return": It[pd.Series]}
-    clean = F.pandas_udf(run, "boolean")
     return docs.where(clean(F.col(text_col)))
