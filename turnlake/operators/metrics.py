@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnlake.operators import intervals as I
 
@@ -63,14 +64,14 @@ def back_trace(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:
     return s, d, k
 
 
-@F.pandas_udf("substitutions int, deletions int, insertions int")
+@F.pandas_udf(T.StructType([T.StructField(n, T.IntegerType()) for n in ("substitutions", "deletions", "insertions")]))
 def word_errors(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for ref, hyp in pairs:
         rows = [back_trace(list(r) if r is not None else [], list(h) if h is not None else []) for r, h in zip(ref, hyp, strict=True)]
         yield pd.DataFrame(rows, columns=["substitutions", "deletions", "insertions"])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def compression_ratio(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """UTF-8 bytes over deflated bytes; 0 for an empty text."""
     import zlib
