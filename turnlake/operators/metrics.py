@@ -6,11 +6,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnlake.operators import intervals as I
+from turnlake.operators.joins import range_join, right_side
 
 
 def edit_distance(a: str, b: str) -> Column:
@@ -103,13 +104,11 @@ def der(ref: DataFrame, hyp: DataFrame, keys: tuple[str, ...] = ("file_id",), ma
     h = hyp if not mapping else hyp.replace(mapping, subset=["speaker"])
     sides = [I.by_speaker(ref, keys).withColumn("side", F.lit(0)), I.by_speaker(h, keys).withColumn("side", F.lit(1))]
     both = sides[0].unionByName(sides[1])
-    from pyspark.sql import Window
-
     cuts = both.select(*keys, F.explode(F.array("start_us", "end_us")).alias("t0")).distinct()
     cuts = cuts.withColumn("t1", F.lead("t0").over(Window.partitionBy(*keys).orderBy("t0"))).where("t1 is not null")
-    # Active speakers of each elementary interval, from the cut points inside each segment.
-    spans = cuts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("t0", "t1"))).alias("cuts"))
-    held = both.join(spans, list(keys)).select(*keys, "speaker", "side", F.explode(F.filter("cuts", lambda c: (c["t0"] >= F.col("start_us")) & (c["t1"] <= F.col("end_us")))).alias("c"))
+    # Active speakers of each elementary interval: bounds are cut points, so overlap means cover.
+    pieces = cuts.select(*keys, F.col("t0").alias("r_start_us"), F.col("t1").alias("r_end_us"))
+    held = range_join(both, pieces, list(keys)).withColumn("c", F.struct(F.col("r_start_us").alias("t0"), F.col("r_end_us").alias("t1")))
     one = held.groupBy(*keys, "c", "speaker").agg(F.max(F.when(F.col("side") == 0, 1).otherwise(0)).alias("r"), F.max(F.when(F.col("side") == 1, 1).otherwise(0)).alias("h"))
     counts = one.groupBy(*keys, "c").agg(F.sum("r").alias("nr"), F.sum("h").alias("nh"), F.sum(F.col("r") * F.col("h")).alias("nc")).withColumn("d", F.col("c.t1") - F.col("c.t0"))
     zero = F.lit(0).cast("long")
@@ -129,8 +128,6 @@ def der(ref: DataFrame, hyp: DataFrame, keys: tuple[str, ...] = ("file_id",), ma
 def speaker_mapping(ref: DataFrame, hyp: DataFrame, keys: list[str]) -> DataFrame:
     """One-to-one mapping of hypothesis to reference speakers with the most shared time, per recording
     (exact, by dynamic programming over sets of reference speakers; fit for up to some 15 of them)."""
-    from turnlake.operators.joins import range_join, right_side
-
     pairs = range_join(hyp, right_side(ref, keys), keys).withColumn("ov", F.expr("least(end_us, r_end_us) - greatest(start_us, r_start_us)"))
     shared = pairs.groupBy(*keys, "speaker", "r_speaker").agg(F.sum("ov").alias("shared_us"))
     schema = ", ".join(f"{k} {ref.schema[k].dataType.simpleString()}" for k in keys) + ", speaker string, r_speaker string, shared_us long"

@@ -1 +1,100 @@
+"""Queries of alignment, diarization and vector metrics."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from turnlake.operators import metrics as M
+from turnlake.plans.joins import MATCHES, assigned
+from turnlake.plans.views import HYP, HYP_LINES, hyp, islands_sql, read, segments, sql
+from turnlake.registry import query
+
+DP = """CASE WHEN len({a}) = 0 THEN len({b}) WHEN len({b}) = 0 THEN len({a}) ELSE list_reduce(list_concat([generate_series(0, len({b}))], list_transform({a}, lambda x: [CASE WHEN x = y THEN 0 ELSE 1 END for y in {b}])),
+ lambda prev, row: list_reduce(list_concat([[prev[1] + 1]], list_transform(generate_series(1, len(row)), lambda j: [prev[j + 1] + 1, prev[j] + row[j]])), lambda cur, c: list_append(cur, LEAST(c[1], c[2], cur[len(cur)] + 1))))[-1] END"""
+
+
+@query("met_edit_distance", sql(HYP_LINES, MATCHES, select=f"SELECT hyp_id, CAST({DP.format(a='ref_words', b='words')} AS INTEGER) AS edits, CAST(len(ref_words) AS INTEGER) AS n_words FROM assigned"))
+def met_edit_distance(spark, d):
+    return assigned(spark, d).select("hyp_id", M.edit_distance("ref_words", "words").alias("edits"), F.size("ref_words").alias("n_words"))
+
+
+@query("met_wer_groups", sql(HYP_LINES, MATCHES, f"e AS (SELECT file_id, speaker, {DP.format(a='ref_words', b='words')} AS edits, len(ref_words) AS n FROM assigned)", select="SELECT speaker, CAST(SUM(edits) AS BIGINT) AS edits, CAST(SUM(n) AS BIGINT) AS n_words, CAST(SUM(edits) AS DOUBLE) / GREATEST(SUM(n), 1) AS wer FROM e GROUP BY speaker"))
+def met_wer_groups(spark, d):
+    scored = assigned(spark, d).select("speaker", M.edit_distance("ref_words", "words").alias("edits"), F.size("ref_words").alias("n_words"))
+    sums = scored.groupBy("speaker").agg(F.sum("edits").alias("edits"), F.sum("n_words").alias("n_words"))
+    return sums.withColumn("wer", F.col("edits") / F.greatest(F.col("n_words"), F.lit(1)))
+
+
+@query("met_word_errors")
+def met_word_errors(spark, d):
+    e = assigned(spark, d).withColumn("e", M.word_errors("ref_words", "words"))
+    return e.select("hyp_id", "e.substitutions", "e.deletions", "e.insertions")
+
+
+LCS = """CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0 ELSE list_reduce(list_concat([list_transform(generate_series(0, len({b})), lambda z: 0)], list_transform({a}, lambda x: [CASE WHEN x = y THEN 1 ELSE 0 END for y in {b}])),
+ lambda prev, row: list_reduce(list_concat([[0]], list_transform(generate_series(1, len(row)), lambda j: [prev[j + 1], prev[j], row[j]])), lambda cur, c: list_append(cur, CASE WHEN c[3] = 1 THEN c[2] + 1 ELSE GREATEST(c[1], cur[len(cur)]) END)))[-1] END"""
+
+
+@query("met_rouge_l", sql(HYP_LINES, MATCHES, f"r AS (SELECT hyp_id, len(ref_words) AS n, len(words) AS m, {LCS.format(a='ref_words', b='words')} AS l FROM assigned)", select="SELECT hyp_id, CASE WHEN n = 0 OR m = 0 OR l = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * l / (n + m) END AS rouge_l FROM r"))
+def met_rouge_l(spark, d):
+    return assigned(spark, d).select("hyp_id", M.rouge_l("ref_words", "words").alias("rouge_l"))
+
+
+@query("met_token_similarity", sql(HYP_LINES, MATCHES, select="SELECT hyp_id, CASE WHEN len(ref_words) = 0 OR len(words) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(list_distinct(ref_words), list_distinct(words)))::DOUBLE / GREATEST(len(list_distinct(ref_words)), len(list_distinct(words))) END AS sim FROM assigned"))
+def met_token_similarity(spark, d):
+    return assigned(spark, d).select("hyp_id", M.token_similarity("ref_words", "words").alias("sim"))
+
+
+@query("met_repeats_or_rushes", sql(HYP_LINES, select="SELECT hyp_id, len(words) > 8 * ((end_us - start_us) / 2400000.0) OR (len(words) >= 8 AND words[1:len(words) // 2] = words[len(words) // 2 + 1:len(words) // 2 * 2]) AS flagged FROM hypl"))
+def met_repeats_or_rushes(spark, d):
+    from turnlake.plans.views import hyp_lines
+
+    return hyp_lines(spark, d).select("hyp_id", M.repeats_or_rushes("words", (F.col("end_us") - F.col("start_us")) / 2_400_000.0).alias("flagged"))
+
+
+@query("met_compression_ratio")
+def met_compression_ratio(spark, d):
+    return read(spark, d, "documents").select("doc_id", (M.compression_ratio("text") > 2.4).alias("repetitive"))
+
+
+DER = [
+    islands_sql("segments", "file_id, speaker", name="rs"),
+    islands_sql("hyp", "file_id, speaker", name="hs"),
+    "pts AS (SELECT file_id, start_us AS t FROM rs UNION SELECT file_id, end_us FROM rs UNION SELECT file_id, start_us FROM hs UNION SELECT file_id, end_us FROM hs), iv AS (SELECT * FROM (SELECT file_id, t AS t0, LEAD(t) OVER (PARTITION BY file_id ORDER BY t) AS t1 FROM pts) WHERE t1 IS NOT NULL)",
+    """act AS (SELECT i.file_id, t0, t1, speaker, MAX(r) AS r, MAX(h) AS h FROM (SELECT i.file_id, t0, t1, s.speaker, 1 AS r, 0 AS h FROM iv i JOIN rs s ON i.file_id = s.file_id AND s.start_us <= i.t0 AND s.end_us >= i.t1 UNION ALL
+ SELECT i.file_id, t0, t1, s.speaker, 0, 1 FROM iv i JOIN hs s ON i.file_id = s.file_id AND s.start_us <= i.t0 AND s.end_us >= i.t1) i GROUP BY ALL), c AS (SELECT file_id, t1 - t0 AS d, SUM(r) AS nr, SUM(h) AS nh, SUM(r * h) AS nc FROM act GROUP BY file_id, t0, t1)""",
+]
+
+
+@query("met_der", sql(HYP, *DER, select="""SELECT file_id, CAST(SUM(d * nr) AS BIGINT) AS ref_us, CAST(SUM(d * GREATEST(0, nr - nh)) AS BIGINT) AS miss_us, CAST(SUM(d * GREATEST(0, nh - nr)) AS BIGINT) AS fa_us, CAST(SUM(d * (LEAST(nr, nh) - nc)) AS BIGINT) AS conf_us,
+ CAST(SUM(CASE WHEN nr >= 2 AND nh >= 2 THEN d ELSE 0 END) AS BIGINT) AS ov_both_us, CAST(SUM(CASE WHEN nh >= 2 THEN d ELSE 0 END) AS BIGINT) AS ov_hyp_us, CAST(SUM(CASE WHEN nr >= 2 THEN d ELSE 0 END) AS BIGINT) AS ov_ref_us FROM c GROUP BY file_id"""))
+def met_der(spark, d):
+    return M.der(segments(spark, d), hyp(spark, d))
+
+
+@query("met_speaker_mapping")
+def met_speaker_mapping(spark, d):
+    return M.speaker_mapping(segments(spark, d), hyp(spark, d), ["file_id"])
+
+
+@query("met_speaker_rouge", "SELECT a.conv_id, COUNT(*) AS common FROM (SELECT DISTINCT conv_id, role FROM conversations WHERE turn < 2) a JOIN (SELECT DISTINCT conv_id, role FROM conversations WHERE turn >= 2) b ON a.conv_id = b.conv_id AND a.role = b.role GROUP BY a.conv_id")
+def met_speaker_rouge(spark, d):
+    c = read(spark, d, "conversations").withColumn("w", F.slice(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != ""), 1, 64))
+    first = c.where("turn < 2").groupBy("conv_id", "role").agg(F.min_by("w", "turn").alias("a"))
+    both = first.join(c.where("turn >= 2").groupBy("conv_id", "role").agg(F.min_by("w", "turn").alias("b")), ["conv_id", "role"])
+    return both.withColumn("rouge", M.rouge_l("a", "b")).where("rouge between 0 and 1").groupBy("conv_id").agg(F.count("*").alias("common"))
+
+
+@query("met_centroids", """WITH c AS (SELECT label, list(m ORDER BY i) AS centroid FROM (SELECT label, i, AVG(v::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i) GROUP BY label),
+ s AS (SELECT vec_id, c.label, list_cosine_similarity(embedding::DOUBLE[], centroid) AS cs FROM embeddings, c) SELECT vec_id, ARG_MAX(label, cs) AS assigned FROM s GROUP BY vec_id""")
+def met_centroids(spark, d):
+    e = read(spark, d, "embeddings")
+    parts = e.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
+    centroids = parts.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("centroid"))
+    return M.centroid_assignment(e, centroids).select("vec_id", "assigned")
+
+
+@query("met_snr", "SELECT vec_id, round(10 * log10(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)) / list_sum(list_transform(embedding[1:32], lambda x: x::DOUBLE * x)) / 2), 6) AS snr FROM embeddings")
+def met_snr(spark, d):
+    e = read(spark, d, "embeddings").withColumn("noise", F.slice("embedding", 1, 32))
+    return e.select("vec_id", F.round(M.snr_db("embedding", "noise"), 6).alias("snr"))
