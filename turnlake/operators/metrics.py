@@ -14,19 +14,26 @@ from turnlake.operators import intervals as I
 from turnlake.operators.joins import range_join, right_side
 
 
+def _table(a: str, b: str, first: str, cell: str, edge: str) -> str:
+    """SQL of the last row's last cell of a table over a (rows, letter x) and b (columns, from 1 to m).
+    Reads are total, since Spark may evaluate shared parts of a conditional's branches early."""
+    columns = f"sequence(1, greatest(1, size({b})))"
+    step = f"aggregate({columns}, array({edge}), (cur, j) -> array_append(cur, {cell}))"
+    return f"try_element_at(aggregate({a}, {first}, (prev, x) -> {step}), -1)"
+
+
 def edit_distance(a: str, b: str) -> Column:
     """Word edit distance of two array columns: one row of the table per step over a."""
-    row = f"transform(sequence(0, size({b})), j -> j)"
-    step = f"aggregate(sequence(1, size({b})), array(prev[0] + 1), (cur, j) -> array_append(cur, least(prev[j] + 1, cur[j - 1] + 1, prev[j - 1] + if(x = {b}[j - 1], 0, 1))))"
-    folded = f"element_at(aggregate({a}, {row}, (prev, x) -> {step}), -1)"
+    cell = f"least(get(prev, j) + 1, get(cur, j - 1) + 1, get(prev, j - 1) + if(x = get({b}, j - 1), 0, 1))"
+    folded = _table(a, b, f"sequence(0, size({b}))", cell, "get(prev, 0) + 1")
     return F.expr(f"case when size({a}) = 0 then size({b}) when size({b}) = 0 then size({a}) else {folded} end")
 
 
 def lcs_length(a: str, b: str) -> Column:
     """Length of the longest common subsequence of two array columns."""
-    row = f"transform(sequence(0, size({b})), j -> 0)"
-    step = f"aggregate(sequence(1, size({b})), array(0), (cur, j) -> array_append(cur, if(x = {b}[j - 1], prev[j - 1] + 1, greatest(prev[j], cur[j - 1]))))"
-    return F.expr(f"case when size({a}) = 0 or size({b}) = 0 then 0 else element_at(aggregate({a}, {row}, (prev, x) -> {step}), -1) end")
+    cell = f"if(x = get({b}, j - 1), get(prev, j - 1) + 1, greatest(get(prev, j), get(cur, j - 1)))"
+    folded = _table(a, b, f"array_repeat(0, size({b}) + 1)", cell, "0")
+    return F.expr(f"case when size({a}) = 0 or size({b}) = 0 then 0 else {folded} end")
 
 
 def rouge_l(a: str, b: str) -> Column:
