@@ -1,0 +1,58 @@
+"""The pipeline against the operators' own decisions on each stage's input, and its edge cases."""
+
+import hashlib
+from collections import Counter
+
+import corpus_pipeline as pipeline
+from pyspark.sql import functions as F
+
+from turnlake.llm import mixing, simhash, toxicity
+from turnlake.llm.common import documents
+from tests_llm_brute import brute_base, brute_components, brute_fingerprint, reference
+
+
+def test_stages(spark, data, tmp_path):
+    docs = documents(spark, data)
+    names = docs.columns
+    out = {"": docs}
+    current = docs
+    for k, (name, stage) in enumerate(pipeline.STAGES):
+        stage(spark, current, data).write.parquet(f"{tmp_path}/{k}")
+        previous, current = current, spark.read.parquet(f"{tmp_path}/{k}")
+        rows, before = current.collect(), previous.collect()
+        if name != "bpe":
+            assert current.columns == names
+        if name == "toxicity":
+            model = toxicity.train(docs, spark.read.parquet(f"{data}/labels.parquet"))
+            lexicon = model.lexicon()
+            assert Counter(rows) == Counter(r for r in before if model.score(r.text, lexicon) < toxicity.THRESHOLD)
+        elif name == "simhash near-dedup":
+            low = brute_components([brute_fingerprint(r.text) for r in before], [r.doc_id for r in before])
+            assert Counter(rows) == Counter(r for r, c in zip(before, low, strict=True) if r.doc_id == c)
+        elif name == "secret scan":
+            assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in before)
+            assert all(sum(brute_base(r.text)[:3]) == 0 for r in rows)
+        elif name == "mixing":
+            copies = {r.doc_id: r.copies for r in mixing.digest(previous).collect()}
+            assert Counter(r.doc_id for r in rows) == Counter({i: n for i, n in copies.items() if n})
+        else:
+            e = reference()
+            text = {r.doc_id: r.text for r in before}
+            for r in rows:
+                ids = e.encode_ordinary(text[r.doc_id])
+                assert r.n_tokens == len(ids) and r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
+            assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in before)
+
+
+def test_run(spark, data):
+    assert pipeline.run(spark, data).count() > 0
+
+
+def test_empty_and_null_rows(spark, data):
+    schema = documents(spark, data).schema
+    for rows in ([], [(None, None, None, None, None), (1, None, "en", "a", 0), (1, None, "en", "a", 0), (2, "", None, None, 0)]):
+        current = spark.createDataFrame(rows, schema).withColumn("component_id", F.lit(1))
+        for _, stage in pipeline.STAGES:
+            current = stage(spark, current, data)
+        current.collect()
+    assert simhash.fingerprint(None) == 0

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Word separators of the word definition used by most operators: space and \t..\r.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -70,3 +72,9 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> Da
     columns = list(zip(*rows, strict=True)) or [()] * len(schema)
     table = pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
     return spark.createDataFrame(table)
+
+
+def fenced(df: DataFrame) -> DataFrame:
+    """The same rows behind a node that filters are not pushed below. Catalyst inlines projections into a
+    pushed filter, and what stands inside a lambda would then be computed anew for every element."""
+    return df.observe(f"rows-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("n"))

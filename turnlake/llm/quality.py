@@ -28,6 +28,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fenced
+
 BUCKETS = 1 << 14
 TRUSTED = 20_000
 SEED = 17
@@ -114,4 +116,4 @@ def assess(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     scored = ruled.withColumn("total", F.expr("aggregate(g, 0L, (a, b) -> a + llr_table[b])"))
     llr = F.when(F.size("g") > 0, F.col("total") / (1e6 * F.size("g"))).otherwise(0.0)
     kept = ~F.col("base_failed") & (F.col("total") >= F.lit(round(THRESHOLD * 1e6)) * F.size("g").cast("long"))
-    return scored.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", llr.alias("llr"), kept.alias("kept"))
+    return fenced(scored.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", llr.alias("llr"), kept.alias("kept")))

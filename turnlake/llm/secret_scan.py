@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fenced
+
 ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
 #: What a match of ASSIGN has before its second group, and that group's least length.
 ASSIGN_HEAD = r"""^[A-Za-z_]+["']?\x20*[:=]\x20*["']?"""
@@ -35,7 +37,7 @@ HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Kinds of spans, in the order of ties.
 KINDS = ("assign", "access", "hex", "random")
-FDR = 0.01
+FDR = 0.05
 IC_TEXT, CUBE_TEXT = 0.062, 0.0055
 CHANGE_TEXT = 0.2
 SERIAL_TEXT = 0.2
@@ -124,7 +126,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = with_spans(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     listed = rows.select("id", *KINDS, F.expr(_listed(KINDS[:3])).alias("base"), F.expr(_listed(KINDS)).alias("spans"))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
-    return listed.select(F.col("id").alias(id_col), *counts, F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+    return fenced(listed.select(F.col("id").alias(id_col), *counts, F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans"))
 
 
 MASK = "[SECRET]"
@@ -140,4 +142,4 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         f" named_struct('at', x.e, 'out', concat(a.out, substring(text, a.at + 1, x.s - a.at), '{MASK}'))), a -> concat(a.out, substring(text, a.at + 1))))"
     )
     out = merged.select("row", masked.alias("masked"))
-    return out.select(*(F.col("masked").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
+    return fenced(out.select(*(F.col("masked").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns)))
