@@ -374,6 +374,12 @@ def slow_distance(a, b):
     return row[-1]
 
 
+def test_automaton_forgets_states_without_harm(monkeypatch):
+    monkeypatch.setattr(toxicity, "STATES", 3)
+    lexicon = toxicity.Lexicon({"badcab": 1.0}, {"clo": 0.5})
+    assert [lexicon.search(w) for w in ("badcab", "bdcab", "clown", "xyz", "badcba")] == [("badcab", 0, False), ("badcab", 1, False), ("clo", 0, True), None, None]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="abcdl", max_size=11))
 def test_automaton_equals_distances(word):

@@ -35,15 +35,17 @@ from pyspark.sql import functions as F
 from .common import Cache
 
 THRESHOLD = 0.3
-#: Training texts of a class at most, a documented bound.
+#: Training texts of a class at most, a documented bound; they are used whole.
 PER_CLASS = 2500
-#: Letters of the training sample's texts that are counted: all. Terms of the lexicon at most.
+#: Terms of the lexicon at most.
 TERMS = 600
 #: Training texts that a term must stand in, and its least rate against clean texts.
 SUPPORT, RATIO = 5, 6.0
 STEMS = (5, 6, 7, 8)
 FUZZY_1, FUZZY_2 = 5, 9
 WINDOW = 6
+#: Lazily built states that are kept.
+STATES = 200_000
 #: Words of saying and of address around a hit.
 SAYING = frozenset("said says say wrote writes called calls quote quoted quoting quotes word words term insult dit disait écrit appelle citation sagte sagt schrieb nannte zitat dijo dice escribió llamó cita".split())
 ADDRESS = frozenset("you your youre u yourself tu toi ton ta vous du dein deine dich ihr eres usted tú".split())
@@ -112,9 +114,6 @@ class Lexicon:
         return self.sets[key]
 
     def _next(self, at: int, c: str) -> int:
-        if len(self.members) > 200_000:  # lazily built states are only a cache
-            self.__init__(self.terms, self.stems, self.clean)
-            return self.dead
         new: dict[int, int] = {}
         for n, e in self.members[at].items():
             steps = [(n, e + 1)]  # a letter too many
@@ -127,6 +126,8 @@ class Lexicon:
 
     def search(self, word: str) -> tuple[str, int, bool] | None:
         """(term, edits, is a stem): the best whole-word match, else the longest stem."""
+        if len(self.members) > STATES:  # lazily built states are only a cache
+            self.__init__(self.terms, self.stems, self.clean)
         at, stem = self.start, None
         for c in word:
             to = self.table[at].get(c)
