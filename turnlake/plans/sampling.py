@@ -119,3 +119,46 @@ def fold_near_copies(spark, d):
 def fold_repeated_lines(spark, d):
     moved = hyp_lines(spark, d).select("file_id", F.col("hyp_id").alias("seg_id"), "start_us", "end_us", "speaker", F.array_join("words", " ").alias("text"))
     return O.per_recording(_lines(spark, d).unionByName(moved), O.drop_repeated_lines)
+
+
+@query("fold_retime")
+def fold_retime(spark, d):
+    """Slots drawn together: gaps shrink to 45 %, lengths to 80 %."""
+
+    def fold(rows):
+        moved = O.retime([(r.start, r.end, (r.end - r.start) * 8 // 10) for r in rows])
+        return [O.Seg(a, b, r.speaker, r.text) for (a, b), r in zip(moved, rows, strict=True)]
+
+    return O.per_recording(_speech(spark, d), fold)
+
+
+@query("fold_word_times")
+def fold_word_times(spark, d):
+    """Word times of turns moved into each other, relaxed; back in microseconds."""
+
+    def fold(rows):
+        seconds = [O.Seg(r.start / 1e6, r.end / 1e6, r.speaker, r.text) for r in rows]
+        return [O.Seg(round(s.start * 1e6), round(s.end * 1e6), s.speaker, s.text) for s in O.clean_word_times(seconds)]
+
+    lines = _lines(spark, d)
+    return O.per_recording(lines.withColumn("end_us", F.col("end_us") + (F.col("seg_id") % 3 - 1) * 400_000), fold)
+
+
+@query("dd_capped_use")
+def dd_capped_use(spark, d):
+    """Lines of a recording, each word of five letters and more in two lines at most."""
+
+    def fold(rows):
+        kept = set(O.capped_use([(str(k), sorted({w for w in r.text.split() if len(w) >= 5})) for k, r in enumerate(rows)]))
+        return [r for k, r in enumerate(rows) if str(k) in kept]
+
+    return O.per_recording(_lines(spark, d), fold)
+
+
+@query("src_files", "SELECT t AS file FROM (SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'benchmark']) || '.parquet' AS t)")
+def src_files(spark, d):
+    """Single-file tables of the data folder, from a listing that reads no contents."""
+    from turnlake.sources.readers import list_files
+
+    single = [f"{t}.parquet" for t in "region nation customer supplier part orders lineitem events benchmark".split()]
+    return list_files(spark, d).where(F.col("file").isin(single)).select("file")
