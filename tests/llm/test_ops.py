@@ -212,14 +212,25 @@ def test_quality_score_equals_brute_force(spark, docs, labels):
         if i in trusted:
             target.update(grams[i])
     for lo in (0, quality.BUCKETS):
-        nr = sum(v for k, v in raw.items() if lo <= k < lo + quality.BUCKETS) + 0.5 * quality.BUCKETS
-        nt = sum(v for k, v in target.items() if lo <= k < lo + quality.BUCKETS) + 0.5 * quality.BUCKETS
-        for k in range(lo, lo + quality.BUCKETS):
-            assert table[k] == round(1e6 * (math.log((target[k] + 0.5) / nt) - math.log((raw[k] + 0.5) / nr)))
+        part = range(lo, lo + quality.BUCKETS)
+        n_raw, n_target = sum(raw[k] for k in part), sum(target[k] for k in part)
+        shrunk = {k: raw[k] / n_raw * (target[k] + quality.PRIOR) / (n_target * raw[k] / n_raw + quality.PRIOR) for k in part if raw[k]}
+        whole = sum(shrunk.values())
+        for k, p in shrunk.items():
+            assert table[k] == pytest.approx(1e6 * math.log(p / whole / (raw[k] / n_raw)), abs=1)
     for i, g in grams.items():
         assert rows[i] == pytest.approx(sum(table[k] for k in g) / (1e6 * len(g)) if g else 0.0)
 
 
+def test_quality_keeps_clean_texts_of_small_corpora(spark, docs, labels):
+    """Texts without symbols, capitals or tables that no label vouches for."""
+    known = {r.doc_id for r in labels.collect()}
+    text = dict(texts(docs))
+    clean = {i for i, t in text.items() if i not in known and not re.search(r"%%%|&&&|###|\*\*\*|\$\$\$| \| |!!", t or "")}
+    got = [r for r in quality.assess(docs, labels).collect() if r.doc_id in clean and not r.base_failed]
+    assert got and all(r.kept for r in got)
+
+
 def test_quality_edges(empty, odd, labels, no_labels):
     assert quality.assess(empty, labels).count() == 0
     assert {r.llr for r in quality.assess(odd, no_labels).collect()} == {0.0}

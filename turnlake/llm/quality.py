@@ -3,7 +3,8 @@
 Rules: counts of words, symbols, repeated lines and repeated 3-word windows of each whole text.
 Model: two multinomials over hashed n-grams, one of trusted texts (the target), one of the whole raw
 corpus. The n-grams of a text are its words and its pairs of neighbouring words, each order with a
-multinomial of its own. A text's score is the mean, over its n-grams, of log p_target - log p_raw, in
+multinomial of its own; the target's is shrunk towards the raw one, so that rare n-grams and small
+samples say little. A text's score is the mean, over its n-grams, of log p_target - log p_raw, in
 whole millionths, so sums do not depend on order. A text is kept if
 the rules hold and its score is THRESHOLD or more, for every text alike.
 
@@ -33,8 +34,8 @@ from .common import fenced
 BUCKETS = 1 << 14
 TRUSTED = 20_000
 SEED = 17
-#: Added to each count.
-SMOOTH = 0.5
+#: Pseudo-count of the shrinkage: a bucket counts little until so many target n-grams are expected in it.
+PRIOR = 20.0
 #: Least mean log ratio, in nats an n-gram.
 THRESHOLD = -0.09
 MIN_WORDS = 50
@@ -102,8 +103,12 @@ def ratios(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> li
     out = []
     for lo in (0, BUCKETS):  # words and pairs are multinomials of their own
         part = slice(lo, lo + BUCKETS)
-        n_raw, n_target = sum(raw[part]) + SMOOTH * BUCKETS, sum(target[part]) + SMOOTH * BUCKETS
-        out += [round(1e6 * (math.log((t + SMOOTH) / n_target) - math.log((r + SMOOTH) / n_raw))) for r, t in zip(raw[part], target[part], strict=True)]
+        n_raw, n_target = sum(raw[part]) or 1, sum(target[part])
+        share = [r / n_raw for r in raw[part]]
+        # Counts against what the raw share lets expect, both shrunk by PRIOR: without evidence, no ratio.
+        rate = [(t + PRIOR) / (n_target * p + PRIOR) for t, p in zip(target[part], share, strict=True)]
+        whole = sum(p * x for p, x in zip(share, rate, strict=True)) or 1.0
+        out += [round(1e6 * math.log(x / whole)) for x in rate]
     return out
 
 
