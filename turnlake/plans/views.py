@@ -58,7 +58,7 @@ def ref(spark: SparkSession, d: str) -> DataFrame:
     """Turns of conversations as reference lines; 400 ms a word."""
     from pyspark.sql import Window
 
-    words = F.expr(r"slice(filter(split(lower(text), '\\s+'), x -> x <> ''), 1, 40)")
+    words = F.expr(r"filter(split(lower(text), '\\s+'), x -> x <> '')")
     turns = read(spark, d, "conversations").withColumn("words", words)
     end = F.sum(F.size("words")).over(Window.partitionBy("conv_id").orderBy("turn")) * 400_000
     lines = turns.select(F.col("conv_id").alias("file_id"), F.col("turn").alias("seg_id"), F.col("role").alias("speaker"), "text", "words", end.alias("end_us"))
