@@ -3,18 +3,21 @@
 Base spans: three patterns, leftmost and non-overlapping per kind. Places come from the pieces between
 matches: a match starts after the pieces and matches before it, counted in code points.
 
-Battery: candidates are runs of 20 or more of [A-Za-z0-9+/_=-] with a digit that no base span touches.
-The encoding is inferred from the letters used: hex (alphabet of 16), base32 (32), base64 with its URL
-form (64). Each test asks how likely the run is as ordinary text; parameters of ordinary text are fixed:
+Battery: candidates are runs of 20 or more of [A-Za-z0-9+/_=-] that no base span touches. Tested is a
+run's core: its segments between signs, joined, without 0x and without leading names such as sk- or
+sk_live_, unless fewer than CORE_LEAST letters stay or the whole is hex. A core of fewer is never random.
+The encoding is inferred from the core's letters: hex (alphabet of 16), base32 (32), base36 in one case
+(36), else base62, which is base64 without signs. Each test asks how likely the run is as ordinary text; parameters of ordinary text are fixed:
   * uniformity: chi-squared of the alphabet, as the index of coincidence it is a linear function of;
     low for random letters, near IC_TEXT for ordinary ones;
-  * runs: changes between lower case, upper case, digits and signs, but not from a capital to a small
-    letter; random letters change often;
+  * runs: changes between lower case, upper case and digits, but not from a capital to a small letter;
+    random letters change often;
   * serial correlation: of neighbouring letters' values; near 0 for random, SERIAL_TEXT for ordinary.
 Fisher's method joins the three p-values. False discoveries are controlled in each text by a weighted
 step-up rule: p / weight against FDR * rank / candidates, with a weight that grows with a run's length
 (capped at 2, mean near 1), as longer runs carry more evidence. A run must also not be too uneven to be
-random at all (index of coincidence below IC_MOST of its encoding).
+random at all: its index of coincidence is at most IC_SIGMAS standard deviations, which shrink with its
+length, above that of random letters of its encoding.
 
 Edge cases: a null text counts as empty: no spans, the hash of nothing. Ties between kinds at one start
 go in the order assign, access, hex, random. Long texts are one row's arrays, no rows are made of them.
@@ -37,12 +40,14 @@ HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Kinds of spans, in the order of ties.
 KINDS = ("assign", "access", "hex", "random")
+HEX_ONLY = "^([0-9a-f]+|[0-9A-F]+)$"
 FDR = 0.05
 IC_TEXT, CUBE_TEXT = 0.062, 0.0055
 CHANGE_TEXT = 0.2
 SERIAL_TEXT = 0.2
-#: Highest index of coincidence that still counts as random, times the alphabet's 1 / k.
-IC_MOST = 2.2
+#: Highest index of coincidence that still counts as random, in standard deviations above 1 / k.
+IC_SIGMAS = 4
+CORE_LEAST = 16
 
 
 def _spans(text: str, pattern: str) -> Column:
@@ -70,12 +75,19 @@ def _phi(z: str) -> str:
 
 
 def _klass(c: str) -> str:
-    return f"(case when {c} between 97 and 122 then 1 when {c} between 65 and 90 then 2 when {c} between 48 and 57 then 3 else 4 end)"
+    return f"(case when {c} between 97 and 122 then 1 when {c} between 65 and 90 then 2 else 3 end)"
+
+
+def _core(run: str) -> str:
+    """SQL of the letters of a run that are tested."""
+    joined = "regexp_replace(regexp_replace({m}, '{head}', ''), '[-_=/+]', '')"
+    whole, bare = joined.format(m=run, head="^0[xX]"), joined.format(m=run, head="^([A-Za-z]{1,10}[-_])*(0[xX])?")
+    return _let("whole", whole, _let("bare", bare, f"if(whole rlike '{HEX_ONLY}' or char_length(bare) < {CORE_LEAST}, whole, bare)"))
 
 
 def _battery(run: str) -> str:
     """SQL of the joint p-value of a run (a struct with field m), or 1 where it cannot be random."""
-    alphabet = "case when m rlike '^([0-9a-f]+|[0-9A-F]+)$' then 16 when m rlike '^[A-Z2-7=]+$' then 32 else 64 end"
+    alphabet = f"case when m rlike '{HEX_ONLY}' then 16 when m rlike '^[A-Z2-7]+$' then 32 when m rlike '^([0-9a-z]+|[0-9A-Z]+)$' then 36 else 62 end"
     coincidence = "aggregate(array_distinct(split(m, '')), 0D, (a, x) -> a + (n - char_length(replace(m, x, ''))) * (n - char_length(replace(m, x, '')) - 1D)) / (n * (n - 1D))"
     changes = f"aggregate(sequence(1, n - 1), 0D, (a, i) -> a + if({_klass('c[i]')} <> {_klass('c[i - 1]')} and not (c[i] between 97 and 122 and c[i - 1] between 65 and 90), 1, 0)) / (n - 1)"
     serial = "aggregate(sequence(1, n - 1), 0D, (a, i) -> a + (c[i] - mu) * (c[i - 1] - mu)) / greatest(1D, aggregate(c, 0D, (a, x) -> a + (x - mu) * (x - mu)))"
@@ -90,9 +102,9 @@ def _battery(run: str) -> str:
     )
     # Fisher: the product q of three p-values has the tail q * (1 - ln q + (ln q)^2 / 2).
     p = _let("q", f"greatest(1e-300D, {joint})", "q * (1 - ln(q) + ln(q) * ln(q) / 2)")
-    uneven = f"{coincidence} > {IC_MOST}D / k"
-    inner = f"if({uneven}, 1D, {p})"
-    return _let("m", f"{run}.m", _let("n", "char_length(m)", _let("k", alphabet, _let("c", "transform(split(m, ''), x -> ascii(x))", inner))))
+    uneven = f"{coincidence} > 1D / k + {IC_SIGMAS}D * sqrt(2D * (k - 1) / (n * (n - 1D))) / k"
+    inner = f"if(n < {CORE_LEAST}, 1D, if({uneven}, 1D, {p}))"
+    return _let("m", _core(f"{run}.m"), _let("n", "char_length(m)", _let("k", alphabet, _let("c", "transform(split(m, ''), x -> ascii(x))", inner))))
 
 
 def with_spans(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -105,7 +117,7 @@ def with_spans(rows: DataFrame, text: str = "text") -> DataFrame:
     head = ASSIGN_HEAD.replace("\\", "\\\\").replace("'", "\\'")
     found = found.withColumn("assign", F.expr(f"filter(assign, x -> char_length(regexp_replace(x.m, '{head}', '')) >= {ASSIGN_LEAST})"))
     touched = " or ".join(f"exists({k}, y -> y.s < x.e and x.s < y.e)" for k in KINDS[:3])
-    found = found.withColumn("random", F.expr(f"filter(random, x -> x.m rlike '[0-9]' and not ({touched}))"))
+    found = found.withColumn("random", F.expr(f"filter(random, x -> not ({touched}))"))
     tested = found.withColumn("tested", F.expr(f"transform(random, x -> named_struct('p', {_battery('x')}, 'n', char_length(x.m), 's', x.s, 'e', x.e, 'm', x.m))"))
     mean = "(aggregate(tested, 0D, (a, x) -> a + least(2D, x.n / 32D)) / size(tested))"
     weighed = tested.withColumn("tested", F.expr(f"if(size(tested) = 0, cast(array() as array<struct<q:double,s:int,e:int,m:string>>), array_sort(transform(tested, x -> named_struct('q', x.p * {mean} / least(2D, x.n / 32D), 's', x.s, 'e', x.e, 'm', x.m))))"))
