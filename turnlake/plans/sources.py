@@ -23,7 +23,7 @@ def src_rttm_round_trip(spark, d):
 
 @query("src_rttm_events", sql(LOCAL, select=f"SELECT file_id, {MS.format(us='start_us')} AS start_us, {MS.format(us='start_us')} + {MS.format(us='end_us - start_us')} AS end_us, speaker, 'speech' AS event_type FROM local WHERE seg_id % 2 = 0"))
 def src_rttm_events(spark, d):
-    return R.rttm_events(K.rttm_lines(local(spark, d).where("seg_id % 2 = 0")).select("value"))
+    return R.rttm_events(K.rttm_lines(local(spark, d)).select("value"))
 
 
 @query("src_stm_labelled", sql(TURNS, select="SELECT CAST(file_id AS VARCHAR) AS file_id, speaker, start_us, end_us, array_to_string(words, ' ') AS text FROM ref"))
