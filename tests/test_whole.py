@@ -50,3 +50,41 @@ def test_equals_sql_without_its_cut(spark, data, name):
     df, c = QUERIES[name](spark, data), con.execute(whole)
     columns = [x[0] for x in c.description]
     assert rows(df.columns, df.collect()) == rows(columns, c.fetchall())
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b, 1):
+            new.append(row[j - 1] + 1 if x == y else max(row[j], new[-1]))
+        row = new
+    return row[-1]
+
+
+def rouge(a, b):
+    n = lcs(a, b)
+    return 2 * n / (len(a) + len(b)) if n else 0.0
+
+
+def test_rouge_of_whole_roles(spark, tmp_path):
+    a, b = [f"w{k % 23}" for k in range(90)], [f"w{k % 19}" for k in range(70)]
+    rows = [
+        (1, 0, "user", " ".join(a)),
+        (1, 1, "assistant", "Yes it  is"),
+        (1, 2, "user", " ".join(b)),
+        (1, 3, "assistant", "it is not"),
+        (1, 4, "user", " ".join(a)),
+        (1, 5, "tool", "x"),
+        (2, 0, "user", "a"),
+        (2, 1, "user", "b c"),
+        (2, 2, "user", "a b"),
+        (2, 4, "user", "c"),
+        (3, 0, "user", None),
+        (3, 2, "user", "a"),
+        (4, 0, "user", "a"),
+    ]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: (r.common, r.rouge_l) for r in QUERIES["met_speaker_rouge"](spark, str(tmp_path)).collect()}
+    first = (rouge(a, b + a) + rouge("yes it is".split(), "it is not".split())) / 2
+    assert got[1] == (2, pytest.approx(first)) and got[2] == (1, 1.0) and got[3] == (1, 0.0) and 4 not in got

@@ -79,10 +79,12 @@ def met_speaker_mapping(spark, d):
 
 @query("met_speaker_rouge", "SELECT a.conv_id, COUNT(*) AS common FROM (SELECT DISTINCT conv_id, role FROM conversations WHERE turn < 2) a JOIN (SELECT DISTINCT conv_id, role FROM conversations WHERE turn >= 2) b ON a.conv_id = b.conv_id AND a.role = b.role GROUP BY a.conv_id")
 def met_speaker_rouge(spark, d):
-    c = read(spark, d, "conversations").withColumn("w", F.slice(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != ""), 1, 64))
-    first = c.where("turn < 2").groupBy("conv_id", "role").agg(F.min_by("w", "turn").alias("a"))
-    both = first.join(c.where("turn >= 2").groupBy("conv_id", "role").agg(F.min_by("w", "turn").alias("b")), ["conv_id", "role"])
-    return both.withColumn("rouge", M.rouge_l("a", "b")).where("rouge between 0 and 1").groupBy("conv_id").agg(F.count("*").alias("common"))
+    """ROUGE-L between the words of a role's first turns and those of its later ones, averaged over the roles that have both."""
+    c = read(spark, d, "conversations").select("conv_id", "role", "turn", F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda x: x != "").alias("w"))
+    words = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("turn", "w"))), lambda x: x["w"]))
+    first = c.where("turn < 2").groupBy("conv_id", "role").agg(words.alias("a"))
+    both = first.join(c.where("turn >= 2").groupBy("conv_id", "role").agg(words.alias("b")), ["conv_id", "role"])
+    return both.withColumn("rouge", M.rouge_l("a", "b")).groupBy("conv_id").agg(F.count("*").alias("common"), F.avg("rouge").alias("rouge_l"))
 
 
 @query("met_centroids", """WITH c AS (SELECT label, list(m ORDER BY i) AS centroid FROM (SELECT label, i, AVG(v::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i) GROUP BY label),
