@@ -88,3 +88,13 @@ def test_rouge_of_whole_roles(spark, tmp_path):
     got = {r.conv_id: (r.common, r.rouge_l) for r in QUERIES["met_speaker_rouge"](spark, str(tmp_path)).collect()}
     first = (rouge(a, b + a) + rouge("yes it is".split(), "it is not".split())) / 2
     assert got[1] == (2, pytest.approx(first)) and got[2] == (1, 1.0) and got[3] == (1, 0.0) and 4 not in got
+
+
+def test_pivot_has_all_thresholds(spark, data):
+    got = QUERIES["agg_threshold_pivot"](spark, data).collect()
+    lines = spark.read.parquet(f"{data}/lineitem.parquet").select("l_returnflag", "l_linenumber", "l_quantity").collect()
+    whole = {}
+    for r in lines:
+        whole[r[0], str(r[1])] = whole.get((r[0], str(r[1])), 0) + int(r[2])
+    assert {k for _, k in whole} == set("1234567")
+    assert {(r.grp, k): r[k] for r in got for k in r.asDict() if k != "grp" and r[k] is not None} == whole

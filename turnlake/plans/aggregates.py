@@ -120,7 +120,8 @@ def agg_speakers_per_recording(spark, d):
 @query("agg_threshold_pivot", "SELECT l_returnflag AS grp, CAST(SUM(CASE WHEN l_linenumber = 1 THEN CAST(l_quantity AS BIGINT) END) AS BIGINT) AS \"1\", CAST(SUM(CASE WHEN l_linenumber = 2 THEN CAST(l_quantity AS BIGINT) END) AS BIGINT) AS \"2\", CAST(SUM(CASE WHEN l_linenumber = 3 THEN CAST(l_quantity AS BIGINT) END) AS BIGINT) AS \"3\" FROM lineitem GROUP BY l_returnflag")
 def agg_threshold_pivot(spark, d):
     rows = read(spark, d, "lineitem").select(F.col("l_returnflag").alias("grp"), F.col("l_linenumber").alias("thr"), F.col("l_quantity").cast("long").alias("q"))
-    return W.pivot_by_threshold(rows, "grp", "thr", "q", [1, 2, 3])
+    thresholds = sorted(r[0] for r in rows.select("thr").distinct().collect())
+    return W.pivot_by_threshold(rows, "grp", "thr", "q", thresholds)
 
 
 @query("win_adjacent_check", "SELECT o_orderkey, gap FROM (SELECT o_orderkey, LEAD(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - o_orderkey AS gap FROM orders) WHERE gap > 500")
