@@ -98,3 +98,15 @@ def test_pivot_has_all_thresholds(spark, data):
         whole[r[0], str(r[1])] = whole.get((r[0], str(r[1])), 0) + int(r[2])
     assert {k for _, k in whole} == set("1234567")
     assert {(r.grp, k): r[k] for r in got for k in r.asDict() if k != "grp" and r[k] is not None} == whole
+
+
+def test_small_sources_get_their_share(spark):
+    from pyspark.sql import functions as F
+
+    from turnlake.operators import sampling
+
+    rows = [(k, "large") for k in range(3000)] + [(3000, "one"), (3001, "two"), (3002, "two")]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    drawn = {r.source: r.n for r in sampling.with_replacement(df, "source", F.lit(1.0), 6000).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert all(abs(drawn[s] - 2000) < 5 * 2000**0.5 for s in ("large", "one", "two"))
+    assert sampling.with_replacement(df, "source", F.lit(1.0), 6000).columns == ["doc_id", "source"]

@@ -49,10 +49,14 @@ def with_replacement(items: DataFrame, source: str, mix: Column, draws: int, see
     total = weighed.agg(F.sum("weight")).first()[0] or 1.0
     u = F.rand(seed)
     rate = F.col("weight") / total * draws
-    # Inverse of the Poisson distribution up to 12 repeats, enough for rates of about one.
+    # A Poisson number is a sum of such numbers of smaller rates: a row falls into parts with rates of at most one.
+    parts = F.greatest(F.lit(1).cast("long"), F.ceil(rate))
+    weighed = weighed.withColumn("_rate", rate / parts).withColumn("_part", F.explode(F.sequence(F.lit(1).cast("long"), parts)))
+    rate = F.col("_rate")
+    # Inverse of the Poisson distribution; more than 18 repeats have a probability below the steps of u.
     term, cumulated, times = F.exp(-rate), F.exp(-rate), F.lit(0)
-    for k in range(1, 13):
+    for k in range(1, 19):
         times = times + F.when(F.col("_u") > cumulated, 1).otherwise(0)
         term = term * rate / k
         cumulated = cumulated + term
-    return weighed.withColumn("_u", u).withColumn("_times", times).where("_times > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_u", "_times", "_k", "weight")
+    return weighed.withColumn("_u", u).withColumn("_times", times).where("_times > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_u", "_times", "_k", "_rate", "_part", "weight")
