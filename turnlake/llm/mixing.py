@@ -39,7 +39,9 @@ SEED = 20_077
 BLOCK = 256
 #: Most blocks of a source, and most cells that a descent into one block looks at.
 BINS = 4096
+#: Least shards, and blocks of one beyond that, so that a shard, which one task puts in order, does not grow with the data.
 SHARDS = 16
+SHARD_BLOCKS = 4
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -124,9 +126,10 @@ def _inside(spark, rows: DataFrame, open_blocks: list[tuple[int, int, int, int]]
     return {i: (lo, hi, quota) for i, (_, lo, hi, quota) in state.items()}
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, shards: int | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(documents, draws). documents: id, source, size, block, source_size, target, copies, taken.
-    draws: one row per block and pass: number (of the source), block, pass, shard."""
+    draws: one row per block and pass: number (of the source), block, pass, shard. Without a number of
+    shards, each has about SHARD_BLOCKS blocks."""
     spark = docs.sparkSession
     sized = durable(_sized(docs, id_col, text_col, source_col))
     found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
@@ -190,6 +193,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     ended = filled.select(*columns, (F.col("passes") + F.when(F.col("nth") <= F.col("times"), 1).otherwise(0)).alias("copies"))
     rest = dealt.where("not (within >= lo and within < hi and quota > 0)").select(*columns, (F.col("passes") + F.when(F.col("more") & (F.col("within") < F.col("lo")), 1).otherwise(0)).alias("copies"))
     documents = rest.unionByName(ended).withColumn("taken", F.col("size") * F.col("copies"))
+    shards = shards or max(SHARDS, sum(map(len, drawn)) // SHARD_BLOCKS)
     counts = split_tree(np.array([len(d) for d in drawn], np.int64), shards, seed)
     draws = []
     for i, d in enumerate(drawn):
@@ -201,20 +205,32 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     return documents, small_table(spark, draws, kind)
 
 
-def digest(docs: DataFrame, **names) -> DataFrame:
-    """Per input row: id, size, source_size, target, taken (words, repeats counted), copies."""
-    rows, _ = plan(docs, **names)
-    return rows.select(F.col("id").alias(names.get("id_col", "doc_id")), "size", "source_size", "target", "taken", F.col("copies").cast("int").alias("copies"))
+def _placed(rows: DataFrame, draws: DataFrame, seed: int) -> DataFrame:
+    """The rows taken, once per pass, with pass, shard and position."""
+    copies = rows.where("copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    order = Window.partitionBy("shard").orderBy(F.xxhash64("id", "pass", F.lit(seed + 2)), "id", "pass")
+    return copies.join(draws, ["number", "block", "pass"]).withColumn("position", F.row_number().over(order))
+
+
+def digest(docs: DataFrame, seed: int = SEED, **names) -> DataFrame:
+    """Per input row: id, size, source_size, target, taken (words, repeats counted), copies, and the
+    shards and positions of its draws by pass."""
+    rows, draws = plan(docs, seed=seed, **names)
+    columns = ["id", "size", "source_size", "target"]
+    # Equal rows count each, so draws are summed by a number of the row and not by its id; kept, as it is read twice.
+    rows = durable(rows.select(*columns, "number", "block", "copies", F.monotonically_increasing_id().alias("row")))
+    drawn = _placed(rows, draws, seed).groupBy("row", *columns)
+    places = F.sort_array(F.collect_list(F.struct("pass", "shard", "position")))
+    summed = drawn.agg(F.sum("size").alias("taken"), F.count("*").cast("int").alias("copies"), places.alias("p")).select(*columns, "taken", "copies", F.col("p.shard").alias("shards"), F.col("p.position").alias("positions"))
+    nothing = F.array().cast("array<int>")
+    left = rows.where("copies = 0").select(*columns, F.lit(0).cast("long").alias("taken"), F.lit(0).alias("copies"), nothing.alias("shards"), nothing.alias("positions"))
+    return summed.unionByName(left).withColumnRenamed("id", names.get("id_col", "doc_id"))
 
 
 def mix(docs: DataFrame, seed: int = SEED, **names) -> DataFrame:
     """The mix itself: (id, number, pass, shard, position): one row per document taken, in shuffled
     order inside its shard."""
-    rows, draws = plan(docs, seed=seed, **names)
-    copies = rows.where("copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    placed = copies.join(draws, ["number", "block", "pass"])
-    order = Window.partitionBy("shard").orderBy(F.xxhash64("id", "pass", F.lit(seed + 2)), "id", "pass")
-    return placed.select("id", "number", "pass", "shard", F.row_number().over(order).alias("position"))
+    return _placed(*plan(docs, seed=seed, **names), seed).select("id", "number", "pass", "shard", "position")
 
 
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
