@@ -6,8 +6,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Overlap percent up to which a tier holds; gaps between ranges fall to the last tier.
-TIERS = ((0, 0, "A"), (5, 10, "B"), (15, 15, "C"))
-LAST_TIER = "D"
+TIERS = ((0, 0, "tier_A_0pct"), (5, 10, "tier_B_5_10pct"), (15, 15, "tier_C_15pct"))
+LAST_TIER = "tier_D_20_30pct"
+#: Buckets of recordings by class.
+CLASS_BUCKETS = {
+    "vif": "gold_real",
+    "conan": "silver_real",
+    "dustin_on_go": "silver_real",
+    "dustin": "silver_real",
+    "chuyen_ho_chuyen_minh": "silver_real",
+    "chuyen_ho": "silver_real",
+    "coi_mo": "hard_real",
+    "coi_moi": "hard_real",
+}
+OTHER_BUCKET = "silver_real"
+#: Keys that a summary must have.
+SUMMARY_KEYS = ["meeting_overview", "conversation_main_summary", "meeting_type", "segments", "action_items", "speaker_insights", "speaker_main_summaries", "cleaned_transcript"]
+#: Weights of the summary score without and with a reference, words from which on a summary is long and
+#: the words that then cost all of its compactness, and the least scores of the labels.
+SCORE_WEIGHTS = {"schema": 0.35, "evidence": 0.35, "specific": 0.15, "compact": 0.15}
+REFERENCE_WEIGHTS = {"plain": 0.25, "rouge": 0.35, "speaker_rouge": 0.40}
+LONG_WORDS, LONG_SPAN = 30, 50
+SCORE_LABELS = ((0.75, "good"), (0.55, "usable"))
+LAST_LABEL = "needs_review"
 
 
 def safe_double(column: str, default: float = 0.0) -> Column:
@@ -48,18 +69,36 @@ def threshold_grid(start: int, stop: int, step: int) -> Column:
     return F.sequence(F.lit(start), F.lit(stop), F.lit(step))
 
 
+def speaker_folder(n: Column) -> Column:
+    """spk1 to spk4, spk5plus from five speakers on."""
+    return F.when(n <= 4, F.concat(F.lit("spk"), n.cast("string"))).otherwise(F.lit("spk5plus"))
+
+
+def class_bucket(name: Column) -> Column:
+    """The bucket of a normalised class name."""
+    table = F.create_map(*(F.lit(x) for kv in CLASS_BUCKETS.items() for x in kv))
+    return F.coalesce(F.try_element_at(table, name), F.lit(OTHER_BUCKET))
+
+
 def quality_score(schema: Column, evidence: Column, generic: Column, average_words: Column) -> Column:
     """Weighted score of a summary without a reference; long summaries lose compactness."""
-    compact = F.when(average_words <= 30, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - (average_words - 30) / 50))
-    return 0.35 * schema + 0.35 * evidence + 0.15 * (1 - generic) + 0.15 * compact
+    compact = F.when(average_words <= LONG_WORDS, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - (average_words - LONG_WORDS) / LONG_SPAN))
+    parts = {"schema": schema, "evidence": evidence, "specific": 1 - generic, "compact": compact}
+    return sum((F.lit(SCORE_WEIGHTS[k]) * parts[k] for k in SCORE_WEIGHTS), F.lit(0.0))
 
 
 def quality_score_with_reference(plain: Column, rouge: Column, speaker_rouge: Column) -> Column:
-    return 0.25 * plain + 0.35 * rouge + 0.40 * speaker_rouge
+    """The score without a reference, drawn to the summary's and the speakers' ROUGE-L; null: none."""
+    parts = {"plain": plain, "rouge": rouge, "speaker_rouge": F.coalesce(speaker_rouge, F.lit(0.0))}
+    drawn = sum((F.lit(REFERENCE_WEIGHTS[k]) * parts[k] for k in REFERENCE_WEIGHTS), F.lit(0.0))
+    return F.when(rouge.isNull(), plain).otherwise(drawn)
 
 
 def quality_label(score: Column) -> Column:
-    return F.when(score >= 0.75, "good").when(score >= 0.55, "fair").otherwise("poor")
+    out = F.lit(LAST_LABEL)
+    for least, label in reversed(SCORE_LABELS):
+        out = F.when(score >= least, F.lit(label)).otherwise(out)
+    return out
 
 
 def meetings_needed(hours: Column, minutes_each: Column) -> Column:

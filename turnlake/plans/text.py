@@ -138,7 +138,7 @@ def sc_safe_double(spark, d):
     return read(spark, d, "events").withColumn("raw", raw).select("event_id", S.safe_double("raw", -1.0).alias("v"))
 
 
-@query("sc_tiers", "SELECT p_partkey, CASE WHEN p_size = 0 THEN 'A' WHEN p_size BETWEEN 5 AND 10 THEN 'B' WHEN p_size = 15 THEN 'C' ELSE 'D' END AS tier, LEAST(p_size, 4) AS cap, [10, 20, 30][LEAST(p_size % 6 + 1, 3)] AS phase FROM part")
+@query("sc_tiers", "SELECT p_partkey, CASE WHEN p_size = 0 THEN 'tier_A_0pct' WHEN p_size BETWEEN 5 AND 10 THEN 'tier_B_5_10pct' WHEN p_size = 15 THEN 'tier_C_15pct' ELSE 'tier_D_20_30pct' END AS tier, LEAST(p_size, 4) AS cap, [10, 20, 30][LEAST(p_size % 6 + 1, 3)] AS phase FROM part")
 def sc_tiers(spark, d):
     size = F.col("p_size")
     p = read(spark, d, "part").withColumn("phases", F.array(F.lit(10), F.lit(20), F.lit(30)))
@@ -179,7 +179,26 @@ def sc_dataset_alias(spark, d):
     return docs(spark, d).where(F.col("source").isin("src1", "src3", "src5")).select("doc_id")
 
 
-@query("sc_quality_score", "SELECT doc_id, 0.35 * (n_chars % 2) + 0.35 * (n_chars % 5 / 4.0) + 0.15 * (1 - (n_chars % 3 / 2.0)) + 0.15 * CASE WHEN n_chars % 90 <= 30 THEN 1.0 ELSE GREATEST(0.0, 1 - (n_chars % 90 - 30) / 50.0) END >= 0.55 AS fair FROM documents")
+SCORE = "0.35 * (n_chars % 2) + 0.35 * (n_chars % 5 / 4.0) + 0.15 * (1 - (n_chars % 3 / 2.0)) + 0.15 * CASE WHEN n_chars % 90 <= 30 THEN 1.0 ELSE GREATEST(0.0, 1 - (n_chars % 90 - 30) / 50.0) END"
+
+
+@query("sc_quality_score", f"SELECT doc_id, CAST(round(100000 * CAST(s AS DOUBLE)) AS BIGINT) AS score, CASE WHEN s >= 0.75 THEN 'good' WHEN s >= 0.55 THEN 'usable' ELSE 'needs_review' END AS label FROM (SELECT doc_id, round(CAST({SCORE} AS DOUBLE), 9) AS s FROM documents)")
 def sc_quality_score(spark, d):
     n = F.col("n_chars")
-    return docs(spark, d).select("doc_id", (S.quality_score(n % 2, n % 5 / 4, n % 3 / 2, n % 90) >= 0.55).alias("fair"))
+    scored = docs(spark, d).select("doc_id", F.round(S.quality_score(n % 2, n % 5 / 4, n % 3 / 2, n % 90), 9).alias("s"))
+    return scored.select("doc_id", F.round(100_000 * F.col("s")).cast("long").alias("score"), S.quality_label(F.col("s")).alias("label"))
+
+
+@query("sc_quality_with_reference", f"SELECT doc_id, round(CASE WHEN n_chars % 7 = 0 THEN s ELSE 0.25 * s + 0.35 * (n_chars % 7 / 6.0::DOUBLE) + 0.40 * CASE WHEN n_chars % 4 = 0 THEN 0 ELSE n_chars % 4 / 3.0::DOUBLE END END, 6) AS score FROM (SELECT doc_id, n_chars, CAST({SCORE} AS DOUBLE) AS s FROM documents)")
+def sc_quality_with_reference(spark, d):
+    """The score drawn to ROUGE-L; every seventh document has no reference, every fourth no speaker's."""
+    n = F.col("n_chars")
+    plain = S.quality_score(n % 2, n % 5 / 4, n % 3 / 2, n % 90)
+    rouge, speakers = F.when(n % 7 != 0, n % 7 / 6), F.when(n % 4 != 0, n % 4 / 3)
+    return docs(spark, d).select("doc_id", F.round(S.quality_score_with_reference(plain, rouge, speakers), 6).alias("score"))
+
+
+@query("sc_folders_and_buckets", "SELECT p_partkey, CASE WHEN p_size <= 4 THEN 'spk' || CAST(p_size AS VARCHAR) ELSE 'spk5plus' END AS folder, CASE p_partkey % 4 WHEN 0 THEN 'gold_real' WHEN 1 THEN 'hard_real' ELSE 'silver_real' END AS bucket FROM part")
+def sc_folders_and_buckets(spark, d):
+    name = F.element_at(F.array(*map(F.lit, ("vif", "coi_mo", "dustin", "another"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return read(spark, d, "part").select("p_partkey", S.speaker_folder(F.col("p_size")).alias("folder"), S.class_bucket(name).alias("bucket"))
