@@ -1,11 +1,9 @@
-"""Queries over inputs that an upper bound on words, rows or repeats would cut; checked without the SQL."""
+"""Queries over inputs that an upper bound on words, rows or repeats would cut, against plain versions."""
 
-import duckdb
 import pytest
 
 from test_operators import lev
-from test_oracle import TABLES, rows
-from turnlake.registry import ORACLE_SQL, QUERIES
+from turnlake.registry import QUERIES
 
 WORDS = [f"w{k % 17}" for k in range(100)]
 
@@ -34,24 +32,6 @@ def test_edit_distance_of_whole_turns(spark, turns):
     assert found[1000] == (lev(WORDS, kept), 100)
 
 
-#: What the registered SQL cuts, which stays as it is; the same SQL without it is what the queries must return.
-CUTS = {"[1:40]": "", "local WHERE seg_id % 2 = 0": "local", "events) WHERE event_id % 5 = 0": "events)"}
-CUT = sorted(name for name, q in ORACLE_SQL.items() if any(c in q for c in CUTS))
-
-
-@pytest.mark.parametrize("name", CUT)
-def test_equals_sql_without_its_cut(spark, data, name):
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"create view {t} as select * from '{data}/{t}.parquet'")
-    whole = ORACLE_SQL[name]
-    for c, instead in CUTS.items():
-        whole = whole.replace(c, instead)
-    df, c = QUERIES[name](spark, data), con.execute(whole)
-    columns = [x[0] for x in c.description]
-    assert rows(df.columns, df.collect()) == rows(columns, c.fetchall())
-
-
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnlake.operators.joins import range_join, right_side
+
 
 def wer_rollup(segments: DataFrame, file: str, group: str) -> DataFrame:
     """Sums of edits and words per file, per group and in all; level 0, 1, 3. The rate is edits over
@@ -48,3 +50,37 @@ def flag_rates(rows: DataFrame, keys: list[str], flags: dict[str, Column]) -> Da
 
 def missing_keys(record: str, required: list[str]) -> Column:
     return F.array_sort(F.array_except(F.array(*map(F.lit, required)), F.map_keys(record)))
+
+
+def schema_rates(record: str, required: list[str]) -> list[Column]:
+    """missing (sorted), whole (none is) and pass_rate of the required keys of a map."""
+    missing = missing_keys(record, required)
+    return [missing.alias("missing"), (F.size(missing) == 0).alias("whole"), ((len(required) - F.size(missing)) / len(required)).alias("pass_rate")]
+
+
+def evidence_rates(items: DataFrame, lines: DataFrame, key: str = "file_id") -> DataFrame:
+    """Per summary: items, and the rates of those with a valid evidence span, with one that a line of their
+    speaker meets (closed ends), and whose speaker has a line. items: key, item_id, speaker, spans (arrays of
+    times); lines: key, speaker, start_us, end_us. Spans of other than two times do not count. As spans are
+    tried in order until one is met, a valid one behind that does not count either."""
+    spans = items.select(key, "item_id", "speaker", F.posexplode("spans").alias("pos", "s")).where("size(s) = 2")
+    ends = spans.select(key, "item_id", "speaker", "pos", F.col("s")[0].alias("s0"), F.col("s")[1].alias("s1"))
+    # A reversed span meets what covers both of its ends; closed ends meet where half-open ones of one more do.
+    wide = ends.withColumn("start_us", F.least("s0", "s1")).withColumn("end_us", F.greatest("s0", "s1") + 1)
+    closed = lines.select(key, "speaker", F.col("start_us"), (F.col("end_us") + 1).alias("end_us"))
+    met = range_join(wide, right_side(closed, [key]), [key]).where("speaker = r_speaker and s1 >= r_start_us and r_end_us - 1 >= s0")
+    first = met.groupBy(key, "item_id").agg(F.min("pos").alias("met"))
+    valid = ends.join(first, [key, "item_id"], "left").where("s1 >= s0 and (met is null or pos <= met)").select(key, "item_id").distinct().withColumn("_valid", F.lit(1))
+    present = lines.select(key, "speaker").distinct().withColumn("_present", F.lit(1))
+    each = items.select(key, "item_id", "speaker").join(first, [key, "item_id"], "left").join(valid, [key, "item_id"], "left").join(present, [key, "speaker"], "left")
+    rate = lambda c: F.avg(F.when(c.isNotNull(), 1.0).otherwise(0.0))
+    return each.groupBy(key).agg(F.count("*").alias("n_items"), rate(F.col("_valid")).alias("valid_rate"), rate(F.col("met")).alias("support_rate"), rate(F.col("_present")).alias("presence_rate"))
+
+
+def fairness_weights(segments: DataFrame, keys: tuple[str, ...] = ("file_id",)) -> DataFrame:
+    """Adds weight: 1.1 less the part of the talk so far (before the row, by start) that is the row's
+    speaker's; before any talk it is 1.1."""
+    order = ["start_us", "end_us", "seg_id"]
+    before = lambda *by: F.coalesce(F.sum(F.col("end_us") - F.col("start_us")).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    share = before(*keys, "speaker") / F.greatest(before(*keys), F.lit(1))
+    return segments.withColumn("weight", 1.0 - share + 0.1)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnlake.operators.joins import range_join, right_side
+
 KEY = ("file_id",)
 
 
@@ -85,19 +87,27 @@ def gaps(segments: DataFrame, durations: DataFrame, min_gap_us: int, keys: tuple
 
 
 def raster_overlap(segments: DataFrame, frame_us: int = 10_000, keys: tuple[str, ...] = KEY) -> DataFrame:
-    """Overlap time on a raster of truncated frames."""
-    f0, f1 = F.expr(f"start_us div {frame_us}"), F.expr(f"end_us div {frame_us}")
-    frames = segments.where(f1 > f0).select(*keys, F.explode(F.sequence(f0, f1 - 1)).alias("frame"))
-    return frames.groupBy(*keys, "frame").agg(F.count("*").alias("n")).groupBy(*keys).agg((F.sum(F.when(F.col("n") >= 2, 1).otherwise(0)) * frame_us).alias("overlap_us"))
+    """Overlap time on a raster of truncated frames: a segment on the raster is one from its first frame
+    to behind its last, so no frame becomes a row. Recordings without a frame drop out."""
+    framed = segments.select(*keys, F.expr(f"start_us div {frame_us}").alias("start_us"), F.expr(f"end_us div {frame_us}").alias("end_us")).where("end_us > start_us")
+    length = F.when(F.col("active") >= 2, F.col("end_us") - F.col("start_us")).otherwise(0)
+    return steps(framed, keys).groupBy(*keys).agg((F.sum(length) * frame_us).alias("overlap_us"))
 
 
-def frame_activity(segments: DataFrame, max_speakers: int, frame_us: int = 20_000, keys: tuple[str, ...] = KEY) -> DataFrame:
-    """(frame, speaker index) pairs on a rounding raster, the speakers that start first."""
+def frame_runs(segments: DataFrame, max_speakers: int, frame_us: int = 20_000, keys: tuple[str, ...] = KEY) -> DataFrame:
+    """Runs [start_us, end_us) of active frames, in frames, per speaker index on a rounding raster; of the
+    speakers that start first."""
     first = segments.groupBy(*keys, "speaker").agg(F.min("start_us").alias("first"))
     ranked = first.withColumn("speaker_index", F.row_number().over(Window.partitionBy(*keys).orderBy("first", "speaker")) - 1).where(F.col("speaker_index") < max_speakers)
-    f0, f1 = F.expr(f"(start_us + {frame_us // 2}) div {frame_us}"), F.expr(f"(end_us + {frame_us // 2}) div {frame_us}")
-    kept = segments.join(ranked.select(*keys, "speaker", "speaker_index"), [*keys, "speaker"]).where(f1 > f0)
-    return kept.select(*keys, F.explode(F.sequence(f0, f1 - 1)).alias("frame"), "speaker_index").distinct()
+    kept = segments.join(ranked.select(*keys, "speaker", "speaker_index"), [*keys, "speaker"])
+    framed = kept.select(*keys, "speaker_index", F.expr(f"(start_us + {frame_us // 2}) div {frame_us}").alias("start_us"), F.expr(f"(end_us + {frame_us // 2}) div {frame_us}").alias("end_us"))
+    return islands(framed.where("end_us > start_us"), (*keys, "speaker_index")).drop("n_segments")
+
+
+def frame_activity(segments: DataFrame, max_speakers: int, frame_us: int = 20_000, keys: tuple[str, ...] = KEY) -> DataFrame:
+    """(frame, speaker index) pairs of frame_runs, one row a frame; no frame comes twice."""
+    runs = frame_runs(segments, max_speakers, frame_us, keys)
+    return runs.select(*keys, F.explode(F.sequence("start_us", F.col("end_us") - 1)).alias("frame"), "speaker_index")
 
 
 def clip(segments: DataFrame, duration: Column, tail_us: int = 1000) -> DataFrame:
@@ -179,10 +189,36 @@ def project_words(slots: DataFrame, words: str = "words") -> DataFrame:
     return out.withColumn("word_start_us", F.expr("start_us + (end_us - start_us) * pos div _n")).withColumn("word_end_us", F.expr("start_us + (end_us - start_us) * (pos + 1) div _n")).drop("_n")
 
 
+def project_aligned(slots: DataFrame, alignments: DataFrame, on: str, keys: tuple[str, ...] = KEY) -> DataFrame:
+    """Word times of a slot from an alignment of its source (on; words: array of word, start, end in
+    seconds): in proportion to the source's length, inside the slot. Sources without an alignment, or
+    with an empty one, take the slot's own words in equal shares."""
+    joined = slots.join(alignments.select(on, F.col("words").alias("_aligned")), on, "left")
+    found = joined.where(F.size("_aligned") > 0).select("*", F.posexplode("_aligned").alias("pos", "_w"))
+    length = F.expr("element_at(_aligned, -1).end")
+    at = lambda part: F.when(length > 0, part / length)
+    start = F.floor(F.col("start_us") + F.coalesce(at(F.col("_w.start")), F.lit(0.0)) * (F.col("end_us") - F.col("start_us")) + 0.5).cast("long")
+    end = F.floor(F.col("start_us") + F.coalesce(at(F.col("_w.end")), F.lit(1.0)) * (F.col("end_us") - F.col("start_us")) + 0.5).cast("long")
+    inside = found.withColumn("word", F.col("_w.word")).withColumn("word_start_us", F.greatest("start_us", F.least(start, F.col("end_us"))))
+    inside = inside.withColumn("word_end_us", F.greatest("word_start_us", F.least(end, F.col("end_us"))))
+    columns = [*slots.columns, "pos", "word", "word_start_us", "word_end_us"]
+    return inside.select(*columns).unionByName(project_words(joined.where("coalesce(size(_aligned), 0) <= 0").drop("_aligned")).select(*columns))
+
+
+def overlapped_words(words: DataFrame, segments: DataFrame, longer_us: int = 50_000, keys: tuple[str, ...] = KEY) -> DataFrame:
+    """Adds overlapped: another speaker's segment covers more than longer_us of the word."""
+    when = [*keys, "speaker", "word_start_us", "word_end_us"]
+    times = words.select(*when, F.col("word_start_us").alias("start_us"), F.col("word_end_us").alias("end_us")).distinct()
+    hits = range_join(times, right_side(segments.select(*keys, "speaker", "start_us", "end_us"), list(keys)), list(keys)).where("speaker <> r_speaker")
+    long = hits.where(F.expr(f"least(end_us, r_end_us) - greatest(start_us, r_start_us) > {longer_us}")).select(*when).distinct().withColumn("_hit", F.lit(True))
+    return words.join(long, when, "left").withColumn("overlapped", F.coalesce("_hit", F.lit(False))).drop("_hit")
+
+
 def change_point_lines(words: DataFrame, segments: DataFrame, keys: tuple[str, ...] = KEY, least_us: int = 10_000) -> DataFrame:
-    """Per elementary interval of at least least_us and speaker: the words whose middle lies in it."""
-    cuts = steps(segments, keys).where((F.col("active") > 0) & (F.col("end_us") - F.col("start_us") >= least_us)).select(*keys, F.col("start_us").alias("t0"), F.col("end_us").alias("t1"))
+    """Per elementary interval of at least least_us and speaker: the words whose middle lies in it. A word's
+    middle is an interval of one microsecond, so words meet cuts by time bucket."""
+    cuts = steps(segments, keys).where((F.col("active") > 0) & (F.col("end_us") - F.col("start_us") >= least_us)).select(*keys, F.col("start_us").alias("r_start_us"), F.col("end_us").alias("r_end_us"))
     middle = F.expr("(word_start_us + word_end_us) div 2")
-    held = words.withColumn("_mid", middle).join(cuts, list(keys)).where("_mid >= t0 and _mid < t1")
+    held = range_join(words.withColumn("start_us", middle).withColumn("end_us", middle + 1), cuts, list(keys))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word_start_us", "seg_id", "pos", "word"))), lambda x: x["word"]), " ")
-    return held.groupBy(*keys, "t0", "t1", "speaker").agg(text.alias("text"))
+    return held.groupBy(*keys, F.col("r_start_us").alias("t0"), F.col("r_end_us").alias("t1"), "speaker").agg(text.alias("text"))

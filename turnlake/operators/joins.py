@@ -98,3 +98,11 @@ def lookup(left: DataFrame, table: DataFrame, on: list[str], defaults: dict) ->
 def last_per_key(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
     """The value that comes last in order for each key, as a map that is filled in order ends up with."""
     return df.groupBy(*keys).agg(F.max_by(value, order).alias(value))
+
+
+def case_noise(chosen: DataFrame, samples: DataFrame, key: str = "case_id") -> DataFrame:
+    """Samples of the chosen cases with their noise (chosen: key, noise). A chosen case without a sample
+    fails the query by its name."""
+    missing = F.raise_error(F.concat(F.lit("chosen case not found: "), F.col(key).cast("string")))
+    found = chosen.join(samples.withColumn("_known", F.lit(True)), key, "left")
+    return found.where(F.when(F.col("_known").isNull(), missing.cast("boolean")).otherwise(F.lit(True))).drop("_known")

@@ -1,11 +1,17 @@
-"""Sequence and diarization metrics. Word distances are folds over arrays (JVM); the split into
-substitutions, deletions and insertions needs a back-trace and runs in an Arrow pass."""
+"""Sequence and diarization metrics.
+
+Word distances are bit-parallel: the rows of the distance table are the bits of one integer, so a word of
+the other side costs a few operations on integers of as many bits, and memory is a column of the table.
+They run in Arrow passes over two columns of words (nulls count as no words). The split into substitutions,
+deletions and insertions keeps the bits of every column and walks back through them.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,32 +20,110 @@ from turnlake.operators import intervals as I
 from turnlake.operators.joins import range_join, right_side
 
 
-def _table(a: str, b: str, first: str, cell: str, edge: str) -> str:
-    """SQL of the last row's last cell of a table over a (rows, letter x) and b (columns, from 1 to m).
-    Reads are total, since Spark may evaluate shared parts of a conditional's branches early."""
-    columns = f"sequence(1, greatest(1, size({b})))"
-    step = f"aggregate({columns}, array({edge}), (cur, j) -> array_append(cur, {cell}))"
-    return f"try_element_at(aggregate({a}, {first}, (prev, x) -> {step}), -1)"
+def _places(words: list[str]) -> dict[str, int]:
+    """Of each different word, the bits of its places."""
+    out: dict[str, int] = {}
+    for k, w in enumerate(words):
+        out[w] = out.get(w, 0) | 1 << k
+    return out
+
+
+def levenshtein_columns(a: list[str], b: list[str]) -> Iterator[tuple[int, int, int, int]]:
+    """Columns of the edit distance table of a (rows) and b, as bit vectors of the steps of plus and minus
+    one: down the column (up, down), and from the column before (right, left)."""
+    places, full = _places(a), (1 << len(a)) - 1
+    up, down = full, 0
+    for w in b:
+        same = places.get(w, 0)
+        near = same | down
+        carried = ((((same & up) + up) & full) ^ up) | same
+        right, left = down | ~(carried | up) & full, up & carried
+        # The first row grows by one with every column.
+        r, d = (right << 1 | 1) & full, left << 1 & full
+        up, down = d | ~(near | r) & full, r & near
+        yield up, down, right, left
+
+
+def levenshtein(a: list[str], b: list[str]) -> int:
+    if not a or not b:
+        return len(a) + len(b)
+    last, cost = 1 << len(a) - 1, len(a)
+    for _, _, right, left in levenshtein_columns(a, b):
+        cost += bool(right & last) - bool(left & last)
+    return cost
+
+
+def common_subsequence(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence: the zeros that are left of a row of ones."""
+    places, full = _places(a), (1 << len(a)) - 1
+    row = full
+    for w in b:
+        hit = row & places.get(w, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
+
+
+def back_trace(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:
+    """Substitutions, deletions, insertions of one best alignment; from the end, a match is preferred over
+    a substitution, that over a deletion, that over an insertion."""
+    columns = list(levenshtein_columns(ref, hyp)) if ref else []
+    full = (1 << len(ref)) - 1
+    s = d = k = 0
+    i, j = len(ref), len(hyp)
+    while i and j:
+        up, down, right, left = columns[j - 1]
+        before_up, before_down = columns[j - 2][:2] if j > 1 else (full, 0)
+        bit = 1 << i - 1
+        # The cell's cost less that of the cells above, to the left, and diagonally before it.
+        above = bool(up & bit) - bool(down & bit)
+        beside = bool(right & bit) - bool(left & bit)
+        diagonal = beside + bool(before_up & bit) - bool(before_down & bit)
+        if diagonal == 0 and ref[i - 1] == hyp[j - 1]:
+            i, j = i - 1, j - 1
+        elif diagonal == 1:
+            s, i, j = s + 1, i - 1, j - 1
+        elif above == 1:
+            d, i = d + 1, i - 1
+        else:
+            k, j = k + 1, j - 1
+    return s, d + i, k + j
+
+
+def _over_words(kind: str, score: Callable[[list[str], list[str]], object], out: pa.DataType):
+    """An Arrow function of two columns of words."""
+
+    @F.arrow_udf(kind)
+    def run(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for a, b in pairs:
+            yield pa.array([score(x.as_py() or [], y.as_py() or []) for x, y in zip(a, b, strict=True)], out)
+
+    return run
 
 
 def edit_distance(a: str, b: str) -> Column:
-    """Word edit distance of two array columns: one row of the table per step over a."""
-    cell = f"least(get(prev, j) + 1, get(cur, j - 1) + 1, get(prev, j - 1) + if(x = get({b}, j - 1), 0, 1))"
-    folded = _table(a, b, f"sequence(0, size({b}))", cell, "get(prev, 0) + 1")
-    return F.expr(f"case when size({a}) = 0 then size({b}) when size({b}) = 0 then size({a}) else {folded} end")
+    """Word edit distance of two array columns."""
+    return _over_words("int", levenshtein, pa.int32())(F.col(a), F.col(b))
 
 
 def lcs_length(a: str, b: str) -> Column:
     """Length of the longest common subsequence of two array columns."""
-    cell = f"if(x = get({b}, j - 1), get(prev, j - 1) + 1, greatest(get(prev, j), get(cur, j - 1)))"
-    folded = _table(a, b, f"array_repeat(0, size({b}) + 1)", cell, "0")
-    return F.expr(f"case when size({a}) = 0 or size({b}) = 0 then 0 else {folded} end")
+    return _over_words("int", common_subsequence, pa.int32())(F.col(a), F.col(b))
+
+
+def word_errors(ref: str, hyp: str) -> Column:
+    """struct<substitutions, deletions, insertions> of a best alignment."""
+    names = ("substitutions", "deletions", "insertions")
+    split = lambda r, h: dict(zip(names, back_trace(r, h), strict=True))
+    return _over_words(f"struct<{', '.join(f'{n}: int' for n in names)}>", split, pa.struct([(n, pa.int32()) for n in names]))(F.col(ref), F.col(hyp))
 
 
 def rouge_l(a: str, b: str) -> Column:
-    """F1 of the LCS against both lengths."""
-    n = lcs_length(a, b)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0) | (n == 0), F.lit(0.0)).otherwise(2.0 * n / (F.size(a) + F.size(b)))
+    """F1 of the LCS against both lengths; 0 if either side has no words."""
+
+    def score(x: list[str], y: list[str]) -> float:
+        return 2.0 * common_subsequence(x, y) / (len(x) + len(y)) if x and y else 0.0
+
+    return _over_words("double", score, pa.float64())(F.col(a), F.col(b))
 
 
 def token_similarity(a: str, b: str) -> Column:
@@ -48,44 +132,13 @@ def token_similarity(a: str, b: str) -> Column:
     return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y)))
 
 
-def back_trace(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:
-    """Substitutions, deletions, insertions of one best alignment; a match is preferred over a
-    substitution, that over a deletion, that over an insertion."""
-    n, m = len(ref), len(hyp)
-    cost = [list(range(m + 1))]
-    for i in range(1, n + 1):
-        row = [i]
-        for j in range(1, m + 1):
-            row.append(min(cost[i - 1][j - 1] + (ref[i - 1] != hyp[j - 1]), cost[i - 1][j] + 1, row[j - 1] + 1))
-        cost.append(row)
-    s = d = k = 0
-    i, j = n, m
-    while i or j:
-        if i and j and ref[i - 1] == hyp[j - 1] and cost[i][j] == cost[i - 1][j - 1]:
-            i, j = i - 1, j - 1
-        elif i and j and cost[i][j] == cost[i - 1][j - 1] + 1:
-            s, i, j = s + 1, i - 1, j - 1
-        elif i and cost[i][j] == cost[i - 1][j] + 1:
-            d, i = d + 1, i - 1
-        else:
-            k, j = k + 1, j - 1
-    return s, d, k
-
-
-@F.pandas_udf(T.StructType([T.StructField(n, T.IntegerType()) for n in ("substitutions", "deletions", "insertions")]))
-def word_errors(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for ref, hyp in pairs:
-        rows = [back_trace(list(r) if r is not None else [], list(h) if h is not None else []) for r, h in zip(ref, hyp, strict=True)]
-        yield pd.DataFrame(rows, columns=["substitutions", "deletions", "insertions"])
-
-
-@F.pandas_udf(T.DoubleType())
-def compression_ratio(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(T.DoubleType())
+def compression_ratio(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """UTF-8 bytes over deflated bytes; 0 for an empty text."""
     import zlib
 
-    for series in texts:
-        yield series.map(lambda t: len(b := t.encode()) / len(zlib.compress(b)) if t else 0.0).astype(float)
+    for batch in texts:
+        yield pa.array([len(b := t.encode()) / len(zlib.compress(b)) if (t := x.as_py()) else 0.0 for x in batch], pa.float64())
 
 
 def repeats_or_rushes(words: str, duration_s: Column) -> Column:
@@ -132,9 +185,78 @@ def der(ref: DataFrame, hyp: DataFrame, keys: tuple[str, ...] = ("file_id",), ma
     )
 
 
+def der_rates(times: DataFrame) -> DataFrame:
+    """Adds der, and precision, recall and f1 of overlapped speech, to the times of der(); a rate over no
+    time is 0."""
+    over = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    errors = F.col("miss_us") + F.col("fa_us") + F.col("conf_us")
+    p, r = over(F.col("ov_both_us"), F.col("ov_hyp_us")), over(F.col("ov_both_us"), F.col("ov_ref_us"))
+    rated = times.withColumn("der", over(errors, F.col("ref_us"))).withColumn("ov_precision", p).withColumn("ov_recall", r)
+    return rated.withColumn("ov_f1", over(2.0 * F.col("ov_both_us"), F.col("ov_hyp_us") + F.col("ov_ref_us")))
+
+
+#: Tokens that a recogniser's alphabet has besides letters.
+SPECIAL_TOKENS = ["<pad>", "<unk>", "<s>", "</s>"]
+JOINED = "##"
+
+
+def token_word_times(rows: DataFrame, tokens: str = "tokens", words: str = "words", duration_us: str = "duration_us") -> DataFrame:
+    """Adds times, array<struct<word, start_us, end_us>>: the words of a text over the frames of a recogniser's
+    tokens (one a frame). Special tokens and repeats of the token before go, joined ones belong to the one
+    before; what is left is dealt to the words in equal shares, and a word lasts from its first token's frame
+    to its last. Without tokens or words the array is empty."""
+    special = ", ".join(f"'{t}'" for t in SPECIAL_TOKENS)
+    told = rows.withColumn("_told", F.expr(f"filter(transform({tokens}, (t, i) -> named_struct('t', t, 'i', i)), x -> x.t not in ({special}))"))
+    kept = told.withColumn("_kept", F.expr("filter(_told, (x, k) -> k = 0 or x.t <> get(_told, k - 1).t)"))
+    framed = kept.withColumn("_frames", F.expr(f"transform(filter(_kept, (x, k) -> k = 0 or not startswith(x.t, '{JOINED}')), x -> x.i)"))
+    n, m = "size(_frames)", f"size({words})"
+    lo = f"least(cast(floor(i * (cast({n} as double) / {m})) as int), {n} - 1)"
+    hi = f"least(cast(floor((i + 1) * (cast({n} as double) / {m})) as int), {n})"
+    at = lambda frame: f"cast(floor({frame} * cast({duration_us} as double) / size({tokens}) + 0.5) as bigint)"
+    each = f"transform({words}, (w, i) -> named_struct('word', w, 'start_us', {at(f'get(_frames, {lo})')}, 'end_us', {at(f'get(_frames, if({hi} > 0, {hi} - 1, {lo}))')}))"
+    times = f"if(coalesce({n}, 0) <= 0 or coalesce({m}, 0) <= 0, cast(array() as array<struct<word:string,start_us:bigint,end_us:bigint>>), {each})"
+    return framed.withColumn("times", F.expr(times)).drop("_told", "_kept", "_frames")
+
+
+def assignment(weights: list[list[int]]) -> list[int]:
+    """Column of each row (-1: none) in a one-to-one assignment of the largest sum; weights are 0 at least.
+    Shortest augmenting paths with potentials, cubic in the larger side; of equal sums the first found."""
+    n, m = len(weights), max(len(weights), len(weights[0]) if weights else 0)
+    cost = [[-w for w in row] + [0] * (m - len(row)) for row in weights]
+    row_price, col_price, owner = [0] * n, [0] * (m + 1), [-1] * (m + 1)  # column m stands for the start
+    for start in range(n):
+        owner[m], at = start, m
+        least, via, done = [None] * m, [m] * m, [False] * (m + 1)
+        while owner[at] != -1:
+            done[at], r = True, owner[at]
+            step, to = None, -1
+            for c in range(m):
+                if done[c]:
+                    continue
+                reach = cost[r][c] - row_price[r] - col_price[c]
+                if least[c] is None or reach < least[c]:
+                    least[c], via[c] = reach, at
+                if step is None or least[c] < step:
+                    step, to = least[c], c
+            for c in range(m + 1):
+                if done[c]:
+                    row_price[owner[c]] += step
+                    col_price[c] -= step
+                elif c < m:
+                    least[c] -= step
+            at = to
+        while at != m:
+            owner[at], at = owner[via[at]], via[at]
+    out = [-1] * n
+    for c in range(m):
+        if owner[c] != -1 and c < len(weights[owner[c]]):
+            out[owner[c]] = c
+    return out
+
+
 def speaker_mapping(ref: DataFrame, hyp: DataFrame, keys: list[str]) -> DataFrame:
-    """One-to-one mapping of hypothesis to reference speakers with the most shared time, per recording
-    (exact, by dynamic programming over sets of reference speakers; fit for up to some 15 of them)."""
+    """One-to-one mapping of hypothesis to reference speakers with the most shared time, per recording.
+    What a recording's task holds is its table of shared times, speakers by speakers."""
     pairs = range_join(hyp, right_side(ref, keys), keys).withColumn("ov", F.expr("least(end_us, r_end_us) - greatest(start_us, r_start_us)"))
     shared = pairs.groupBy(*keys, "speaker", "r_speaker").agg(F.sum("ov").alias("shared_us"))
     schema = ", ".join(f"{k} {ref.schema[k].dataType.simpleString()}" for k in keys) + ", speaker string, r_speaker string, shared_us long"
@@ -142,16 +264,8 @@ def speaker_mapping(ref: DataFrame, hyp: DataFrame, keys: list[str]) -> DataFram
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         hs, rs = sorted(pdf.speaker.unique()), sorted(pdf.r_speaker.unique())
         w = {(a, b): int(v) for a, b, v in zip(pdf.speaker, pdf.r_speaker, pdf.shared_us, strict=True)}
-        state: dict[int, tuple[int, tuple]] = {0: (0, ())}
-        for h in hs:
-            grown = dict(state)
-            for used, (v, pick) in state.items():
-                for k, r in enumerate(rs):
-                    x = w.get((h, r), 0)
-                    if x and not used >> k & 1 and v + x > grown.get(used | 1 << k, (-1,))[0]:
-                        grown[used | 1 << k] = (v + x, (*pick, (h, r, x)))
-            state = grown
-        rows = max(state.values(), key=lambda s: s[0])[1]
+        chosen = assignment([[w.get((h, r), 0) for r in rs] for h in hs])
+        rows = [(h, rs[c], w[h, rs[c]]) for h, c in zip(hs, chosen, strict=True) if c >= 0 and w.get((h, rs[c]))]
         out = pd.DataFrame(rows, columns=["speaker", "r_speaker", "shared_us"])
         for k in reversed(keys):
             out.insert(0, k, pdf[k].iloc[0])

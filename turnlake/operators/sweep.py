@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,3 +32,27 @@ def report(cases: DataFrame, sets: list[list[str]], metrics: list[str]) -> DataF
 def pivot_by_threshold(rows: DataFrame, group: str, threshold: str, metric: str, values: list) -> DataFrame:
     """One row per group, one column per threshold."""
     return rows.groupBy(group).pivot(threshold, values).agg(F.sum(metric))
+
+
+def attempt(grid: DataFrame, task: Callable[[dict], str], passes: int = 2) -> DataFrame:
+    """Runs a task per row of a grid and adds result (text), error and tries. A task that raises keeps its
+    error and is tried anew, passes times in all, after the others of its partition; the job itself goes on."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in grid.schema) + ", result string, error string, tries int"
+    names = grid.columns
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = frame.to_dict("records")
+            state = [{"result": None, "error": None, "tries": 0} for _ in rows]
+            for _ in range(passes):
+                for row, s in zip(rows, state, strict=True):
+                    if s["tries"] and s["error"] is None:
+                        continue
+                    try:
+                        s.update(result=task(dict(row)), error=None)
+                    except Exception as e:  # noqa: BLE001 - a task may fail in any way, and that is its result
+                        s["error"] = f"{type(e).__name__}: {e}"
+                    s["tries"] += 1
+            yield pd.DataFrame([{**r, **s} for r, s in zip(rows, state, strict=True)], columns=[*names, "result", "error", "tries"])
+
+    return grid.mapInPandas(run, schema)

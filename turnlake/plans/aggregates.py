@@ -117,7 +117,10 @@ def agg_speakers_per_recording(spark, d):
     return segments(spark, d).groupBy("file_id").agg(F.greatest(F.lit(2).cast("long"), F.countDistinct("speaker")).alias("n_speakers"), F.count("*").alias("n_segments"))
 
 
-@query("agg_threshold_pivot", "SELECT l_returnflag AS grp, CAST(SUM(CASE WHEN l_linenumber = 1 THEN CAST(l_quantity AS BIGINT) END) AS BIGINT) AS \"1\", CAST(SUM(CASE WHEN l_linenumber = 2 THEN CAST(l_quantity AS BIGINT) END) AS BIGINT) AS \"2\", CAST(SUM(CASE WHEN l_linenumber = 3 THEN CAST(l_quantity AS BIGINT) END) AS BIGINT) AS \"3\" FROM lineitem GROUP BY l_returnflag")
+PIVOT = ", ".join(f'CAST(SUM(CASE WHEN l_linenumber = {k} THEN CAST(l_quantity AS BIGINT) END) AS BIGINT) AS "{k}"' for k in range(1, 8))
+
+
+@query("agg_threshold_pivot", f"SELECT l_returnflag AS grp, {PIVOT} FROM lineitem GROUP BY l_returnflag")
 def agg_threshold_pivot(spark, d):
     rows = read(spark, d, "lineitem").select(F.col("l_returnflag").alias("grp"), F.col("l_linenumber").alias("thr"), F.col("l_quantity").cast("long").alias("q"))
     thresholds = sorted(r[0] for r in rows.select("thr").distinct().collect())

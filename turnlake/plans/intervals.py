@@ -98,7 +98,13 @@ def iv_raster_overlap(spark, d):
  k AS (SELECT l.file_id, (start_us + 500000) // 1000000 AS f0, (end_us + 500000) // 1000000 AS f1, CAST(speaker_index AS INTEGER) AS speaker_index FROM local l JOIN rk ON l.file_id = rk.file_id AND l.speaker = rk.speaker WHERE speaker_index < 3),
  fr AS (SELECT DISTINCT file_id, speaker_index, unnest(generate_series(f0, f1 - 1)) AS frame FROM k WHERE f1 > f0)""", select="SELECT file_id, speaker_index, COUNT(*) AS frames, CAST(SUM(frame) AS BIGINT) AS frame_sum FROM fr GROUP BY ALL"))
 def iv_frame_activity(spark, d):
-    return I.frame_activity(local(spark, d), 3, 1_000_000).groupBy("file_id", "speaker_index").agg(F.count("*").alias("frames"), F.sum("frame").alias("frame_sum"))
+    runs = I.frame_runs(local(spark, d), 3, 1_000_000)
+    return runs.groupBy("file_id", "speaker_index").agg(F.sum(F.expr("end_us - start_us")).alias("frames"), F.sum(F.expr("(start_us + end_us - 1) * (end_us - start_us) div 2")).alias("frame_sum"))
+
+
+@query("iv_frames", sql(LOCAL, "k AS (SELECT file_id, speaker, (start_us + 5000000) // 10000000 AS f0, (end_us + 5000000) // 10000000 AS f1 FROM local), fs AS (SELECT file_id, speaker, MIN(start_us) AS f FROM local GROUP BY ALL), rk AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY file_id ORDER BY f, speaker) - 1 AS INTEGER) AS speaker_index FROM fs)", select="SELECT DISTINCT k.file_id, unnest(generate_series(f0, f1 - 1)) AS frame, speaker_index FROM k JOIN rk ON k.file_id = rk.file_id AND k.speaker = rk.speaker WHERE f1 > f0 AND speaker_index < 2"))
+def iv_frames(spark, d):
+    return I.frame_activity(local(spark, d), 2, 10_000_000)
 
 
 @query("iv_validate_stats", sql(SEGMENTS, islands_sql("segments", "file_id"), select="""SELECT s.file_id, COUNT(*) AS n_segments, COUNT(DISTINCT speaker) AS n_speakers, CAST(SUM(end_us - start_us) AS BIGINT) AS total_us, MAX(end_us) AS last_us, ANY_VALUE(u.union_us) AS union_us
@@ -122,6 +128,47 @@ def iv_overlap_flag(spark, d):
     return s.join(J.first_partner(s, ["file_id"], 50_000), "seg_id", "left").select("seg_id", F.col("partner").isNotNull().alias("overlapped"))
 
 
+ALIGNED = """al AS (SELECT file_id, seg_id, CAST(unnest(range(0, len(words))) AS INTEGER) AS pos, len(words) AS n, words, start_us, end_us, speaker FROM ref),
+ pa AS (SELECT file_id, seg_id, speaker, pos, words[pos + 1] AS word, CASE WHEN seg_id % 3 = 0 THEN start_us + (end_us - start_us) * pos // n ELSE CAST(floor(start_us + (pos / 2.0::DOUBLE) / ((n - 1) / 2.0::DOUBLE + 0.4::DOUBLE) * (end_us - start_us) + 0.5) AS BIGINT) END AS ws,
+ CASE WHEN seg_id % 3 = 0 THEN start_us + (end_us - start_us) * (pos + 1) // n ELSE CAST(floor(start_us + (pos / 2.0::DOUBLE + 0.4::DOUBLE) / ((n - 1) / 2.0::DOUBLE + 0.4::DOUBLE) * (end_us - start_us) + 0.5) AS BIGINT) END AS we, start_us, end_us FROM al),
+ pw AS (SELECT file_id, seg_id, speaker, pos, word, GREATEST(start_us, LEAST(ws, end_us)) AS word_start_us, GREATEST(GREATEST(start_us, LEAST(ws, end_us)), LEAST(we, end_us)) AS word_end_us FROM pa)"""
+
+
+def aligned_words(spark, d):
+    """Words of turns by alignments that leave every third turn out: half a second from word to word,
+    0.4 of them spoken."""
+    r = ref(spark, d)
+    spoken = F.transform("words", lambda w, i: F.struct(w.alias("word"), (i / 2).alias("start"), (i / 2 + 0.4).alias("end")))
+    alignments = r.where("seg_id % 3 <> 0").select(F.concat_ws("_", "file_id", "seg_id").alias("source"), spoken.alias("words"))
+    slots = r.select("file_id", "seg_id", "speaker", "start_us", "end_us", "words", F.concat_ws("_", "file_id", "seg_id").alias("source"))
+    return I.project_aligned(slots, alignments, "source")
+
+
+@query("iv_project_aligned", sql(TURNS, ALIGNED, select="SELECT file_id, seg_id, pos, word, word_start_us, word_end_us FROM pw"))
+def iv_project_aligned(spark, d):
+    return aligned_words(spark, d).select("file_id", "seg_id", "pos", "word", "word_start_us", "word_end_us")
+
+
+MOVED = "moved AS (SELECT file_id, speaker, start_us - 900000 AS start_us, end_us + 300000 AS end_us FROM ref)"
+
+
+def flagged_words(spark, d):
+    moved = ref(spark, d).select("file_id", "speaker", (F.col("start_us") - 900_000).alias("start_us"), (F.col("end_us") + 300_000).alias("end_us"))
+    return I.overlapped_words(aligned_words(spark, d), moved)
+
+
+@query("iv_word_overlap_flag", sql(TURNS, ALIGNED, MOVED, select="SELECT file_id, seg_id, pos, EXISTS (SELECT 1 FROM moved m WHERE m.file_id = pw.file_id AND m.speaker <> pw.speaker AND LEAST(m.end_us, word_end_us) - GREATEST(m.start_us, word_start_us) > 50000) AS overlapped FROM pw"))
+def iv_word_overlap_flag(spark, d):
+    return flagged_words(spark, d).select("file_id", "seg_id", "pos", "overlapped")
+
+
+@query("sink_word_lines", sql(TURNS, ALIGNED, MOVED, select="SELECT file_id, seg_id, pos, printf('%d.%03d %d.%03d %s %s%s', (word_start_us + 500) // 1000000, (word_start_us + 500) // 1000 % 1000, (word_end_us + 500) // 1000000, (word_end_us + 500) // 1000 % 1000, speaker, CASE WHEN EXISTS (SELECT 1 FROM moved m WHERE m.file_id = pw.file_id AND m.speaker <> pw.speaker AND LEAST(m.end_us, word_end_us) - GREATEST(m.start_us, word_start_us) > 50000) THEN '[OVERLAP] ' ELSE '' END, word) AS value FROM pw"))
+def sink_word_lines(spark, d):
+    from turnlake.sources import sinks as K
+
+    return K.word_lines(flagged_words(spark, d), "seg_id", "pos").select("file_id", "seg_id", "pos", "value")
+
+
 @query("iv_clip", sql(LOCAL, select="SELECT seg_id, start_us, LEAST(end_us, 43200000000) AS end_us FROM local WHERE start_us < 43200000000 - 1000"))
 def iv_clip(spark, d):
     return I.clip(local(spark, d), F.lit(43_200_000_000)).select("seg_id", "start_us", "end_us")

@@ -49,7 +49,7 @@ def join_rounded_start(spark, d):
     return J.lookup(left, table, ["file_id", "cs"], {"mapped": "Unknown"}).select("seg_id", "mapped")
 
 
-@query("join_evidence", sql(SEGMENTS, "item AS (SELECT file_id, CAST(user_id % 4 AS VARCHAR) AS speaker, event_id AS item_id, epoch_us(ts) + 7000000 AS a, epoch_us(ts) + 9000000 AS b, CAST(CAST(ts AS DATE) AS VARCHAR) AS f FROM (SELECT *, CAST(CAST(ts AS DATE) AS VARCHAR) AS file_id FROM events) WHERE event_id % 5 = 0)", select="SELECT item_id FROM item i WHERE EXISTS (SELECT 1 FROM segments s WHERE s.file_id = i.f AND s.speaker = i.speaker AND NOT (s.end_us < i.a OR i.b < s.start_us))"))
+@query("join_evidence", sql(SEGMENTS, "item AS (SELECT file_id, CAST(user_id % 4 AS VARCHAR) AS speaker, event_id AS item_id, epoch_us(ts) + 7000000 AS a, epoch_us(ts) + 9000000 AS b, CAST(CAST(ts AS DATE) AS VARCHAR) AS f FROM (SELECT *, CAST(CAST(ts AS DATE) AS VARCHAR) AS file_id FROM events))", select="SELECT item_id FROM item i WHERE EXISTS (SELECT 1 FROM segments s WHERE s.file_id = i.f AND s.speaker = i.speaker AND NOT (s.end_us < i.a OR i.b < s.start_us))"))
 def join_evidence(spark, d):
     s = segments(spark, d)
     spans = s.select(F.col("seg_id").alias("item_id"), "file_id", "speaker", (F.col("start_us") + 7_000_000).alias("start_us"), (F.col("start_us") + 9_000_001).alias("end_us"))

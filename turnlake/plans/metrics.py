@@ -77,7 +77,11 @@ def met_speaker_mapping(spark, d):
     return M.speaker_mapping(segments(spark, d), hyp(spark, d), ["file_id"])
 
 
-@query("met_speaker_rouge", "SELECT a.conv_id, COUNT(*) AS common FROM (SELECT DISTINCT conv_id, role FROM conversations WHERE turn < 2) a JOIN (SELECT DISTINCT conv_id, role FROM conversations WHERE turn >= 2) b ON a.conv_id = b.conv_id AND a.role = b.role GROUP BY a.conv_id")
+ROLE_WORDS = """c AS (SELECT conv_id, role, turn < 2 AS early, turn, list_filter(regexp_split_to_array(lower(COALESCE(text, '')), '\\s+'), lambda x: x <> '') AS w FROM conversations),
+ g AS (SELECT conv_id, role, early, flatten(list(w ORDER BY turn, w)) AS w FROM c GROUP BY conv_id, role, early), b AS (SELECT f.conv_id, f.role, f.w AS a, s.w AS b FROM g f JOIN g s ON f.conv_id = s.conv_id AND f.role = s.role AND f.early AND NOT s.early)"""
+
+
+@query("met_speaker_rouge", sql(ROLE_WORDS, f"r AS (SELECT conv_id, len(a) AS n, len(b) AS m, {LCS.format(a='a', b='b')} AS l FROM b)", select="SELECT conv_id, COUNT(*) AS common, AVG(CASE WHEN n = 0 OR m = 0 OR l = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * l / (n + m) END) AS rouge_l FROM r GROUP BY conv_id"))
 def met_speaker_rouge(spark, d):
     """ROUGE-L between the words of a role's first turns and those of its later ones, averaged over the roles that have both."""
     c = read(spark, d, "conversations").select("conv_id", "role", "turn", F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda x: x != "").alias("w"))

@@ -21,7 +21,7 @@ def src_rttm_round_trip(spark, d):
     return R.rttm(lines.unionByName(noise))
 
 
-@query("src_rttm_events", sql(LOCAL, select=f"SELECT file_id, {MS.format(us='start_us')} AS start_us, {MS.format(us='start_us')} + {MS.format(us='end_us - start_us')} AS end_us, speaker, 'speech' AS event_type FROM local WHERE seg_id % 2 = 0"))
+@query("src_rttm_events", sql(LOCAL, select=f"SELECT file_id, {MS.format(us='start_us')} AS start_us, {MS.format(us='start_us')} + {MS.format(us='end_us - start_us')} AS end_us, speaker, 'speech' AS event_type FROM local"))
 def src_rttm_events(spark, d):
     return R.rttm_events(K.rttm_lines(local(spark, d)).select("value"))
 
@@ -137,12 +137,6 @@ def src_file_choice(spark, d):
     return R.files_by_folder(listing, ["mixture.wav", "mixture.flac", "audio.wav", "audio.flac"], "audio")
 
 
-@query("src_case_discovery", "SELECT p_partkey, COALESCE(NULLIF(CAST(p_partkey % 3 AS INTEGER), 0), NULLIF(CAST(p_size % 2 AS INTEGER), 0), 3) AS n_speakers FROM part")
-def src_case_discovery(spark, d):
-    zero = lambda c: F.nullif(c.cast("int"), F.lit(0))
-    return read(spark, d, "part").select("p_partkey", F.coalesce(zero(F.col("p_partkey") % 3), zero(F.col("p_size") % 2), F.lit(3)).alias("n_speakers"))
-
-
 @query("src_checkpoints", "SELECT 'ep' || lpad(CAST(l AS VARCHAR), 3, '0') AS label, 2 AS kind, CAST(l AS INTEGER) AS epoch, 'ep' || lpad(CAST(l AS VARCHAR), 3, '0') || '.ckpt' AS file FROM (SELECT DISTINCT l_linenumber AS l FROM lineitem) UNION ALL SELECT 'best_model', 1, 0, 'best_model.bin' UNION ALL SELECT 'baseline', 0, 0, 'baseline.pt'")
 def src_checkpoints(spark, d):
     eps = read(spark, d, "lineitem").select(F.format_string("ep%03d.ckpt", "l_linenumber").alias("file")).distinct()

@@ -17,7 +17,7 @@ HYP = (
     + """, hyp AS (SELECT seg_id, file_id, CASE WHEN seg_id % 13 = 0 THEN CAST((CAST(speaker AS BIGINT) + 1) % 4 AS VARCHAR) ELSE speaker END AS speaker,
  start_us + (seg_id % 7 - 3) * 500000 AS start_us, end_us + (seg_id % 7 - 3) * 500000 AS end_us FROM segments WHERE seg_id % 11 <> 0)"""
 )
-TURNS = """turns AS (SELECT conv_id, turn, role, text, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')[1:40] AS words FROM conversations),
+TURNS = """turns AS (SELECT conv_id, turn, role, text, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS words FROM conversations),
  lines AS (SELECT conv_id AS file_id, turn AS seg_id, role AS speaker, text, words, CAST(SUM(len(words)) OVER (PARTITION BY conv_id ORDER BY turn) * 400000 AS BIGINT) AS end_us, CAST(len(words) * 400000 AS BIGINT) AS dur FROM turns),
  ref AS (SELECT file_id, seg_id, speaker, text, words, end_us - dur AS start_us, end_us FROM lines WHERE len(words) > 0)"""
 HYP_LINES = (

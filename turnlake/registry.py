@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None):
 
 
 
-from turnlake.plans import aggregates, intervals, joins, metrics, sampling, sources, text  # noqa: E402, F401
+from turnlake.plans import aggregates, intervals, joins, metrics, sampling, scans, sources, text  # noqa: E402, F401

@@ -28,21 +28,24 @@ def micros(seconds: str) -> Column:
 
 
 def _fields(lines: DataFrame, name: str = "f") -> DataFrame:
-    return lines.withColumn(name, F.split(F.trim("value"), r"\s+"))
+    """The fields of each line. They come out of a generator: Catalyst puts plain columns into every filter
+    and field that uses them, and each would split the line anew."""
+    return lines.select("*", F.explode_outer(F.array(F.split(F.trim("value"), r"\s+"))).alias(name))
 
 
-def rttm(lines: DataFrame) -> DataFrame:
-    """SPEAKER lines of 8 fields and more: (file_id, start_us, end_us, speaker)."""
+def rttm(lines: DataFrame, key: str | None = None) -> DataFrame:
+    """SPEAKER lines of 8 fields and more: (file_id, start_us, end_us, speaker). file_id is the line's, or that
+    of a column of the lines."""
     f = _fields(lines).where("size(f) >= 8 and get(f, 0) = 'SPEAKER'")
-    f = f.withColumn("_s", micros("get(f, 3)")).withColumn("_d", micros("get(f, 4)")).where("_s is not null and _d is not null")
-    return f.select(F.expr("get(f, 1)").alias("file_id"), F.col("_s").alias("start_us"), (F.col("_s") + F.col("_d")).alias("end_us"), F.expr("get(f, 7)").alias("speaker"))
+    f = f.select((F.col(key) if key else F.expr("get(f, 1)")).alias("file_id"), micros("get(f, 3)").alias("start_us"), micros("get(f, 4)").alias("_d"), F.expr("get(f, 7)").alias("speaker"))
+    return f.where("start_us is not null and _d is not null").select("file_id", "start_us", (F.col("start_us") + F.col("_d")).alias("end_us"), "speaker")
 
 
 def rttm_events(lines: DataFrame) -> DataFrame:
     return rttm(lines).withColumn("event_type", F.lit("speech"))
 
 
-def stm(lines: DataFrame, has_label: bool | None = None) -> DataFrame:
+def stm(lines: DataFrame, has_label: bool | None = None, key: str | None = None) -> DataFrame:
     """(file_id, speaker, start_us, end_us, text). Text begins at field 7 with a label, at 6 without;
     None tells by the look of field 6 (<...>). has_label=True on lines without loses a word, as a strict
     reader does. Lines without text or with an end not after the start drop out."""
@@ -50,7 +53,7 @@ def stm(lines: DataFrame, has_label: bool | None = None) -> DataFrame:
     labelled = F.expr("get(f, 5) rlike '^<.*>$'") if has_label is None else F.lit(has_label)
     f = f.withColumn("text", F.array_join(F.when(labelled, F.expr("slice(f, 7, size(f))")).otherwise(F.expr("slice(f, 6, size(f))")), " "))
     f = f.withColumn("start_us", micros("get(f, 3)")).withColumn("end_us", micros("get(f, 4)")).where("end_us > start_us and text <> ''")
-    return f.select(F.expr("get(f, 0)").alias("file_id"), F.expr("get(f, 2)").alias("speaker"), "start_us", "end_us", "text")
+    return f.select((F.col(key) if key else F.expr("get(f, 0)")).alias("file_id"), F.expr("get(f, 2)").alias("speaker"), "start_us", "end_us", "text")
 
 
 def transcript_json(lines: DataFrame) -> DataFrame:
@@ -118,13 +121,23 @@ def record_maps(lines: DataFrame) -> DataFrame:
     return lines.withColumn("record", record).where("record is not null")
 
 
-def case_of(records: DataFrame, known: DataFrame, names: list[str]) -> DataFrame:
+def word_runs(line: str) -> Column:
+    """Every run from a word's start to a word's end in the tokens of a line; tokens are word characters
+    with dashes and dots inside."""
+    tokens = F.array_distinct(F.regexp_extract_all(F.col(line), F.lit(r"\w+(?:[-.]+\w+)*"), F.lit(0)))
+    pieces = F.transform(tokens, lambda t: F.split(t, r"(?<=\w)(?=[-.])|(?<=[-.])(?=\w)"))
+    starts = lambda w: F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.transform(F.sequence(F.lit(1), F.size(w) - i + 1), lambda n: F.array_join(F.slice(w, i, n), "")))
+    return F.array_distinct(F.flatten(F.transform(pieces, lambda w: F.flatten(starts(w)))))
+
+
+def case_of(records: DataFrame, known: DataFrame, names: list[str], line: str = "value") -> DataFrame:
     """case_id of each record: under one of the names, else the first known id (by id) that stands in its
-    line as a word. Known ids are few (one per case)."""
-    table = known.agg(F.sort_array(F.collect_set("case_id")).alias("known"))
-    blob = F.col("value")
-    found = F.try_element_at(F.filter("known", lambda k: F.regexp_like(blob, F.concat(F.lit(r"(?<!\w)\Q"), k, F.lit(r"\E(?!\w)")))), F.lit(1))
-    return records.join(table, F.lit(True)).withColumn("case_id", F.coalesce(first_filled("record", names), found)).drop("known")
+    line as a word. The words of the lines meet the known ids by an equi-join, however many there are."""
+    named = records.withColumn("_named", first_filled("record", names))
+    wanted = named.where("_named is null").select(F.col(line).alias("_line")).distinct()
+    met = wanted.select("_line", F.explode(word_runs("_line")).alias("case_id")).join(known.select("case_id").distinct(), "case_id")
+    found = met.groupBy("_line").agg(F.min("case_id").alias("_found"))
+    return named.join(found, named[line] == found["_line"], "left").withColumn("case_id", F.coalesce("_named", "_found")).drop("_named", "_found", "_line")
 
 
 def predictions(rows: DataFrame) -> DataFrame:

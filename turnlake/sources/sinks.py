@@ -32,11 +32,11 @@ def ctm_lines(words: DataFrame) -> DataFrame:
     return words.select("file_id", F.col("word_start_us").alias("start_us"), F.format_string("%s 1 %s %s %s", "file_id", start, length, F.upper("word")).alias("value"))
 
 
-def word_lines(words: DataFrame) -> DataFrame:
-    """start end speaker [OVERLAP] word; overlapped is a flag column."""
+def word_lines(words: DataFrame, *carried: str) -> DataFrame:
+    """start end speaker [OVERLAP] word, times to the millisecond; overlapped is a flag column."""
     tag = F.when(F.col("overlapped"), F.lit("[OVERLAP]"))
-    value = F.concat_ws(" ", decimal_seconds(F.col("word_start_us"), 2), decimal_seconds(F.col("word_end_us"), 2), "speaker", tag, "word")
-    return words.select("file_id", F.col("word_start_us").alias("start_us"), value.alias("value"))
+    value = F.concat_ws(" ", decimal_seconds(F.col("word_start_us")), decimal_seconds(F.col("word_end_us")), "speaker", tag, "word")
+    return words.select("file_id", F.col("word_start_us").alias("start_us"), *carried, value.alias("value"))
 
 
 def plain_transcript(lines: DataFrame, key: str, name: str = "transcript") -> DataFrame:
@@ -64,7 +64,22 @@ def write_manifests(samples: DataFrame, path: str) -> None:
     samples.write.partitionBy("stage", "split").json(path)
 
 
-def markdown_table(rows: DataFrame, most: int = 1000) -> str:
-    """A report's table of a small frame."""
-    cells = [rows.columns, ["---"] * len(rows.columns), *([str(v) for v in r] for r in rows.limit(most).collect())]
+def write_report(row: DataFrame, path: str) -> None:
+    """A report of one row as one JSON file."""
+    row.coalesce(1).write.json(path)
+
+
+def write_bundle(path: str, segments: DataFrame, lines: DataFrame, words: DataFrame, meta: DataFrame, label: str = "<o,f0,unk>") -> None:
+    """All texts of recordings below a folder: rttm, stm, ctm and words by recording, metadata as JSON."""
+    write_lines(rttm_lines(segments), f"{path}/rttm")
+    write_lines(stm_lines(lines, label), f"{path}/stm")
+    write_lines(ctm_lines(words), f"{path}/ctm")
+    write_lines(word_lines(words), f"{path}/words")
+    meta.write.partitionBy("file_id").json(f"{path}/meta")
+
+
+def markdown_table(rows: DataFrame) -> str:
+    """A report's table of a small frame, all of it: reports are rendered in the driver, so the frame is to be
+    an aggregate of a few rows."""
+    cells = [rows.columns, ["---"] * len(rows.columns), *([str(v) for v in r] for r in rows.collect())]
     return "\n".join("| " + " | ".join(c) + " |" for c in cells)
