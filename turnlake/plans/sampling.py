@@ -155,10 +155,13 @@ def dd_capped_use(spark, d):
     return O.per_recording(_lines(spark, d), fold)
 
 
-@query("src_files", "SELECT t AS file FROM (SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'benchmark']) || '.parquet' AS t)")
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query("src_files", f"SELECT unnest({[t + '.parquet' for t in TABLES]}) AS file")
 def src_files(spark, d):
-    """Single-file tables of the data folder, from a listing that reads no contents."""
+    """Tables of the data folder, files or folders of parts, from a listing that reads no contents."""
     from turnlake.sources.readers import list_files
 
-    single = [f"{t}.parquet" for t in "region nation customer supplier part orders lineitem events benchmark".split()]
-    return list_files(spark, d).where(F.col("file").isin(single)).select("file")
+    listed = list_files(spark, d).select(F.when(F.col("folder").endswith(".parquet"), F.col("folder")).otherwise(F.col("file")).alias("file"))
+    return listed.where(F.col("file").endswith(".parquet")).distinct()
