@@ -30,3 +30,9 @@ def representatives(samples: DataFrame, group: str, aliases: dict[str, list[str]
     hits = samples.withColumn("_t", F.explode(table)).where(F.exists("_t.a", lambda a: F.contains(F.col(group), a)))
     firsts = first_per_key(hits.withColumn("label", F.col("_t.label")).withColumn("_i", F.col("_t.i")).drop("_t"), ["label"], order)
     return first_per_key(firsts, [case], ["_i"]).drop("_i")
+
+
+def overlap_representatives(samples: DataFrame, overlap: str, targets: list[float], order: list, prefix: str) -> DataFrame:
+    """The first sample of each target overlap, labelled with it; a target without a sample has no row."""
+    near = samples.where(F.col(overlap).isin(targets))
+    return first_per_key(near, [overlap], order).withColumn("label", F.concat(F.lit(prefix), F.col(overlap).cast("int").cast("string")))

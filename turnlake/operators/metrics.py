@@ -158,6 +158,14 @@ def snr_db(signal: str, noise: str) -> Column:
     return 10 * F.log10(power(signal) / power(noise))
 
 
+def mix_at_snr(signal: str, noise: str, snr: Column) -> Column:
+    """Signal plus noise, scaled so that their mean squares' ratio is snr (dB); equally long arrays."""
+    power = lambda c: F.aggregate(F.col(c), F.lit(0.0), lambda a, x: a + x.cast("double") * x) / F.size(c)
+    gain = F.when(power(noise) > 0, F.sqrt(power(signal) / (power(noise) * F.pow(F.lit(10.0), snr / 10)))).otherwise(F.lit(0.0))
+    added = F.transform(F.array(gain), lambda g: F.zip_with(F.col(signal), F.col(noise), lambda s, n: s.cast("double") + g * n))
+    return F.get(added, F.lit(0))
+
+
 def der(ref: DataFrame, hyp: DataFrame, keys: tuple[str, ...] = ("file_id",), mapping: dict[str, str] | None = None) -> DataFrame:
     """Per recording: reference time, miss, false alarm, confusion (microseconds), overlap time hit.
     Each speaker's own segments are merged first; mapping renames hypothesis speakers."""

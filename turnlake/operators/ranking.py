@@ -23,3 +23,8 @@ def nearest(df: DataFrame, keys: list[str], distance: Column, n: int, tie: str)
 def top(df: DataFrame, order: list, n: int) -> DataFrame:
     """The first n rows of an order, kept sorted; a top-k, not a full sort."""
     return df.orderBy(*order).limit(n)
+
+
+def pick(df: DataFrame, keys: list[str], id_col: str, seed: int = 42) -> DataFrame:
+    """One row per key, drawn by a keyed hash of the id."""
+    return first_per_key(df, keys, [F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed)))), id_col])

@@ -5,17 +5,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from turnlake.functions import scalars as S
 from turnlake.operators import aggregates as A
+from turnlake.operators import dedup as D
+from turnlake.operators import intervals as I
 from turnlake.operators import joins as J
 from turnlake.operators import metrics as M
+from turnlake.operators import ranking as N
 from turnlake.operators import sweep as W
 from turnlake.plans.joins import MATCHES, assigned
 from turnlake.plans.metrics import DER, DP
-from turnlake.plans.views import HYP, HYP_LINES, SEGMENTS, TURNS, hyp, hyp_lines, islands_sql, read, ref, segments, sql
+from turnlake.plans.intervals import WORDS
+from turnlake.plans.views import DAY_US, HYP, HYP_LINES, LOCAL, SEGMENTS, TURNS, hyp, hyp_lines, islands_sql, local, read, ref, segments, sql, steps_sql
 from turnlake.registry import query
 from turnlake.sources import readers as R
 from turnlake.sources import scans as C
+from turnlake.sources import sinks as K
 
 
 def split_of(spark, d) -> C.Split:
@@ -33,6 +37,8 @@ def split_of(spark, d) -> C.Split:
     return C.Split(recordings, lines, turns, R.class_table(meta), units)
 
 
+REGIONS_LOCAL = [steps_sql("local"), "busy AS (SELECT file_id, start_us, end_us FROM steps WHERE active >= 2)", islands_sql("busy", "file_id", name="regions")]
+
 PARENTS = """SELECT 'data' || CAST(file_id AS VARCHAR) AS file_id, md5(concat_ws('||', 'self_labeled', 'train', 'data' || CAST(file_id AS VARCHAR), '/audio/data' || CAST(file_id AS VARCHAR) || '.wav')) AS parent_id,
  CASE file_id % 3 WHEN 0 THEN 'vif' WHEN 1 THEN 'coi_mo' ELSE 'data' || CAST(file_id AS VARCHAR) END AS class_name, CASE file_id % 3 WHEN 0 THEN 'gold_real' WHEN 1 THEN 'hard_real' ELSE 'silver_real' END AS bucket,
  CASE WHEN file_id % 3 < 2 THEN CAST(file_id AS VARCHAR) ELSE '' END AS episode, MAX(end_us) + 1000000 AS duration_us FROM ref GROUP BY file_id"""
@@ -50,6 +56,16 @@ def scan_samples(spark, d):
     return C.scan(split_of(spark, d), "train", C.REUSED_SOURCE, by_overlap=True)[1]
 
 
+@query("scan_segments", sql(LOCAL, *REGIONS_LOCAL, "n AS (SELECT *, CAST(GREATEST(1, (end_us - start_us + 28999999) // 29000000) AS INTEGER) AS parts FROM local WHERE speaker <> '3'), p AS (SELECT *, unnest(range(0, parts)) AS part FROM n), q AS (SELECT file_id, seg_id, CAST(part AS INTEGER) AS part, start_us + (end_us - start_us) * part // parts AS a, start_us + (end_us - start_us) * (part + 1) // parts AS b FROM p), z AS (SELECT file_id, seg_id, part, GREATEST(0, a - 100000) AS start_us, LEAST(86400000000, b + 200000) AS end_us FROM q WHERE b - a >= 500000)", select="SELECT z.seg_id, z.part, ANY_VALUE(z.start_us) AS start_us, ANY_VALUE(z.end_us) AS end_us, CASE WHEN CAST(right(z.file_id, 2) AS INTEGER) % 2 = 0 THEN 'even_day' ELSE regexp_replace(z.file_id, '-', '_', 'g') END AS class_name, round(SUM(CASE WHEN r.start_us IS NULL THEN 0 ELSE LEAST(z.end_us, r.end_us) - GREATEST(z.start_us, r.start_us) END)::DOUBLE / GREATEST(ANY_VALUE(z.end_us - z.start_us), 1), 9) AS overlap_ratio FROM z LEFT JOIN regions r ON z.file_id = r.file_id AND z.start_us < r.end_us AND r.start_us < z.end_us GROUP BY z.seg_id, z.part, z.file_id"))
+def scan_segments(spark, d):
+    """Samples of the days' turns; speaker 3 stands for nobody, even days have a class."""
+    turns = local(spark, d)
+    days = turns.select("file_id").distinct()
+    meta = days.where("cast(right(file_id, 2) as int) % 2 = 0").select(F.col("file_id").alias("name"), F.lit("Even Day").alias("class_name"))
+    found = C.segment_samples(turns, days.withColumn("duration_us", F.lit(DAY_US)), meta, ("3",))
+    return found.select("seg_id", "part", "start_us", "end_us", "class_name", F.round("overlap_ratio", 9).alias("overlap_ratio"))
+
+
 @query("scan_partitions")
 def scan_partitions(spark, d):
     """Parents, samples and hours of two scans of one tree under their partitions."""
@@ -121,9 +137,7 @@ def scan_runs(spark, d):
 
 @query("src_segment_manifest", sql(TURNS, select="SELECT CAST(file_id AS VARCHAR) || '_' || CAST(seg_id AS VARCHAR) AS sample_id, CASE WHEN seg_id % 3 = 0 THEN 0 ELSE start_us END AS start_us, end_us, GREATEST(0, end_us - CASE WHEN seg_id % 3 = 0 THEN 0 ELSE start_us END) AS duration_us, CASE WHEN seg_id % 2 = 0 THEN speaker ELSE 'Unknown' END AS speaker, text FROM ref"))
 def src_segment_manifest(spark, d):
-    from turnlake.sources.sinks import decimal_seconds
-
-    start, end = decimal_seconds(F.col("start_us")), decimal_seconds(F.col("end_us"))
+    start, end = K.decimal_seconds(F.col("start_us")), K.decimal_seconds(F.col("end_us"))
     record = F.to_json(F.struct(F.when(F.col("seg_id") % 3 != 0, start).alias("start"), end.alias("end"), F.when(F.col("seg_id") % 2 == 0, F.col("speaker")).alias("speaker"), "text"))
     lines = ref(spark, d).select(F.col("file_id").cast("string").alias("file_id"), F.col("seg_id").alias("line_no"), record.alias("value"))
     return C.segment_manifest(lines, "/root").select("sample_id", "start_us", "end_us", "duration_us", "speaker", "text")
@@ -240,3 +254,65 @@ def pipe_full_run(spark, d):
     words = scored.groupBy("file_id").agg(F.sum("e").alias("edits"), F.sum("n").alias("n_words"))
     both = wrong.join(words, "file_id")
     return both.withColumn("der", F.col("wrong_us") / F.col("ref_us")).withColumn("wer", F.col("edits") / F.greatest(F.col("n_words"), F.lit(1)))
+
+
+@query("src_prediction_counters", "SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (WHERE event_id % 11 = 0) AS no_text, COUNT(*) FILTER (WHERE event_id % 11 <> 0 AND event_id % 7 = 0) AS bad_times, COUNT(*) FILTER (WHERE event_id % 11 <> 0 AND event_id % 7 <> 0) AS kept FROM events")
+def src_prediction_counters(spark, d):
+    e = F.col("event_id")
+    start = F.when(e % 7 == 0, F.lit("oops")).otherwise(e.cast("string"))
+    rows = read(spark, d, "events").select(start.alias("start"), F.concat(e.cast("string"), F.lit(".5")).alias("end"), F.when(e % 11 == 0, F.lit("  ")).otherwise(F.col("event_type")).alias("predicted_text"))
+    return R.prediction_counters(rows)
+
+
+@query("src_prompt_texts", "SELECT 'u' || CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE 'word ' || CAST(p_size AS VARCHAR) END AS text FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 2 = 0")
+def src_prompt_texts(spark, d):
+    """Alignments of even parts, prompts of every third: the prompt counts."""
+    p = read(spark, d, "part")
+    name = F.concat(F.lit("u"), F.col("p_partkey").cast("string"))
+    words = F.transform(F.array(F.lit("word"), F.col("p_size").cast("string")), lambda w: F.struct(w.alias("word")))
+    aligned = p.where("p_partkey % 2 = 0").select(name.alias("audio_id"), words.alias("words"))
+    return R.prompt_texts(aligned, p.where("p_partkey % 3 = 0").select(F.concat(name, F.lit("\t"), "p_brand").alias("value")))
+
+
+STAMP = "printf('%d.%03d', ({us} + 500) // 1000000, ({us} + 500) // 1000 % 1000)"
+
+
+@query("sink_prompt_transcript", sql(TURNS, select=f"SELECT file_id, STRING_AGG('[' || {STAMP.format(us='start_us')} || '-' || {STAMP.format(us='end_us')} || '] ' || speaker || ': ' || text, chr(10) ORDER BY start_us, end_us) AS transcript FROM ref GROUP BY file_id"))
+def sink_prompt_transcript(spark, d):
+    return K.prompt_transcript(ref(spark, d), "file_id")
+
+
+CHANGES = [
+    WORDS,
+    "moved AS (SELECT file_id, seg_id, start_us - CASE WHEN seg_id % 2 = 1 THEN 900000 ELSE 0 END AS start_us, end_us FROM ref)",
+    steps_sql("moved"),
+    "cut AS (SELECT file_id, start_us AS t0, end_us AS t1 FROM steps WHERE active > 0 AND end_us - start_us >= 10000), x AS (SELECT p.file_id, t0, t1, speaker, STRING_AGG(word, ' ' ORDER BY word_start_us, seg_id, pos, word) AS text FROM pw p JOIN cut c ON p.file_id = c.file_id AND (word_start_us + word_end_us) // 2 >= t0 AND (word_start_us + word_end_us) // 2 < t1 GROUP BY p.file_id, t0, t1, speaker)",
+]
+
+
+@query("sink_stm_change_points", sql(TURNS, *CHANGES, select=f"SELECT CAST(file_id AS VARCHAR) || ' 1 ' || speaker || ' ' || {STAMP.format(us='t0')} || ' ' || {STAMP.format(us='t1')} || ' <o,f0,unk> ' || text AS value FROM x"))
+def sink_stm_change_points(spark, d):
+    r = ref(spark, d)
+    moved = r.select("file_id", "seg_id", (F.col("start_us") - F.when(F.col("seg_id") % 2 == 1, 900_000).otherwise(0)).alias("start_us"), "end_us")
+    words = I.project_words(r).select("file_id", "seg_id", "speaker", "pos", "word", "word_start_us", "word_end_us")
+    return K.change_point_stm(words, moved).select("value")
+
+
+@query("top_nearest_pick", "SELECT source, doc_id FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY source ORDER BY md5(concat_ws('|', CAST(doc_id AS VARCHAR), '42')), doc_id) AS k FROM (SELECT source, doc_id, ROW_NUMBER() OVER (PARTITION BY source ORDER BY abs(n_chars - 1000), doc_id) AS n FROM documents) WHERE n <= 3) WHERE k = 1")
+def top_nearest_pick(spark, d):
+    """One of the three documents of a source that are nearest to a length."""
+    near = N.nearest(read(spark, d, "documents"), ["source"], F.abs(F.col("n_chars") - 1000), 3, "doc_id")
+    return N.pick(near, ["source"], "doc_id").select("source", "doc_id")
+
+
+@query("dd_overlap_representatives", "SELECT 'vivo_ov' || CAST(p_size AS VARCHAR) AS label, MIN(p_partkey) AS p_partkey FROM part WHERE p_size IN (5, 10) GROUP BY p_size")
+def dd_overlap_representatives(spark, d):
+    p = read(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("overlap"))
+    return D.overlap_representatives(p, "overlap", [0.0, 5.0, 10.0], ["p_partkey"], "vivo_ov").select("label", "p_partkey")
+
+
+@query("met_mix_at_snr", "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS s, list_transform(list_reverse(embedding), lambda x: x::DOUBLE) AS n FROM embeddings), g AS (SELECT *, sqrt(list_sum(list_transform(s, lambda x: x * x)) / (list_sum(list_transform(n, lambda x: x * x)) * pow(10.0::DOUBLE, (vec_id % 20)::DOUBLE / 10))) AS gain FROM e) SELECT vec_id, round(list_sum(list_transform(range(1, len(s) + 1), lambda i: abs(s[i] + gain * n[i]))), 6) AS loudness FROM g")
+def met_mix_at_snr(spark, d):
+    e = read(spark, d, "embeddings").withColumn("noise", F.reverse("embedding"))
+    mixed = e.select("vec_id", M.mix_at_snr("embedding", "noise", (F.col("vec_id") % 20).cast("double")).alias("mix"))
+    return mixed.select("vec_id", F.round(F.aggregate("mix", F.lit(0.0), lambda a, x: a + F.abs(x)), 6).alias("loudness"))

@@ -149,6 +149,13 @@ def predictions(rows: DataFrame) -> DataFrame:
     return r.where("start_us is not null and end_us is not null and text <> ''").select("data_name", speaker.alias("speaker"), "start_us", "end_us", "text", retried.alias("was_retried"))
 
 
+def prediction_counters(rows: DataFrame) -> DataFrame:
+    """Rows of a predictions CSV by what predictions() does with them: read, without text, with bad times (of
+    those with text), kept."""
+    text, timed = clean_text(F.col("predicted_text")) != "", micros("start").isNotNull() & micros("`end`").isNotNull()
+    return rows.agg(F.count("*").alias("n_rows"), F.count_if(~text).alias("no_text"), F.count_if(text & ~timed).alias("bad_times"), F.count_if(text & timed).alias("kept"))
+
+
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return predictions(spark.read.option("header", True).csv(path))
 
@@ -168,6 +175,12 @@ def prompts(lines: DataFrame) -> DataFrame:
     return m.select(F.regexp_replace("id", r"^speaker(\d+)_(\d+)$", "common_voice_vi_$1$2").alias("id"), F.trim(F.regexp_extract("value", p, 2)).alias("text"))
 
 
+def prompt_texts(alignments: DataFrame, lines: DataFrame) -> DataFrame:
+    """(id, text): words of alignments joined, and prompts of lines, which count where both have an id."""
+    aligned = alignments.where(F.size("words") > 0).select(F.col("audio_id").alias("id"), F.array_join(F.transform("words", lambda w: w["word"]), " ").alias("text"))
+    return first_source(prompts(lines), aligned, key="id")
+
+
 def files_by_folder(listing: DataFrame, priority: list[str], name: str) -> DataFrame:
     """The file of each folder whose name comes first in priority (listing: folder, file)."""
     rank = F.array_position(F.array(*map(F.lit, priority)), F.col("file"))

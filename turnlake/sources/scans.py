@@ -145,6 +145,23 @@ def samples(split: Split, of: DataFrame, spec: O.ChunkSpec = O.ChunkSpec()) -> D
     return made.dropDuplicates(["sample_id"])
 
 
+#: Fixed values of the scan without text: speakers that stand for nobody, the longest and the shortest part.
+UNKNOWN_SPEAKERS = ("unknown", "spk_unknown", "")
+PART_MOST_US, PART_LEAST_US = 29_000_000, 500_000
+
+
+def segment_samples(turns: DataFrame, recordings: DataFrame, metadata: DataFrame, unknown: tuple[str, ...] = UNKNOWN_SPEAKERS) -> DataFrame:
+    """Samples of turns (file_id, seg_id, speaker, start_us, end_us) without reference text: known speakers' turns,
+    split, without short parts, padded inside the recording (file_id, duration_us), with the share of
+    overlapped speech and the class of the metadata (name, class_name) or the recording's own name."""
+    cut = I.split_long(turns.where(~F.lower("speaker").isin(*unknown)), PART_MOST_US).where(F.col("end_us") - F.col("start_us") >= PART_LEAST_US)
+    inside = cut.join(recordings.select("file_id", "duration_us"), "file_id")
+    padded = inside.select("file_id", "seg_id", "part", "speaker", *I.pad(PAD_LEFT_US, PAD_RIGHT_US, F.col("duration_us"))).withColumn("_part", F.concat_ws("|", "file_id", "seg_id", "part"))
+    rated = J.overlap_ratio(padded, I.overlap_regions(turns), ["file_id"], "_part").drop("_part", "covered_us")
+    named = rated.join(metadata.select(F.col("name").alias("file_id"), "class_name"), "file_id", "left")
+    return named.withColumn("class_name", X.normalize_name(F.coalesce("class_name", "file_id")))
+
+
 def limit_units(rows: DataFrame, units: DataFrame, most: int = 2) -> DataFrame:
     """Samples in order of parent and start, each base unit of a recording (file_id, unit) in most kept ones;
     samples of recordings without units stay. Samples of recordings that share units, directly or through

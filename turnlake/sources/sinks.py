@@ -46,6 +46,21 @@ def plain_transcript(lines: DataFrame, key: str, name: str = "transcript") -> Da
     return rows.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["said"]), "\n").alias(name))
 
 
+def prompt_transcript(lines: DataFrame, key: str, name: str = "transcript") -> DataFrame:
+    """[start-end] speaker: text lines in order, one text per recording, for a prompt."""
+    said = F.concat(F.lit("["), decimal_seconds(F.col("start_us")), F.lit("-"), decimal_seconds(F.col("end_us")), F.lit("] "), F.coalesce("speaker", F.lit("unknown")), F.lit(": "), F.coalesce("text", F.lit("")))
+    rows = lines.select(key, F.struct("start_us", "end_us", said.alias("said")).alias("r"))
+    return rows.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["said"]), "\n").alias(name))
+
+
+def change_point_stm(words: DataFrame, segments: DataFrame, label: str = "<o,f0,unk>") -> DataFrame:
+    """STM lines of the words of each speaker between change points of the segments."""
+    from turnlake.operators.intervals import change_point_lines
+
+    lines = change_point_lines(words, segments).withColumnsRenamed({"t0": "start_us", "t1": "end_us"})
+    return stm_lines(lines, label)
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     """Text files, one folder per recording, in start order."""
     lines.repartition("file_id").sortWithinPartitions("file_id", "start_us").select("file_id", "value").write.partitionBy("file_id").text(path)
