@@ -7,11 +7,14 @@ once. A merge touches only the pairs left and right of a place, which leave and
 Since a byte-level merge order is by rank inside each word, this equals encoding word by word.
 
 Words are linked lists over one flat array, so a word of any length costs n log n. What a word turns
-into (ids, their decimal form, its decoded bytes) stays in a bounded cache; a text's result is the
-concatenation over its words. No shuffle; memory is bounded by the block and the cache.
+into (ids, their decimal form, its decoded bytes) stays in a cache of bounded bytes; a text's result is
+the concatenation over its words. No shuffle; memory is bounded by the block and the cache.
 
 Edge cases: a null text counts as empty (no ids, hashes of nothing); unpaired surrogates cannot
-occur in Spark strings; special-token strings are ordinary text.
+occur in Spark strings; special-token strings are ordinary text. Repeated rows and ids are rows of their
+own with equal results; an empty table gives an empty result; a very long text is a block of its own.
+Ties between places of one merge go to the leftmost (a a a). Other columns, whatever their names, are
+left out.
 """
 
 from __future__ import annotations
@@ -29,14 +32,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache
+from .common import Cache, compact, worker_state
 
-#: Characters of text, or of new words, that one replay takes at most, though one whole at least.
-BLOCK = 2_000_000
+#: Characters of text that are split together, though one text whole at least, and of new words that one
+#: replay takes: its lists take some 200 bytes a character.
+BLOCK, REPLAY = 300_000, 150_000
 #: The rank of pairs that no merge joins.
 NONE = 1 << 40
 _SPLIT = regex.compile(public_tokenizers.PATTERN)
-_coders: dict[str, Coder] = {}
+#: Entries of the table of merges at most; it is only a cache.
+MERGES = 150_000
 
 
 class Coder:
@@ -54,7 +59,7 @@ class Coder:
         self.cache = Cache()
 
     def _merged(self, pair: int) -> int:
-        if len(self.merge) > 500_000:
+        if len(self.merge) > MERGES:
             self.merge.clear()
         r = self.merge[pair] = self.rank.get(self.token[pair >> 20] + self.token[pair & 0xFFFFF], NONE)
         return r
@@ -139,45 +144,43 @@ class Coder:
         """Replay the merges over new words and keep what they turn into."""
         at = 0
         while at < len(words):
-            end, room = at, BLOCK
+            end, room = at, REPLAY
             while end < len(words) and (room > 0 or end == at):
                 room -= len(words[end])
                 end += 1
             block = words[at:end]
             for w, ids in zip(block, self.replay([w.encode("utf-8", "surrogatepass") for w in block]), strict=True):
-                self.cache.add(w, (len(ids), ",".join(map(str, ids)), self.decode(ids)))
+                line, decoded = ",".join(map(str, ids)), self.decode(ids)
+                self.cache.add(w, (len(ids), line, decoded), 330 + 2 * len(w) + len(line) + len(decoded))
             at = end
 
-    def texts(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
+    def texts(self, texts: pa.Array) -> Iterator[tuple[int, str, bytes]]:
         """Count, decimal form and decoded bytes of the ids of each text. One replay takes the new
         words of texts of about BLOCK characters together."""
-        at = 0
-        while at < len(texts):
-            end, room = at, BLOCK
-            while end < len(texts) and (room > 0 or end == at):
-                room -= len(texts[end])
-                end += 1
-            split = [_SPLIT.findall(t) for t in texts[at:end]]
+        split, room = [], BLOCK
+        for k, t in enumerate(texts):
+            text = t.as_py() or ""
+            room -= len(text)
+            split.append(_SPLIT.findall(text))
+            if room > 0 and k + 1 < len(texts):
+                continue
             distinct = set(chain.from_iterable(split))
-            new = distinct.difference(self.cache.map)
-            if new:
-                self.cache.room(len(new))
+            if distinct.difference(self.cache.map):
+                self.cache.room()
                 self.learn(sorted(distinct.difference(self.cache.map)))
             known = self.cache.map.__getitem__
             for words in split:
                 parts = list(map(known, words))
                 yield sum([p[0] for p in parts]), ",".join([p[1] for p in parts]), b"".join([p[2] for p in parts])
-            at = end
+            split, room = [], BLOCK
 
     def encode(self, text: str) -> list[int]:
-        line = next(self.texts([text]))[1]
+        line = next(self.texts(pa.array([text])))[1]
         return [int(x) for x in line.split(",")] if line else []
 
 
 def coder(path: str) -> Coder:
-    if path not in _coders:
-        _coders[path] = Coder(path)
-    return _coders[path]
+    return worker_state(("bpe", path), lambda: Coder(path))
 
 
 def encode(docs: DataFrame, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
@@ -189,7 +192,7 @@ def encode(docs: DataFrame, ranks: str | None = None, id_col: str = "doc_id", te
         c = coder(path)
         for batch in batches:
             cols: list[list] = [[], [], [], []]
-            for n, line, decoded in c.texts([x or "" for x in batch.column(1).to_pylist()]):
+            for n, line, decoded in c.texts(batch.column(1)):
                 row = (n, [int(i) for i in line.split(",")] if ids and line else [], hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest())
                 for col, v in zip(cols, row, strict=True):
                     col.append(v)
@@ -197,7 +200,7 @@ def encode(docs: DataFrame, ranks: str | None = None, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
-    out = out.withColumnRenamed("id", id_col)
+    out = compact(out.withColumnRenamed("id", id_col), docs)
     return out if ids else out.drop("ids")
 
 

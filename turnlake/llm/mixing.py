@@ -12,13 +12,16 @@ from the multivariate hypergeometric distribution, so every shard gets its numbe
 draws of all shards are disjoint. Inside a shard rows are shuffled by a seeded hash.
 
 Scale: one pass sums sizes by (source, block), partial sums first, so a source with a third of all
-rows is many small groups; the driver holds one row per source and per block, BINS blocks a source at
-most. The block where a quota ends is cut again by a second hash, until BLOCK documents are left;
-these alone are put in order.
+rows is many small groups. A source has blocks in proportion to its documents, ALL_BLOCKS in all and one a
+source at least: the driver holds one row per source and per block, whatever the corpus. The block where a
+quota ends is cut again by a second hash, until BLOCK documents are left; these alone are put in order.
+A shard is put in order in slices of its hash range, SLICE documents each, so no task holds a shard.
 
 Edge cases: null texts have size 0; null is a source of its own, last; a source without words is
-never taken and has target 0; equal texts and repeated rows count each; an empty table gives an empty
-result; other columns stay out of the digest. All choices are seeded hashes of the id, so reruns agree.
+never taken and has target 0; equal texts and repeated rows and ids count each, as rows of their own; an
+empty table gives an empty result; very long texts count like others, as one document; other columns stay
+out of the digest and are carried by apply(). Ties of a hash go by size, then id. All choices are seeded
+hashes of id and text, so reruns agree; exact repeats of a row (both equal) stand together in a shard.
 """
 
 from __future__ import annotations
@@ -30,15 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, small_table
+from .common import compact, durable, small_table
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = 20_077
 #: Documents of a block, about.
 BLOCK = 256
-#: Most blocks of a source, and most cells that a descent into one block looks at.
-BINS = 4096
+#: Blocks of all sources together, about, and most cells that a descent into one block looks at.
+ALL_BLOCKS, BINS = 1 << 16, 4096
+#: Documents of a slice of a shard's order, about.
+SLICE = 1 << 17
 #: Least shards, and blocks of one beyond that, so that a shard, which one task puts in order, does not grow with the data.
 SHARDS = 16
 SHARD_BLOCKS = 4
@@ -80,10 +85,18 @@ def split_tree(quotas: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
     return out
 
 
-def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def _bounded(table: DataFrame, rows: int) -> DataFrame:
+    """Tables by block are broadcast while there are about ALL_BLOCKS blocks; more come of many sources
+    only, and are then left to the join."""
+    return F.broadcast(table) if rows <= 2 * CAP * ALL_BLOCKS else table
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *carried: F.Column) -> DataFrame:
     return docs.select(
+        *carried,
         F.col(id_col).alias("id"),
         F.col(source_col).cast("string").alias("source"),
+        F.xxhash64(text_col).alias("hash"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(_WORD)), F.lit(0)).cast("long").alias("size"),
     )
 
@@ -126,22 +139,28 @@ def _inside(spark, rows: DataFrame, open_blocks: list[tuple[int, int, int, int]]
     return {i: (lo, hi, quota) for i, (_, lo, hi, quota) in state.items()}
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, shards: int | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(documents, draws). documents: id, source, size, block, source_size, target, copies, taken.
-    draws: one row per block and pass: number (of the source), block, pass, shard. Without a number of
-    shards, each has about SHARD_BLOCKS blocks."""
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, shards: int | None = None, seed: int = SEED, carry: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(documents, draws). documents: id, source, size, block, source_size, target, copies, taken, and with
+    carry the whole input row as row. draws: one row per block and pass: number (of the source), block,
+    pass, shard, slices (in which the shard is put in order). Without a number of shards, each has about
+    SHARD_BLOCKS blocks."""
     spark = docs.sparkSession
-    sized = durable(_sized(docs, id_col, text_col, source_col))
+    sized = durable(compact(_sized(docs, id_col, text_col, source_col), docs))
     found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     found.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
     sizes = [r.size for r in found]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(found))])
-    parts = [min(BINS, max(1, -(-r.n // BLOCK))) for r in found]
+    every = sum(r.n for r in found)
+    parts = [max(1, min(-(-r.n // BLOCK), ALL_BLOCKS * r.n // every)) for r in found]
     kind = pa.schema([("number", pa.int32()), ("source", pa.string()), ("source_size", pa.int64()), ("target", pa.float64()), ("parts", pa.int32())])
     sources = small_table(spark, [(i, r.source, r.size, float(goal[i]), parts[i]) for i, r in enumerate(found)], kind)
-    rows = sized.join(sources, sized.source.eqNullSafe(sources.source)).select(
-        "id", sized.source, "size", "number", "source_size", "target", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("parts")).cast("int").alias("block"), F.shiftrightunsigned(F.xxhash64("id", F.lit(seed + 1)), 2).alias("within")
-    )
+
+    def placed(sized: DataFrame) -> DataFrame:
+        block = F.pmod(F.xxhash64("id", F.lit(seed)), F.col("parts")).cast("int").alias("block")
+        within = F.shiftrightunsigned(F.xxhash64("id", "hash", F.lit(seed + 1)), 2).alias("within")
+        return sized.join(sources, sized.source.eqNullSafe(sources.source)).select(*(sized[c] for c in sized.columns), "number", "source_size", "target", block, within)
+
+    rows = placed(sized)
     sums: dict[int, dict[int, tuple[int, int]]] = {i: {} for i in range(len(found))}
     for r in rows.groupBy("number", "block").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect():
         sums[r.number][r.block] = (r.s, r.n)
@@ -167,49 +186,63 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     cuts = _inside(spark, rows, ends)
     kind = pa.schema([("number", pa.int32()), ("block", pa.int32()), ("passes", pa.int32()), ("more", pa.bool_()), ("lo", pa.int64()), ("hi", pa.int64()), ("quota", pa.int64())])
     at_end = {(i, b): cuts[i] for i, b, _, _ in ends}
-    table = small_table(spark, [(*x, *at_end.get(x[:2], (1 << 62, 1 << 62, 0))) for x in base], kind)
-    dealt = rows.join(table, ["number", "block"])
-    last = dealt.where("within >= lo and within < hi and quota > 0")
-    chosen = (
-        last.groupBy("number", "quota")
-        .agg(F.sort_array(F.collect_list(F.struct(F.col("within"), (-F.col("size")).alias("less"), F.col("id")))).alias("docs"))
-        .withColumn(
-            "at",
-            F.explode(
-                F.expr(
-                    "aggregate(sequence(0, size(docs) - 1), named_struct('left', quota, 'at', cast(array() as array<int>)),"
-                    " (a, k) -> if(docs[k].less < 0 and -docs[k].less <= a.left, named_struct('left', a.left + docs[k].less, 'at', array_append(a.at, k)), a)).at"
-                )
-            ),
-        )
-        .select(F.expr("docs[at].id").alias("chosen_id"), F.expr("docs[at].within").alias("chosen_within"), (-F.expr("docs[at].less")).alias("chosen_size"), F.col("number").alias("chosen_number"))
-        .groupBy("chosen_number", "chosen_id", "chosen_within", "chosen_size")
-        .agg(F.count("*").alias("times"))
+    table = _bounded(small_table(spark, [(*x, *at_end.get(x[:2], (1 << 62, 1 << 62, 0))) for x in base], kind), len(base))
+    whole = F.struct(*(F.col(c) for c in docs.columns)).alias("row")
+    dealt = (placed(_sized(docs, id_col, text_col, source_col, whole)) if carry else rows).join(table, ["number", "block"])
+    # The documents around the ends of the quotas; kept, as their partitions number them.
+    last = durable(compact(dealt.where("within >= lo and within < hi and quota > 0").withColumn("part", F.spark_partition_id()), docs))
+    group = ["number", "id", "within", "size"]
+    # Repeated rows (same id and text) are one entry with a count: as many are taken as still fit.
+    fold = (
+        "aggregate(docs, named_struct('left', quota, 'times', cast(array() as array<bigint>)), (a, x) ->"
+        " named_struct('left', a.left + x.less * if(x.less < 0, least(x.n, a.left div -x.less), 0), 'times', array_append(a.times, if(x.less < 0, least(x.n, a.left div -x.less), 0L)))).times"
     )
-    # Repeated rows (same id and size) are told apart by a running number.
-    nth = F.row_number().over(Window.partitionBy("number", "id", "within", "size").orderBy("block"))
-    filled = last.withColumn("nth", nth).join(chosen, (F.col("number") == F.col("chosen_number")) & F.col("id").eqNullSafe(F.col("chosen_id")) & (F.col("within") == F.col("chosen_within")) & (F.col("size") == F.col("chosen_size")), "left")
-    columns = ["id", "source", "size", "number", "block", "source_size", "target"]
-    ended = filled.select(*columns, (F.col("passes") + F.when(F.col("nth") <= F.col("times"), 1).otherwise(0)).alias("copies"))
+    met = last.groupBy(*group, "quota").agg(F.count("*").alias("n")).groupBy("number", "quota").agg(F.sort_array(F.collect_list(F.struct("within", (-F.col("size")).alias("less"), "id", "n"))).alias("docs"))
+    taken = met.select("number", F.explode(F.arrays_zip("docs", F.expr(fold).alias("times"))).alias("x")).where("x.times > 0")
+    chosen = taken.select(F.col("number").alias("c_number"), F.col("x.docs.id").alias("c_id"), F.col("x.docs.within").alias("c_within"), (-F.col("x.docs.less")).alias("c_size"), F.col("x.times").alias("times"))
+    # They are told apart by a running number, counted by partition so that none of them is one task's work.
+    parted = last.groupBy(*group, "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    bases = parted.select(*(F.col(c).alias(f"b_{c}") for c in (*group, "part")), F.coalesce(before, F.lit(0)).alias("base"))
+    same = lambda a, names: F.expr(" and ".join(f"{n} <=> {a}_{n}" for n in names))
+    numbered = last.withColumn("inside", F.row_number().over(Window.partitionBy(*group, "part").orderBy("block"))).join(bases, same("b", [*group, "part"]))
+    filled = numbered.join(chosen, same("c", group), "left")
+    columns = ["id", "source", "size", "number", "block", "within", "source_size", "target", *(["row"] if carry else [])]
+    ended = filled.select(*columns, (F.col("passes") + F.when(F.col("base") + F.col("inside") <= F.col("times"), 1).otherwise(0)).alias("copies"))
     rest = dealt.where("not (within >= lo and within < hi and quota > 0)").select(*columns, (F.col("passes") + F.when(F.col("more") & (F.col("within") < F.col("lo")), 1).otherwise(0)).alias("copies"))
     documents = rest.unionByName(ended).withColumn("taken", F.col("size") * F.col("copies"))
     shards = shards or max(SHARDS, sum(map(len, drawn)) // SHARD_BLOCKS)
     counts = split_tree(np.array([len(d) for d in drawn], np.int64), shards, seed)
-    draws = []
+    draws, held = [], [0] * shards
     for i, d in enumerate(drawn):
         at = 0
         for s in range(shards):
-            draws += [(i, b, p, s) for b, p in d[at : at + int(counts[s, i])]]
+            for b, p in d[at : at + int(counts[s, i])]:
+                draws.append((i, b, p, s))
+                held[s] += sums[i].get(b, (0, 0))[1]
             at += int(counts[s, i])
-    kind = pa.schema([("number", pa.int32()), ("block", pa.int32()), ("pass", pa.int32()), ("shard", pa.int32())])
-    return documents, small_table(spark, draws, kind)
+    kind = pa.schema([("number", pa.int32()), ("block", pa.int32()), ("pass", pa.int32()), ("shard", pa.int32()), ("slices", pa.int32())])
+    return documents, _bounded(small_table(spark, [(*d, -(-held[d[3]] // SLICE)) for d in draws], kind), len(draws))
+
+
+def _drawn(rows: DataFrame, draws: DataFrame, seed: int) -> DataFrame:
+    """The rows taken, once per pass, with pass, shard, slice and order: shards are read by slice, slices by
+    order."""
+    copies = rows.where("copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    drawn = copies.join(draws, ["number", "block", "pass"]).withColumn("order", F.xxhash64("id", "within", "pass", F.lit(seed + 2)))
+    # A slice is a range of the order: its upper 31 bits by the number of slices.
+    return drawn.withColumn("slice", F.expr("cast((shiftright(order, 33) + 1073741824) * slices div 2147483648 as int)")).drop("slices")
 
 
 def _placed(rows: DataFrame, draws: DataFrame, seed: int) -> DataFrame:
     """The rows taken, once per pass, with pass, shard and position."""
-    copies = rows.where("copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    order = Window.partitionBy("shard").orderBy(F.xxhash64("id", "pass", F.lit(seed + 2)), "id", "pass")
-    return copies.join(draws, ["number", "block", "pass"]).withColumn("position", F.row_number().over(order))
+    drawn = _drawn(rows, draws, seed)
+    sizes = drawn.groupBy("shard", "slice").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    bases = sizes.select("shard", "slice", F.coalesce(before, F.lit(0)).alias("base"))
+    inside = F.row_number().over(Window.partitionBy("shard", "slice").orderBy("order", "id", "pass"))
+    numbered = drawn.withColumn("inside", inside).join(bases, ["shard", "slice"])
+    return numbered.withColumn("position", (F.col("base") + F.col("inside")).cast("int")).drop("slice", "order", "inside", "base")
 
 
 def digest(docs: DataFrame, seed: int = SEED, **names) -> DataFrame:
@@ -218,7 +251,7 @@ def digest(docs: DataFrame, seed: int = SEED, **names) -> DataFrame:
     rows, draws = plan(docs, seed=seed, **names)
     columns = ["id", "size", "source_size", "target"]
     # Equal rows count each, so draws are summed by a number of the row and not by its id; kept, as it is read twice.
-    rows = durable(rows.select(*columns, "number", "block", "copies", F.monotonically_increasing_id().alias("row")))
+    rows = durable(compact(rows.select(*columns, "number", "block", "within", "copies", F.monotonically_increasing_id().alias("row")), docs))
     drawn = _placed(rows, draws, seed).groupBy("row", *columns)
     places = F.sort_array(F.collect_list(F.struct("pass", "shard", "position")))
     summed = drawn.agg(F.sum("size").alias("taken"), F.count("*").cast("int").alias("copies"), places.alias("p")).select(*columns, "taken", "copies", F.col("p.shard").alias("shards"), F.col("p.position").alias("positions"))
@@ -233,10 +266,9 @@ def mix(docs: DataFrame, seed: int = SEED, **names) -> DataFrame:
     return _placed(*plan(docs, seed=seed, **names), seed).select("id", "number", "pass", "shard", "position")
 
 
-def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The input's columns, each document as often as the mix takes it."""
-    rows, _ = plan(docs, id_col, text_col, source_col)
-    times = rows.groupBy(F.col("id").alias("__mix_id")).agg(F.max("copies").cast("int").alias("__mix_copies")).where("__mix_copies > 0")
-    out = docs.join(times, docs[id_col].eqNullSafe(times["__mix_id"]))
-    out = out.withColumn("__mix_pass", F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))))
-    return out.select(*(docs[c] for c in docs.columns))
+def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
+    """The mix with the input's columns: one row per draw, dealt out by (shard, slice) and in drawn order
+    inside each, so a partition holds whole slices."""
+    drawn = _drawn(*plan(docs, id_col, text_col, source_col, seed=seed, carry=True), seed)
+    dealt = drawn.repartition("shard", "slice").sortWithinPartitions("shard", "slice", "order", "id", "pass")
+    return compact(dealt.select(*(F.col("row")[c].alias(c) for c in docs.columns)), docs)

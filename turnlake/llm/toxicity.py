@@ -12,10 +12,18 @@ after it, and words of saying, lower its weight; words of address raise it. The
 of weights against length, strongest hits, their number) go through a logistic model.
 
 Training: labels of rows whose crc32(id as text) mod 4 is not 2; at most PER_CLASS texts of a class,
-those with the smallest seeded hash of the id. Lexicon and model are small; every text is scored.
+those with the smallest seeded hash of the id. Where
+that changes the share of toxic texts, the model's constant is set back to the share among all labels.
+Terms are counted, weighed and turned into features where the texts are; the driver gets the lexicon, which is bounded by the sample, and a row of features a text,
+never a text. Every text of the corpus is scored.
 
 Edge cases: a null or wordless text has no hit and gets the model's base score; equal texts get equal
-scores; an empty label table gives an empty lexicon and score 0 everywhere.
+scores; an empty label table, or one without both labels, gives an empty lexicon and score 0 everywhere;
+an empty documents table gives an empty result. Repeated ids are rows of their own when scored; in
+training an id counts once, with its greatest label and, of several texts, the one with the least hash.
+A term found at several distances counts by the fewest edits, of equals by the smaller term. A very long
+text is one row's work, linear in its words. Columns of other names, also those used here, are carried or
+left out and never read.
 """
 
 from __future__ import annotations
@@ -27,21 +35,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache
+from .common import Cache, compact, durable, worker_state
 
 THRESHOLD = 0.3
 #: Training texts of a class at most, a documented bound; they are used whole.
 PER_CLASS = 2500
-#: Terms of the lexicon at most.
-TERMS = 600
 #: Training texts that a term must stand in, and its least rate against clean texts.
 SUPPORT, RATIO = 5, 6.0
-STEMS = (5, 6, 7, 8)
+#: Letters of a stem.
+STEMS = (6, 7, 8)
 FUZZY_1, FUZZY_2 = 5, 9
 WINDOW = 6
 #: Lazily built states that are kept.
@@ -146,8 +152,8 @@ class Lexicon:
         if known is None:
             found = self.search(word)
             known = 0.0 if found is None else (self.stems if found[2] else self.terms)[found[0]] * (1.0, 0.8, 0.6)[found[1]]
-            self.cache.room(1)
-            self.cache.add(word, known)
+            self.cache.room()
+            self.cache.add(word, known, 130 + 2 * len(word))
         return known
 
 
@@ -168,8 +174,9 @@ def context(text: str, spans: list[tuple[int, int]], k: int) -> float:
 
 
 def features(text: str, lexicon: Lexicon, rate: float = 0.0) -> list[float]:
-    """Of one whole text: 1, density of weights, log of their sum over what clean texts of this
-    length would have (rate a word), the strongest hit, log of hits. Without hits: 1 and zeros."""
+    """Of one whole text, each different word by its strongest place: 1, density of weights among the
+    different words, log of their sum over what clean texts of this length would have (rate a word), the
+    strongest hit, log of the different hits and of all. Without hits: 1 and zeros."""
     words = words_of(text)
     weight, get = lexicon.weight, lexicon.cache.map.get
     hits = []
@@ -180,12 +187,15 @@ def features(text: str, lexicon: Lexicon, rate: float = 0.0) -> list[float]:
         if x:
             hits.append(k)
     if not hits:
-        return [1.0, 0.0, 0.0, 0.0, 0.0]
+        return [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]
     lower = text.lower()
     spans = [m.span() for m in _WORD.finditer(lower)]
-    scores = [lexicon.weight(words[k]) * context(lower, spans, k) for k in hits]
-    total = sum(scores)
-    return [1.0, min(1.0, 10 * total / (len(words) + 20)), math.log((total + 0.5) / (rate * len(words) + 1)), max(scores), math.log1p(len(hits))]
+    best: dict[str, float] = {}
+    for k in hits:
+        w = words[k]
+        best[w] = max(best.get(w, 0.0), lexicon.weight(w) * context(lower, spans, k))
+    total = sum(best.values())
+    return [1.0, min(1.0, 10 * total / (len(set(words)) + 20)), math.log((total + 0.5) / (rate * len(words) + 1)), max(best.values()), math.log1p(len(best)), math.log1p(len(hits))]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 60) -> np.ndarray:
@@ -209,6 +219,9 @@ class Model:
     weights: tuple[float, ...] = ()
     rate: float = 0.0
 
+    def key(self) -> int:
+        return hash((tuple(self.terms.items()), tuple(self.stems.items()), self.clean, self.weights))
+
     def lexicon(self) -> Lexicon:
         return Lexicon(self.terms, self.stems, self.clean)
 
@@ -219,45 +232,62 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def grams(text: str) -> Counter:
+    """Times of each term of a text: =word for a whole word, its opening letters for a stem."""
+    out: Counter = Counter()
+    for w, n in Counter(words_of(text)).items():
+        out["=" + w] += n
+        for k in STEMS:
+            if len(w) > k:
+                out[w[:k]] += n
+    return out
+
+
+def rate_of(toxic_times: int, clean_times: int, total: tuple[int, int]) -> float:
+    """Log ratio of a term's share of the words of toxic texts to that of clean ones (total: clean, toxic)."""
+    return math.log(((toxic_times + 0.5) / total[1]) / ((clean_times + 0.5) / total[0]))
+
+
+def lexicon_of(counts: list[tuple[str, int, int, int, int]], n_texts: tuple[int, int], total: tuple[int, int]) -> tuple[dict, dict]:
+    """Terms and stems with weights from (term, texts clean, texts toxic, times clean, times toxic) rows."""
+    top, terms, stems = math.log(1000), {}, {}
+    for t, used0, used1, times0, times1 in sorted(counts):
+        rate = rate_of(times1, times0, total)
+        if used1 >= SUPPORT and rate > math.log(RATIO) and used1 / n_texts[1] > 2 * used0 / n_texts[0]:
+            (terms if t[0] == "=" else stems)[t.removeprefix("=")] = min(1.0, rate / top)
+    return terms, stems
+
+
+def misread(word: str, lexicon: Lexicon) -> bool:
+    """A word that an edit would take for a term."""
+    found = lexicon.search(word)
+    return bool(found and found[1])
+
+
+def clean_weight(text: str, lexicon: Lexicon) -> tuple[float, int]:
+    """Sum of weights and number of words."""
+    words = words_of(text)
+    return sum(map(lexicon.weight, words)), len(words)
+
+
 def fit(texts: list[tuple[str, int]]) -> Model:
-    """Lexicon and model from (text, label) rows."""
-    used: dict[int, Counter] = {0: Counter(), 1: Counter()}  # texts with the term
-    times: dict[int, Counter] = {0: Counter(), 1: Counter()}  # occurrences
-    total, n_texts = {0: 1, 1: 1}, Counter(y for _, y in texts)
+    """Lexicon and model from (text, label) rows in memory, by the steps that train() distributes."""
+    used: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    times: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    total, n_texts = [1, 1], Counter(y for _, y in texts)
     if not n_texts[0] or not n_texts[1]:
         return Model()
     for text, y in texts:
-        words = Counter(words_of(text))
-        total[y] += sum(words.values())
-        grams = Counter()
-        for w, n in words.items():
-            grams["=" + w] += n
-            for k in STEMS:
-                if len(w) > k:
-                    grams[w[:k]] += n
-        times[y].update(grams)
-        used[y].update(grams.keys())
-    rated = []
-    for t, n in used[1].items():
-        if n < SUPPORT:
-            continue
-        share = (n / n_texts[1], used[0][t] / n_texts[0])
-        rate = math.log(((times[1][t] + 0.5) / total[1]) / ((times[0][t] + 0.5) / total[0]))
-        if rate > math.log(RATIO) and share[0] > 2 * share[1]:
-            rated.append((rate * math.sqrt(n), rate, t))
-    rated = sorted(rated, key=lambda r: (-r[0], r[2]))[:TERMS]
-    top = math.log(1000)
-    terms = {t[1:]: min(1.0, r / top) for _, r, t in rated if t[0] == "="}
-    stems = {t: min(1.0, r / top) for _, r, t in rated if t[0] != "="}
-    # Words of clean texts that an edit would take for a term.
+        g = grams(text)
+        total[y] += sum(n for t, n in g.items() if t[0] == "=")
+        times[y].update(g)
+        used[y].update(g.keys())
+    counts = [(t, used[0][t], n, times[0][t], times[1][t]) for t, n in used[1].items()]
+    terms, stems = lexicon_of(counts, (n_texts[0], n_texts[1]), tuple(total))
     open_ = Lexicon(terms, stems)
-    clean = frozenset(t[1:] for t, n in used[0].items() if t[0] == "=" and n >= 2 and (f := open_.search(t[1:])) and f[1])
-    model = Model(terms, stems, clean)
+    model = Model(terms, stems, frozenset(t[1:] for t, n in used[0].items() if t[0] == "=" and n >= 2 and misread(t[1:], open_)))
     lexicon = model.lexicon()
-    # Weight of hits a word, in clean texts that have any.
-    words = [words_of(t) for t, y in texts if not y]
-    held = [(sum(map(lexicon.weight, ws)), len(ws)) for ws in words]
-    held = [h for h in held if h[0]]
+    held = [h for h in (clean_weight(t, lexicon) for t, y in texts if not y) if h[0]]
     model.rate = sum(h[0] for h in held) / max(1, sum(h[1] for h in held))
     x = np.array([features(t, lexicon, model.rate) for t, _ in texts])
     model.weights = tuple(_logistic(x, np.array([y for _, y in texts], float)).tolist())
@@ -268,33 +298,88 @@ def held_out(id_col: str) -> F.Column:
     return (F.crc32(F.col(id_col).cast("string").cast("binary")) % 4) == 2
 
 
+def _texts(rows: DataFrame, schema: pa.Schema, ddl: str, each) -> DataFrame:
+    """A frame of what each(text, y) yields for every row (text, y)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                out = list(zip(*each(text.as_py() or "", y), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out or [()] * len(schema), schema, strict=True)], schema=schema)
+
+    return rows.select("text", "y").mapInArrow(run, ddl)
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 5) -> Model:
     """Fit on a bounded sample of labelled rows that are not held out."""
-    usable = labels.where(~held_out(id_col) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
+    usable = labels.where(~held_out(id_col) & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     order = [F.xxhash64("id", F.lit(seed)), "id"]
     ids = usable.where("y = 1").orderBy(*order).limit(PER_CLASS).unionAll(usable.where("y = 0").orderBy(*order).limit(PER_CLASS))
-    # At most 2 * PER_CLASS rows: broadcast.
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").select("id", "text", "y").collect()
-    return fit([(r.text or "", int(r.y)) for r in sorted(rows, key=lambda r: (r.id, r.text or "", r.y))])
+    # At most 2 * PER_CLASS rows: broadcast. An id has one text, whatever its rows.
+    met = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
+    rows = durable(met.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")), 2 * PER_CLASS)
+    n = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
+        return Model()
+    every = {r.y: r.n for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    kind = pa.schema([("term", pa.string()), ("y", pa.int32()), ("times", pa.int64())])
+    counted = _texts(rows, kind, "term string, y int, times long", lambda t, y: [(g, y, k) for g, k in grams(t).items()])
+    sums = [F.sum(F.when(F.col("y") == y, v).otherwise(0)).cast("long").alias(c) for c, y, v in (("used0", 0, F.lit(1)), ("used1", 1, F.lit(1)), ("times0", 0, F.col("times")), ("times1", 1, F.col("times")))]
+    terms = durable(counted.groupBy("term").agg(*sums), 2 * PER_CLASS * 1000)  # the bound only sizes files
+    words = terms.where("startswith(term, '=')")
+    total = tuple(1 + (x or 0) for x in words.agg(F.sum("times0"), F.sum("times1")).first())
+    counts = [tuple(r) for r in terms.where((F.col("used1") >= SUPPORT) & (F.col("used1") * n[0] > 2 * F.col("used0") * n[1]) & (F.col("times1") > 0)).collect()]
+    model = Model(*lexicon_of(counts, (n[0], n[1]), total))
+    near = _clean_words(words.where("used0 >= 2"), model)
+    model.clean = frozenset(r.word for r in near.collect())
+
+    def each(text: str, y: int) -> list[tuple]:
+        return [(y, *clean_weight(text, _lexicon(model)))]
+
+    held = _texts(rows.where("y = 0"), pa.schema([("y", pa.int32()), ("weight", pa.float64()), ("n", pa.int64())]), "y int, weight double, n long", each).where("weight > 0").collect()
+    model.rate = math.fsum(h.weight for h in held) / max(1, sum(h.n for h in held))
+    k = len(features("", model.lexicon()))
+    kind = pa.schema([("y", pa.int32()), ("x", pa.list_(pa.float64()))])
+    found = _texts(rows, kind, "y int, x array<double>", lambda t, y: [(y, features(t, _lexicon(model), model.rate))]).collect()
+    found.sort(key=lambda r: (r.y, r.x))
+    weights = _logistic(np.array([r.x for r in found]).reshape(-1, k), np.array([r.y for r in found], float))
+    # The sample may hold another share of toxic texts than all labels do; the constant takes that back.
+    weights[0] += math.log(every[1] / every[0]) - math.log(min(every[1], PER_CLASS) / min(every[0], PER_CLASS))
+    model.weights = tuple(weights.tolist())
+    return model
+
+
+def _clean_words(words: DataFrame, model: Model) -> DataFrame:
+    """Of terms =word, the words that an edit would take for a term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = _lexicon(model)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([w[1:] for w in batch.column(0).to_pylist() if misread(w[1:], lexicon)], pa.string())], names=["word"])
+
+    return words.select("term").mapInArrow(run, "word string")
 
 
-_loaded: list = [None, None]
+def _lexicon(model: Model) -> Lexicon:
+    """The model's automaton and cache in this worker."""
+    return worker_state(("toxicity", model.key()), model.lexicon)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, score: one row per input row."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    key = hash((tuple(model.terms.items()), tuple(model.stems.items()), model.weights))
+    return docs.select(id_col, _scorer(model)(F.col(text_col)).alias("score"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _loaded[0] != key:
-            _loaded[:] = [key, model.lexicon()]
-        lexicon = _loaded[1]
-        for batch in batches:
-            scores = [model.score(x.as_py() or "", lexicon) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["id", "score"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+def _scorer(model: Model):
+    """The score of a text column, in Arrow batches of that column alone."""
+
+    @F.arrow_udf("double")
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        lexicon = _lexicon(model)
+        for batch in texts:
+            yield pa.array([model.score(t.as_py() or "", lexicon) for t in batch], pa.float64())
+
+    return scored
 
 
 def predictions(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -305,13 +390,4 @@ def predictions(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
 def reject(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The input's rows and columns without those that score THRESHOLD or more."""
-    key = hash((tuple(model.terms.items()), tuple(model.stems.items()), model.weights))
-
-    @F.pandas_udf("boolean")
-    def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if _loaded[0] != key:
-            _loaded[:] = [key, model.lexicon()]
-        for series in texts:
-            yield pd.Series([model.score(t or "", _loaded[1]) < THRESHOLD for t in series], dtype=bool)
-
-    return docs.where(clean(F.col(text_col)))
+    return compact(docs.where(_scorer(model)(F.col(text_col)) < THRESHOLD), docs)
