@@ -6,20 +6,28 @@ the same word. Each template compiles into a token automaton; all templates run
 subset automaton built lazily, from every word that can open one. A text is accepted where the
 mandatory words stand exactly as written and in order. Plain phrases are templates without markup.
 
+The templates below are the short licences in full and the notices by which the long ones are applied;
+bodies of any length can be given to scan() in the same markup.
+
 Edge cases: a null text counts as empty; without words n_words is 0, the labels are empty, first
-and last are null and the score is 0. Ties need no rule: every place and every label counts. One
-Arrow pass, no shuffle; a task holds one batch of texts.
+and last are null and the score is 0. Ties need no rule: every place and every label counts. Repeated
+rows and ids are rows of their own with equal results; an empty table gives an empty result; a very long
+text is one row's work; other columns, whatever their names, are left out. One Arrow pass, no shuffle; a
+task holds one batch of texts.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_state
+
 #: Phrases of the base scan and their labels.
 PHRASES = {
     "gnu general public license": "gpl",
@@ -28,6 +36,28 @@ PHRASES = {
     "mit license": "mit",
 }
 
+#: Parts of wording that several templates share.
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+    " [1] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+    " [2] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+)
+_BSD_THIRD = " [[3] neither the name of {8} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission]"
+_BSD_DISCLAIMER = (
+    " this software is provided by {8} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
+    " in no event shall {8} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services"
+    " loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise"
+    " arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+_GNU_GRANT = (
+    "free software you can redistribute it and or modify it under the terms of the gnu {name} general public license as published by the free software foundation"
+    " either version 2|3 [1] of the license or at your option any later version"
+)
+_GNU_WARRANTY = (
+    " {{6}} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"
+    " see the gnu {name} general public license for more details"
+)
+
 #: Fixed values: (label, evidence, template). Evidence is 0.8 for a notice, 1 for licence text.
 TEMPLATES = [
     ("mit", 0.8, "released|licensed|distributed|available under the [terms of the] mit license|licence"),
@@ -51,25 +81,56 @@ TEMPLATES = [
         " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so"
         " subject to the following conditions the above copyright notice and this permission notice [including the next paragraph] shall be included in all copies or substantial portions of the software",
     ),
+    (
+        "mit-full",
+        1.0,
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"
+        " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so"
+        " subject to the following conditions the above copyright notice and this permission notice [including the next paragraph] shall be included in all copies or substantial portions of the software"
+        " the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"
+        " in no event shall the {8} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
     (
         "isc-text",
         1.0,
         "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     ),
     (
-        "bsd-text",
+        "isc-full",
         1.0,
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
-        " [1] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
-        " [2] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
-        " [[3] neither the name of {8} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission]",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
+        " the software is provided as is and {4} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"
+        " in no event shall {4} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action"
+        " arising out of or in connection with the use or performance of this software",
+    ),
+    ("bsd-text", 1.0, _BSD + _BSD_THIRD),
+    ("bsd-full", 1.0, _BSD + _BSD_THIRD + _BSD_DISCLAIMER),
+    (
+        "zlib-text",
+        1.0,
+        "this software is provided as is without any express or implied warranty in no event will the {4} be held liable for any damages arising from the use of this software"
+        " permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"
+        " [1] the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment|acknowledgement in the product documentation would be appreciated but is not required"
+        " [2] altered source versions must be plainly marked as such and must not be misrepresented as being the original software"
+        " [3] this notice may not be removed or altered from any source distribution",
+    ),
+    (
+        "unlicense-text",
+        1.0,
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary"
+        " for any purpose commercial or non commercial and by any means",
     ),
     (
         "apache-2.0-notice",
         1.0,
         "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at {8}"
-        " unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+        " unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"
+        " [see the license for the specific language governing permissions and limitations under the license]",
     ),
+    ("gpl-notice", 1.0, _GNU_GRANT.format(name="") + _GNU_WARRANTY.format(name="")),
+    ("lgpl-notice", 1.0, _GNU_GRANT.format(name="lesser") + _GNU_WARRANTY.format(name="lesser")),
+    ("agpl-notice", 1.0, _GNU_GRANT.format(name="affero") + _GNU_WARRANTY.format(name="affero")),
+    ("mpl-2.0-notice", 1.0, "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at {8}"),
 ]
 
 #: Evidence of a plain phrase.
@@ -191,14 +252,8 @@ class Scanner:
         return found
 
 
-_scanner: Scanner | None = None
-
-
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    global _scanner
-    if _scanner is None:
-        _scanner = Scanner()
-    s = _scanner
+def _scan(templates: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    s = worker_state(("licences", templates), lambda: Scanner(templates=list(templates)))
     for batch in batches:
         rows = []
         for x in batch.column(1):
@@ -217,10 +272,11 @@ _PLACES = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64())
 _NAMES = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "license_words", "places"]
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: counts, labels, score (strongest evidence), words covered, all places."""
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, float, str]] = TEMPLATES) -> DataFrame:
+    """One row per input row: counts, labels, score (strongest evidence), words covered, all places.
+    templates: (label, evidence, wording with markup), tried beside the phrases of the base scan."""
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        _scan, f"id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, license_words long, places array<struct<label:string,first_word:long,end_word:long>>"
+        partial(_scan, tuple(templates)), f"id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, license_words long, places array<struct<label:string,first_word:long,end_word:long>>"
     )
     return out.withColumnRenamed("id", id_col)
