@@ -8,8 +8,8 @@ samples say little. A text's score is the mean, over its n-grams, of log p_targe
 whole millionths, so sums do not depend on order. A text is kept if
 the rules hold and its score is THRESHOLD or more, for every text alike.
 
-Plan: corpus counts are one exploded, partially aggregated pass (2 * BUCKETS groups at most, whatever
-the corpus); the ratio table has that many numbers and comes back as a literal array, so scoring is a
+Plan: corpus counts are one exploded, partially aggregated pass (2 * buckets groups at most, whatever
+the corpus; buckets is a parameter, to be raised with the vocabulary); the ratio table has that many numbers and comes back as a literal array, so scoring is a
 projection without a shuffle. Trusted texts are a bounded sample: the TRUSTED rows of quality 1 with
 the smallest seeded hash, broadcast under that bound; raw counts cover all texts.
 
@@ -19,7 +19,9 @@ a chance below n^2 / 2^65.)
 
 Edge cases: a null or wordless text has no words, fails the rules and is not kept; fewer than three
 words make no window; an empty table gives an empty result; without trusted rows every score is 0.
-Ids are not used, so null or repeated ids and equal texts are rows like any other.
+Ids are only used to find trusted rows, so null or repeated ids and equal texts are rows like any other;
+a very long text is one row's arrays. Ties of the hash that picks trusted rows go by id. Other columns of
+the input, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import fenced
 
+#: Buckets of each order of n-grams, a parameter of assess().
 BUCKETS = 1 << 14
 TRUSTED = 20_000
 SEED = 17
@@ -79,30 +82,30 @@ def with_rules(rows: DataFrame, w: str = "w", text: str = "text") -> DataFrame:
     return counted.withColumn("base_failed", failed)
 
 
-def _grams(w: str) -> str:
-    """Bucket numbers of the n-grams: words in [0, BUCKETS), word pairs in [BUCKETS, 2 BUCKETS)."""
-    one = f"transform({w}, x -> cast(pmod(xxhash64(x), {BUCKETS}) as int))"
-    two = f"transform(sequence(0, size({w}) - 2), i -> cast({BUCKETS} + pmod(xxhash64({w}[i], {w}[i + 1]), {BUCKETS}) as int))"
+def _grams(w: str, buckets: int) -> str:
+    """Bucket numbers of the n-grams: words in [0, buckets), word pairs in [buckets, 2 buckets)."""
+    one = f"transform({w}, x -> cast(pmod(xxhash64(x), {buckets}) as int))"
+    two = f"transform(sequence(0, size({w}) - 2), i -> cast({buckets} + pmod(xxhash64({w}[i], {w}[i + 1]), {buckets}) as int))"
     return f"if(size({w}) < 2, {one}, concat({one}, {two}))"
 
 
-def ratios(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> list[int]:
+def ratios(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, buckets: int = BUCKETS) -> list[int]:
     """log p_target - log p_raw of each bucket, in millionths."""
     trusted = labels.where("quality = 1").select(F.col(id_col).alias("id")).distinct().orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(TRUSTED)
     rows = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
     marked = rows.join(F.broadcast(trusted.withColumn("target", F.lit(1))), "id", "left")  # TRUSTED rows at most
     # The outer form: for explode() Catalyst infers a filter on the array's size, pushes it below the
     # projection of w, and so splits the text anew for every word.
-    grams = marked.select("target", F.explode_outer(F.expr(_grams("w"))).alias("b")).where("b is not null")
+    grams = marked.select("target", F.explode_outer(F.expr(_grams("w", buckets))).alias("b")).where("b is not null")
     counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.count("target").alias("target")).collect()
-    raw, target = [0] * (2 * BUCKETS), [0] * (2 * BUCKETS)
+    raw, target = [0] * (2 * buckets), [0] * (2 * buckets)
     for r in counts:
         raw[r.b], target[r.b] = r.raw, r.target
     if not any(target):
-        return [0] * (2 * BUCKETS)
+        return [0] * (2 * buckets)
     out = []
-    for lo in (0, BUCKETS):  # words and pairs are multinomials of their own
-        part = slice(lo, lo + BUCKETS)
+    for lo in (0, buckets):  # words and pairs are multinomials of their own
+        part = slice(lo, lo + buckets)
         n_raw, n_target = sum(raw[part]) or 1, sum(target[part])
         share = [r / n_raw for r in raw[part]]
         # Counts against what the raw share lets expect, both shrunk by PRIOR: without evidence, no ratio.
@@ -112,12 +115,12 @@ def ratios(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> li
     return out
 
 
-def assess(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def assess(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """Per input row: id, rule counts, base_failed, llr (mean log ratio), kept."""
-    table = ratios(docs, labels, id_col, text_col)
+    table = ratios(docs, labels, id_col, text_col, buckets)
     literal = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), words(F.col(text_col)).alias("w"))
-    ruled = with_rules(rows).withColumn("g", F.expr(_grams("w"))).withColumn("llr_table", literal)
+    ruled = with_rules(rows).withColumn("g", F.expr(_grams("w", buckets))).withColumn("llr_table", literal)
     scored = ruled.withColumn("total", F.expr("aggregate(g, 0L, (a, b) -> a + llr_table[b])"))
     llr = F.when(F.size("g") > 0, F.col("total") / (1e6 * F.size("g"))).otherwise(0.0)
     kept = ~F.col("base_failed") & (F.col("total") >= F.lit(round(THRESHOLD * 1e6)) * F.size("g").cast("long"))
