@@ -6,14 +6,18 @@ head (documents, bytes per id), the document ids, and documents + 1 offsets in i
 into memory. Shards come from a range partition on the document id; a shard's base (the ids of all
 shards before it) is the prefix sum of shard sizes, one number a shard.
 
-Texts are cut where a single space stands between two non-space characters: the tokenizer's own
-pattern always starts a new word there. A piece is cut into the pattern's words, whose ids the
-tokenizers library's model gives; both stay in bounded caches and concatenate to those of the text.
-(Giving the library whole pieces instead cost half as much again.)
+Texts are cut before a space that follows a non-space character: the tokenizer's own pattern always
+starts a new word there. A piece is cut into the pattern's words, whose ids the tokenizers library's
+model gives; both stay in caches of bounded bytes and concatenate to those of the text. (Giving the
+library whole pieces instead cost half as much again.)
+
+Folders are paths, file: URIs or URIs of any store that Arrow's file systems open; only local files are
+mapped into memory, others are read a shard at a time.
 
 Edge cases: a null text counts as empty and yields the end id alone; equal or null document ids stay
 apart, in the order (id nulls first, hash of the text); an empty table makes no shard and an empty
-result. Files appear by an atomic rename, so a repeated task leaves the same bytes.
+result; a very long text is one row's work, written as soon as it is encoded. Other columns, whatever
+their names, are left out. Files appear by a rename, so a repeated task leaves the same bytes.
 """
 
 from __future__ import annotations
@@ -28,21 +32,21 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.fs
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, local_path, shared_dir
+from .common import Cache, durable, remove, shared_dir, worker_state
 
 END_ID = 0
-_ODD = re.compile(r"\s\s|^\s|\s$")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+_CUT = re.compile(r"(?<=\S) ")
 _PATTERN = regex.compile(public_tokenizers.PATTERN)
 #: The letters that byte-level vocabularies write bytes with: printable Latin-1 stands for itself, the
 #: rest take the code points from 256 on in order.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-_encoders: dict[str, Encoder] = {}
+_SPACE = chr(_BYTE_LETTERS[0x20])
 
 
 class Encoder:
@@ -56,58 +60,68 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype(kind or ("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"))
         self.code = {2: "H", 4: "I"}[self.kind.itemsize]
-        self.pieces, self.words = Cache(300_000, 200_000), Cache(200_000, 100_000)
+        self.pieces, self.words = Cache(64 << 20, 32 << 20), Cache(8 << 20, 4 << 20)
 
     def _word(self, word: str) -> bytes:
         """Ids of one match of the tokenizer's pattern."""
         ids = self.words.map.get(word)
         if ids is None:
-            tokens = self.tokenizer.model.tokenize(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(_BYTE_LETTERS))
-            ids = array(self.code, [t.id for t in tokens]).tobytes()
-            self.words.room(1)
-            self.words.add(word, ids)
+            letters = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(_BYTE_LETTERS)
+            ids = self._ids(letters)
+            self.words.room()
+            self.words.add(word, ids, 140 + 2 * len(word) + len(ids))
         return ids
 
+    def _ids(self, letters: str) -> bytes:
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+
     def _split(self, piece: str) -> bytes:
+        if piece.isascii() and piece[1:].isalpha() and piece[0] == " ":  # one word, without odd bytes but the space
+            return self._ids(_SPACE + piece[1:])
         return b"".join(map(self._word, _PATTERN.findall(piece)))
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        pieces = _CUT.split(text) if _ODD.search(text) else text.split(" ")
+        self.pieces.room()
+        first, *pieces = text.split(" ")
         known = self.pieces.map
-        missing = [p for p in dict.fromkeys(pieces[1:]) if p not in known]
-        if missing:
-            self.pieces.room(len(missing))
-            for p in missing:
-                self.pieces.add(p, self._split(" " + p))
-        out = [self._split(pieces[0])]
-        for p in pieces[1:]:
-            ids = known.get(p)
-            if ids is None:  # dropped just now to make room
-                ids = self._split(" " + p)
-                self.pieces.add(p, ids)
-            out.append(ids)
-        return b"".join(out)
+        new = set(pieces).difference(known)
+        end = b""
+        # Pieces that end in white space are never kept, so a text with a space after white space, where no
+        # word need begin, shows here.
+        if first[-1:].isspace() or any(not p or p[-1].isspace() for p in new):
+            first, *pieces = _CUT.split(text)
+            if pieces:
+                end = self._split(" " + pieces.pop())
+            new = set(pieces).difference(known)
+        for p in new:
+            ids = self._split(" " + p)
+            self.pieces.add(p, ids, 140 + 2 * len(p) + len(ids))
+        return self._split(first) + b"".join(map(known.__getitem__, pieces)) + end
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return worker_state(("tokens", path), lambda: Encoder(path))
+
 
+def _store(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a path or URI and the path in it."""
+    if "://" not in uri:
+        uri = "file://" + ("/" + uri[5:].lstrip("/") if uri.startswith("file:") else os.path.abspath(uri))
+    return pyarrow.fs.FileSystem.from_uri(uri)
 
-def _place(path: str, write) -> None:
+
+def _place(store: pyarrow.fs.FileSystem, path: str, write) -> None:
     part = f"{path}.{uuid.uuid4().hex}"
-    with open(part, "wb") as f:
+    with store.open_output_stream(part) as f:
         write(f)
-    os.replace(part, path)
+    store.move(part, path)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     """Write the data set into a new folder; (shard, path, n_docs, n_ids, base, width), one row a shard."""
     spark = docs.sparkSession
-    folder = local_path(path)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange("id").sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
 
@@ -115,7 +129,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId()
-        os.makedirs(folder, exist_ok=True)
+        store, folder = _store(path)
+        store.create_dir(folder, recursive=True)
         enc = encoder(tokenizer)
         name = f"{folder}/shard-{number:05d}"
         end = np.array([end_id], enc.kind).tobytes()
@@ -131,13 +146,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
                     ids.append(i)
                     sizes.append(len(tokens) // enc.kind.itemsize + 1)
 
-        _place(f"{name}.ids", body)
+        _place(store, f"{name}.ids", body)
         offsets = np.concatenate([[0], np.cumsum(np.array(sizes, "<i8"))]).astype("<i8")
         null = np.array([k for k, i in enumerate(ids) if i is None], "<i8")
         head = np.array([len(ids), enc.kind.itemsize, len(null)], "<i8")
         known = np.array([0 if i is None else i for i in ids], "<i8")
-        _place(f"{name}.idx", lambda f: f.write(b"".join(x.tobytes() for x in (head, null, known, offsets))))
-        yield pa.RecordBatch.from_pydict({"shard": [number], "path": [name], "n_docs": [len(ids)], "n_ids": [int(offsets[-1])], "width": [enc.kind.itemsize]})
+        _place(store, f"{name}.idx", lambda f: f.write(b"".join(x.tobytes() for x in (head, null, known, offsets))))
+        yield pa.RecordBatch.from_pydict({"shard": [number], "path": [f"{path}/shard-{number:05d}"], "n_docs": [len(ids)], "n_ids": [int(offsets[-1])], "width": [enc.kind.itemsize]})
 
     made = sorted(ordered.mapInArrow(shard, "shard long, path string, n_docs long, n_ids long, width long").collect())
     bases = np.concatenate([[0], np.cumsum([x.n_ids for x in made])]).tolist()
@@ -145,14 +160,21 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     return spark.createDataFrame(table, "shard long, path string, n_docs long, n_ids long, width long, base long")
 
 
+def _mapped(uri: str, kind: str) -> np.ndarray:
+    """A flat file of numbers: mapped into memory if it is local, else read."""
+    store, path = _store(uri)
+    if isinstance(store, pyarrow.fs.LocalFileSystem):
+        return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
+    with store.open_input_file(path) as f:
+        return np.frombuffer(f.read(), kind)
+
+
 def read_shard(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Document ids, positions whose id is null, offsets and ids of a shard, mapped into memory."""
-    index = np.memmap(f"{path}.idx", "<i8", "r")
+    """Document ids, positions whose id is null, offsets and ids of a shard."""
+    index = _mapped(f"{path}.idx", "<i8")
     n, width, n_null = (int(x) for x in index[:3])
     at = 3 + n_null
-    offsets = index[at + n : at + 2 * n + 1]
-    ids = np.memmap(f"{path}.ids", f"<u{width}", "r") if offsets[-1] else np.zeros(0, f"<u{width}")
-    return index[at : at + n], index[3:at], offsets, ids
+    return index[at : at + n], index[3:at], index[at + n : at + 2 * n + 1], _mapped(f"{path}.ids", f"<u{width}")
 
 
 def read(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -177,6 +199,8 @@ def read(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write into a new folder below the shared one and read back."""
+    """Write into a new folder below the shared one and read back; the folder then goes."""
     folder = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
-    return read(write(docs, folder, tokenizer or public_tokenizers.path("byte_bpe_50k.json"), id_col, text_col), id_col)
+    found = durable(read(write(docs, folder, tokenizer or public_tokenizers.path("byte_bpe_50k.json"), id_col, text_col), id_col))
+    remove(docs.sparkSession, folder)
+    return found
