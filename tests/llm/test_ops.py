@@ -432,7 +432,7 @@ def test_toxicity_context_and_edges(spark, odd, empty, no_labels, labels):
     assert toxicity.context(quoted, spans(quoted), 4) < toxicity.context(plain, spans(plain), 2) < toxicity.context("you are stupid", spans("you are stupid"), 2)
     assert {r.score for r in toxicity.predictions(odd, no_labels).collect()} == {0.0}
     assert toxicity.predictions(empty, labels).count() == 0
-    model = toxicity.Model({"moron": 1.0}, {}, frozenset(), (-3.0, 1.0, 6.0, 1.0, 0.0))
+    model = toxicity.Model({"moron": 1.0}, {}, frozenset(), (-3.0, 1.0, 6.0, 1.0, 0.0, 0.0))
     rows = spark.createDataFrame([(1, "you moron"), (2, "fine"), (3, None)], "doc_id long, text string")
     assert sorted(r.doc_id for r in toxicity.reject(rows, model).collect()) == [2, 3]
 

@@ -1,13 +1,16 @@
 """Media columns: TIFF in a binary column, one row per page.
 
 The reader walks the chain of image directories of either byte order, decodes strips and tiles that
-are stored plain, with PackBits, LZW or deflate, undoes horizontal differencing, and gives each page's
-samples as bytes (8 bits a sample, chunky). The writer makes such files, so that any bytes can be kept
-as pages of 8-bit samples without loss.
-
-Edge cases: a null or empty binary has no page; a file that breaks the format yields one row with its
-error and no samples, never a failure of the job; a directory chain that loops ends where it would
-repeat. A task holds one file at a time, and one page of it decoded.
+are stored plain, with PackBits, LZW or deflate, undoes horizontal differencing, joins planes, and gives each
+page's samples row by row: a byte a sample of 1, 2, 4 or 8 bits, two (little-endian) of 16. The writer makes
+files of 8-bit samples, so that any bytes can be kept as pages without loss.
+
+Edge cases: a null or empty binary has no page; a file that breaks the format, claims more samples than its
+bytes can hold, or has samples of another kind, yields one row with its error and no samples, never a
+failure of the job; a directory chain that loops ends where it would repeat. An empty table gives an empty
+result; repeated rows and ids are rows of their own, equal files have equal pages; pages of one file come in
+order. A task holds one file at a time, and one page of it decoded, however long the texts or files are.
+Other columns are left out unless asked for, whatever their names. No rule needs ties.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
+#: Bytes that a stored byte can become at most, by compression: a run of 128 of two bytes, 4094 bytes of a code
+#: of 12 bits, 258 bytes of two bits.
+EXPANSION = {NONE: 1, PACKBITS: 64, LZW: 2730, DEFLATE: 1032, OLD_DEFLATE: 1032}
 #: Sizes of the field types 1 to 13.
 _SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4}
 _CODE = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 13: "I"}
 #: Tags of the format.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
-PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 284, 317, 322, 323, 324, 325
+PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, FORMAT = 284, 317, 322, 323, 324, 325, 339
 
 
 def pack_bits(data: bytes) -> bytes:
@@ -229,54 +236,115 @@ def directories(data: bytes) -> Iterator[dict[int, list[int]]]:
         (at,) = struct.unpack_from(f"{order}I", data, at + 2 + 12 * n)
 
 
+def _cells(f: dict[int, list[int]], width: int, height: int, planes: int, size: int) -> Iterator[tuple[int, int, int, int, int, int, int]]:
+    """(plane, y, x, height, width, offset, bytes) of each strip or tile, after a check of their number."""
+    if TILE_OFFSETS in f:
+        tw, th = f[TILE_WIDTH][0], f[TILE_HEIGHT][0]
+        places, counts, fixed = f[TILE_OFFSETS], f[TILE_COUNTS], True
+    else:
+        tw, th = width, min(f.get(ROWS_PER_STRIP, [height])[0], height) or height
+        places, counts, fixed = f[STRIP_OFFSETS], f[STRIP_COUNTS], False
+    if not tw or not th:
+        raise ValueError("cells without extent")
+    across, down = -(-width // tw), -(-height // th)
+    if len(places) != len(counts) or len(places) != across * down * planes:
+        raise ValueError("another number of strips or tiles than the page needs")
+    if any(p + n > size for p, n in zip(places, counts, strict=True)):
+        raise ValueError("strips or tiles beyond the file")
+    for k, (place, count) in enumerate(zip(places, counts, strict=True)):
+        plane, at = divmod(k, across * down)
+        y, x = at // across * th, at % across * tw
+        yield plane, y, x, th if fixed else min(th, height - y), tw, place, count
+
+
+def _samples(raw: bytes, h: int, w: int, spp: int, bits: int, big: bool) -> np.ndarray:
+    """A cell's decoded bytes as an array (h, w, spp); rows begin at whole bytes."""
+    if bits == 16:
+        return np.frombuffer(raw, ">u2" if big else "<u2", h * w * spp).reshape(h, w, spp).astype("<u2")
+    if bits == 8:
+        return np.frombuffer(raw, np.uint8, h * w * spp).reshape(h, w, spp)
+    stride = -(-w * spp * bits // 8)
+    rows = np.unpackbits(np.frombuffer(raw, np.uint8, h * stride).reshape(h, stride), axis=1)
+    values = rows[:, : w * spp * bits].reshape(h, w * spp, bits)
+    return np.packbits(np.pad(values, ((0, 0), (0, 0), (8 - bits, 0))), axis=2).reshape(h, w, spp)
+
+
 def read_page(data: bytes, f: dict[int, list[int]]) -> tuple[int, int, int, bytes]:
     """Width, height, samples per pixel and samples of one directory's page."""
     width, height, spp = f[WIDTH][0], f[HEIGHT][0], f.get(SAMPLES, [1])[0]
-    if set(f.get(BITS, [8])) != {8} or f.get(PLANAR, [1])[0] != 1:
-        raise ValueError("samples of other than 8 bits, or in planes")
+    depths = set(f.get(BITS, [1]))
+    bits = depths.pop() if len(depths) == 1 else 0
+    if bits not in (1, 2, 4, 8, 16) or f.get(FORMAT, [1])[0] != 1:
+        raise ValueError("samples of another kind than whole numbers of 1, 2, 4, 8 or 16 bits")
+    if not 0 < width < 1 << 31 or not 0 < height < 1 << 31 or not 0 < spp < 1 << 16:
+        raise ValueError("a page without extent")
+    planar = f.get(PLANAR, [1])[0] == 2
     compression, predictor = f.get(COMPRESSION, [NONE])[0], f.get(PREDICTOR, [1])[0]
-    if TILE_OFFSETS in f:
-        tw, th = f[TILE_WIDTH][0], f[TILE_HEIGHT][0]
-        cells = [(y, x, th, tw) for y in range(0, height, th) for x in range(0, width, tw)]
-        stored = zip(f[TILE_OFFSETS], f[TILE_COUNTS], strict=True)
-    else:
-        step = min(f.get(ROWS_PER_STRIP, [height])[0], height) or 1
-        cells = [(y, 0, min(step, height - y), width) for y in range(0, height, step)]
-        stored = zip(f[STRIP_OFFSETS], f[STRIP_COUNTS], strict=True)
-    image = np.zeros((height, width, spp), np.uint8)
-    for (y, x, h, w), (place, count) in zip(cells, stored, strict=True):
-        raw = _decoded(data[place : place + count], compression, h * w * spp)
-        cell = np.frombuffer(raw, np.uint8, h * w * spp).reshape(h, w, spp)
+    if compression not in EXPANSION or predictor not in (1, 2) or predictor == 2 and bits < 8:
+        raise ValueError(f"compression {compression}, predictor {predictor}")
+    planes, deep = (spp, 1) if planar else (1, spp)
+    stored = sum(f[TILE_COUNTS] if TILE_OFFSETS in f else f[STRIP_COUNTS])
+    if width * height * spp * bits > 8 * EXPANSION[compression] * min(stored, len(data)):
+        raise ValueError("more samples than the stored bytes can hold")
+    image = np.zeros((height, width, spp), "<u2" if bits == 16 else np.uint8)
+    for plane, y, x, h, w, place, count in _cells(f, width, height, planes, len(data)):
+        size = h * -(-w * deep * bits // 8)
+        if size > EXPANSION[compression] * count:
+            raise ValueError("a cell larger than its bytes can hold")
+        cell = _samples(_decoded(data[place : place + count], compression, size), h, w, deep, bits, bool(f[0][0]))
         if predictor == 2:
-            cell = np.cumsum(cell, axis=1, dtype=np.uint8)
-        image[y : y + h, x : x + w] = cell[: height - y, : width - x]
+            cell = np.cumsum(cell, axis=1, dtype=cell.dtype)
+        image[y : y + h, x : x + w, plane if planar else slice(None)] = cell[: height - y, : width - x, 0 if planar else slice(None)]
     return width, height, spp, image.tobytes()
 
 
-def pages(files: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """One row per page: id_col, page (from 0), width, height, samples_per_pixel, compression,
-    samples (binary), error."""
-    kind = files.schema[id_col].dataType.simpleString()
+#: Bytes of samples, about, and pages of a batch of rows.
+BATCH_BYTES, BATCH_PAGES = 4 << 20, 512
+_PAGE = [("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("samples_per_pixel", pa.int32()), ("bits", pa.int32()), ("compression", pa.int32()), ("samples", pa.binary()), ("error", pa.string())]
+
+
+def file_pages(data: bytes | None) -> Iterator[tuple]:
+    """The pages of one file as tuples in the order of _PAGE; the last one has the error, if there is any."""
+    page = 0
+    try:
+        for f in directories(data) if data else ():
+            w, h, spp, samples = read_page(data, f)
+            yield page, w, h, spp, f.get(BITS, [1])[0], f.get(COMPRESSION, [NONE])[0], samples, None
+            page += 1
+    except (ValueError, KeyError, IndexError, OverflowError, MemoryError, struct.error, zlib.error) as e:
+        yield page, None, None, None, None, None, None, repr(e)
+
+
+def pages(files: DataFrame, id_col: str, media_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per page: id_col, the columns to keep, page (from 0), width, height, samples_per_pixel, bits,
+    compression, samples (binary), error. Pages of a file follow each other in one partition."""
+    carried = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
+    rows = files.select(F.col(id_col).alias("id"), *carried, F.col(media_col).alias("media"))
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = None
         for batch in batches:
-            schema = schema or pa.schema([pa.field("id", batch.schema.field(0).type), ("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("samples_per_pixel", pa.int32()), ("compression", pa.int32()), ("samples", pa.binary()), ("error", pa.string())])
+            head = [batch.schema.field(k) for k in range(batch.num_columns - 1)]
+            schema = pa.schema([*head, *_PAGE])
+            out, size = [], 0
             for i in range(batch.num_rows):
-                data, key = batch.column(1)[i].as_py(), batch.column(0)[i].as_py()
-                if not data:
-                    continue
-                page = 0
-                try:
-                    for f in directories(data):
-                        w, h, spp, samples = read_page(data, f)
-                        yield pa.RecordBatch.from_pylist([{"id": key, "page": page, "width": w, "height": h, "samples_per_pixel": spp, "compression": f.get(COMPRESSION, [NONE])[0], "samples": samples}], schema)
-                        page += 1
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
-                    yield pa.RecordBatch.from_pylist([{"id": key, "page": page, "error": repr(e)}], schema)
-
-    out = files.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).mapInArrow(read, f"id {kind}, page int, width int, height int, samples_per_pixel int, compression int, samples binary, error string")
-    return out.withColumnRenamed("id", id_col)
+                key = tuple(batch.column(k)[i].as_py() for k in range(len(head)))
+                for page in file_pages(batch.column(len(head))[i].as_py()):
+                    out.append((*key, *page))
+                    size += len(page[6] or b"")
+                    if size > BATCH_BYTES or len(out) >= BATCH_PAGES:
+                        yield _batch(out, schema)
+                        out, size = [], 0
+            yield _batch(out, schema)
+
+    kinds = "page int, width int, height int, samples_per_pixel int, bits int, compression int, samples binary, error string"
+    found = rows.mapInArrow(read, f"{ddl}, {kinds}")
+    return found.toDF(id_col, *keep, *(n for n, _ in _PAGE))
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 #: Width of a page that keeps text, and its most rows.
@@ -284,14 +352,24 @@ LINE = 576
 ROWS = 1024
 
 
+#: Forms of stored texts, one in as many texts each.
+FORMS = (
+    dict(compression=LZW),
+    dict(compression=LZW, predictor=True),
+    dict(compression=PACKBITS),
+    dict(compression=DEFLATE),
+    dict(compression=DEFLATE, predictor=True),
+    dict(compression=DEFLATE, predictor=True, tile=(96, 96)),
+    dict(compression=PACKBITS, tile=(16, 288)),
+    dict(compression=NONE),
+)
+
+
 def store(payload: bytes) -> bytes:
-    """Bytes as a file: pages of LINE samples a row. The checksum picks the form, so equal bytes give
-    equal files: of 32, 1 is LZW strips, 4 are PackBits strips, 4 deflate tiles with differencing, 4
-    deflate strips with differencing, the rest deflate strips."""
-    pick = zlib.crc32(payload) % 32
-    form = dict(compression=LZW) if pick < 1 else dict(compression=PACKBITS) if pick < 5 else dict(tile=(96, 96), predictor=True) if pick < 9 else dict(predictor=True) if pick < 13 else {}
+    """Bytes as a file: pages of LINE samples a row. The checksum deals the forms out evenly, so equal bytes
+    give equal files."""
     size = LINE * ROWS
-    return write_tiff([(payload[k : k + size], LINE) for k in range(0, len(payload), size)], **form)
+    return write_tiff([(payload[k : k + size], LINE) for k in range(0, len(payload), size)], **FORMS[zlib.crc32(payload) % len(FORMS)])
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -300,45 +378,73 @@ def padded(text: str | None) -> tuple[int, bytes]:
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per input row: id, n_bytes, media (a TIFF file that keeps the padded text)."""
+    """Per input row: id, n_bytes, media (a TIFF file that keeps the padded text), its bytes and hash."""
     kind = docs.schema[id_col].dataType.simpleString()
+    schema = [("n_bytes", pa.int64()), ("media", pa.binary()), ("media_bytes", pa.int64()), ("media_sha256", pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                kept = [(n, store(p)) for n, p in (padded(x) for x in part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.binary())], names=["id", "n_bytes", "media"])
+            made = _stored(batch)
+            while part := list(islice(made, 256)):
+                yield _batch(part, pa.schema([batch.schema.field(0), *schema]))
+
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, media binary, media_bytes long, media_sha256 string")
+    return out.withColumnRenamed("id", id_col)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
+
+def _stored(batch: pa.RecordBatch) -> Iterator[tuple]:
+    for key, text in zip(batch.column(0), batch.column(1), strict=True):
+        n, payload = padded(text.as_py())
+        media = store(payload)
+        yield key.as_py(), n, media, len(media), hashlib.sha256(media).hexdigest()
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Keep every text as media, read it back and compute features of what was read."""
+    """Keep every text as media, read its pages back and compute features of what was read: the pages of a
+    file follow each other, so each is folded as it comes and a text's pages are never held together."""
     kind = docs.schema[id_col].dataType.simpleString()
-    media = text_media(docs, id_col, text_col)
+    kept = ("n_bytes", "media_bytes", "media_sha256")
+    found = pages(text_media(docs, id_col, text_col), id_col, "media", kept)
     names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file: _File | None = None
+        key = pa.null()
         for batch in batches:
-            rows = []
-            for n, data in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                data = data.as_py()
-                sha, tail, size, n_pages, total, edges, form = hashlib.sha256(), b"", 0, 0, 0, 0, 0
-                for f in directories(data):
-                    w, _, _, samples = read_page(data, f)
-                    sha.update(samples)
-                    tail = (tail + samples)[-32:]
-                    size += len(samples)
-                    n_pages += 1
-                    form = f[COMPRESSION][0]
-                    a = np.frombuffer(samples, np.uint8).reshape(-1, w)
-                    total += int(a.sum(dtype=np.int64))
-                    edges += int(np.count_nonzero(a[:, 1:] != a[:, :-1]))
-                rows.append((n, size, sha.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), f"pages={n_pages};width={LINE};height={size // LINE};compression={form};sum={total};edges={edges}"))
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
-
-    out = media.select(F.col(id_col).alias("id"), "n_bytes", "media").mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+            key, out = batch.schema.field(0).type, []
+            for row in zip(*(batch.column(k) for k in range(batch.num_columns)), strict=True):
+                i, n, size, sha, page, width, _, _, _, form, samples, error = (x.as_py() for x in row)
+                if error is not None:
+                    raise ValueError(f"a text's own file does not read back: {error}")
+                if page == 0:
+                    out += [file.row()] if file else []
+                    file = _File(i, n, size, sha, form)
+                file.add(samples, width)
+            yield _batch(out, pa.schema([("id", key), *zip(names[1:], types, strict=True)]))
+        if file:
+            yield _batch([file.row()], pa.schema([("id", key), *zip(names[1:], types, strict=True)]))
+
+    out = found.mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return out.withColumnRenamed("id", id_col)
+
+
+class _File:
+    """What a stored text's pages add up to."""
+
+    def __init__(self, key, n: int, media_bytes: int, media_sha: str, form: int):
+        self.key, self.n, self.media_bytes, self.media_sha, self.form = key, n, media_bytes, media_sha, form
+        self.sha, self.tail, self.size, self.pages, self.total, self.edges = hashlib.sha256(), b"", 0, 0, 0, 0
+
+    def add(self, samples: bytes, width: int) -> None:
+        self.sha.update(samples)
+        self.tail = (self.tail + samples[-32:])[-32:]
+        self.size += len(samples)
+        self.pages += 1
+        a = np.frombuffer(samples, np.uint8).reshape(-1, width)
+        self.total += int(a.sum(dtype=np.int64))
+        self.edges += int(np.count_nonzero(a[:, 1:] != a[:, :-1]))
+
+    def row(self) -> tuple:
+        feature = f"pages={self.pages};width={LINE};height={self.size // LINE};compression={self.form};sum={self.total};edges={self.edges}"
+        return self.key, self.n, self.size, self.sha.hexdigest(), zlib.crc32(self.tail), self.media_bytes, self.media_sha, feature
