@@ -56,7 +56,7 @@ class Coder:
         self.bytes_rank = np.array([self.rank.get(bytes([a, b]), NONE) for a in range(256) for b in range(256)], np.int64)
         #: Pair (left << 20 | right) -> rank of the merged token, or NONE.
         self.merge: dict[int, int] = {}
-        self.cache = Cache()
+        self.cache = Cache(40 << 20, 16 << 20)
 
     def _merged(self, pair: int) -> int:
         if len(self.merge) > MERGES:

@@ -50,8 +50,8 @@ SUPPORT, RATIO = 5, 6.0
 STEMS = (6, 7, 8)
 FUZZY_1, FUZZY_2 = 5, 9
 WINDOW = 6
-#: Lazily built states that are kept.
-STATES = 200_000
+#: Lazily built states that are kept, some 1 KB each.
+STATES = 100_000
 #: Words of saying and of address around a hit.
 SAYING = frozenset("said says say wrote writes called calls quote quoted quoting quotes word words term insult dit disait écrit appelle citation sagte sagt schrieb nannte zitat dijo dice escribió llamó cita".split())
 ADDRESS = frozenset("you your youre u yourself tu toi ton ta vous du dein deine dich ihr eres usted tú".split())
@@ -132,8 +132,10 @@ class Lexicon:
 
     def search(self, word: str) -> tuple[str, int, bool] | None:
         """(term, edits, is a stem): the best whole-word match, else the longest stem."""
-        if len(self.members) > STATES:  # lazily built states are only a cache
+        if len(self.members) > STATES:  # lazily built states are only a cache, words already looked up stay
+            cache = self.cache
             self.__init__(self.terms, self.stems, self.clean)
+            self.cache = cache
         at, stem = self.start, None
         for c in word:
             to = self.table[at].get(c)
