@@ -1,10 +1,10 @@
-"""The thin queries op1 to op10: each applies its operator to the whole documents table."""
+"""The thin queries op1 to op13: each applies its operator to the whole documents table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, license_scan, mixing, quality, secret_scan, sharding, simhash, tiff, token_files, toxicity
+from . import bpe, exact, license_scan, mixing, prefix_trie, quality, secret_scan, sharding, simhash, spelling, tiff, token_files, toxicity
 from .common import documents
 
 
@@ -49,6 +49,18 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.digest(documents(spark, sf_dir))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.duplicates(documents(spark, sf_dir))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_license_scan": op2_license_scan,
@@ -60,7 +72,14 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_tiff": op10_tiff,
+    "op11_spelling": op11_spelling,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 #: Queries that SQL can express; the others have brute-force tests in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op11_spelling": spelling.ORACLE,
+    "op12_exact_dedup": exact.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
+}
