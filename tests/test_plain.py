@@ -56,7 +56,7 @@ def result(spark, data, name):
 
 
 def test_these_are_all():
-    mine = "met_word_errors met_speaker_mapping met_compression_ratio smp_with_replacement fold_chunks fold_merge_short fold_merge_adjacent fold_turn_groups fold_near_copies fold_repeated_lines fold_retime fold_word_times dd_capped_use scan_samples scan_partitions"
+    mine = "met_word_errors met_speaker_mapping met_compression_ratio smp_with_replacement fold_chunks fold_merge_short fold_merge_adjacent fold_turn_groups fold_near_copies fold_repeated_lines fold_retime fold_word_times dd_capped_use scan_samples scan_partitions met_purified"
     assert set(QUERIES) - set(ORACLE_SQL) == set(mine.split())
 
 

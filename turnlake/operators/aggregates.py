@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlake.operators.joins import range_join, right_side
+from turnlake.operators.shared import carried, durable, same
 
 
 def wer_rollup(segments: DataFrame, file: str, group: str) -> DataFrame:
@@ -40,8 +41,26 @@ def level_check(rows: DataFrame, level: str, part_us: str, whole_us: str, points
     return out.withColumn("percent", percent).withColumn("ok", ok)
 
 
+def quantile(rows: DataFrame, keys: list[str], value: str, part: float, name: str) -> DataFrame:
+    """One row per key: the exact quantile of the values that are not null, between neighbours in proportion. Equal
+    values are counted first, then ranked by ranges of key and value, so no task holds a group."""
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__q")).agg(F.count("*").alias("__count"))
+    ranged = durable(counted.repartitionByRange(*keys, "__q").withColumn("__part", F.spark_partition_id()))
+    seen = carried(ranged, keys, F.col("__part"), F.col("__count"), F.sum, "__before", ["__q"]).withColumn("__before", F.coalesce("__before", F.lit(0)))
+    totals = counted.groupBy(*keys).agg(F.sum("__count").alias("__all")).select(*(F.col(k).alias(f"__t_{k}") for k in keys), "__all")
+    at = (F.col("__all") - 1) * F.lit(part)
+    ranked = seen.join(totals, same(keys, right="__t_")).withColumn("__at", at)
+    has = lambda place: (F.col("__before") <= place) & (place < F.col("__before") + F.col("__count"))
+    near = ranked.where(has(F.floor("__at")) | has(F.ceil("__at")))
+    picked = near.groupBy(*keys).agg(F.min("__q").alias("__low"), F.max("__q").alias("__high"), F.max(F.col("__at") - F.floor("__at")).alias("__f"))
+    return picked.select(*keys, ((1 - F.col("__f")) * F.col("__low") + F.col("__f") * F.col("__high")).alias(name))
+
+
 def spread(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.percentile(value, F.lit(0.5)).alias("median"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("stdev"))
+    """Count, least, most, exact median, mean and sample deviation per key."""
+    sums = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("stdev"))
+    middle = quantile(rows, keys, value, 0.5, "median").withColumnsRenamed({k: f"__m_{k}" for k in keys})
+    return sums.join(middle, same(keys, right="__m_"), "left").select(*keys, "n", "least", "most", "median", "mean", "stdev")
 
 
 def flag_rates(rows: DataFrame, keys: list[str], flags: dict[str, Column]) -> DataFrame:
@@ -77,10 +96,16 @@ def evidence_rates(items: DataFrame, lines: DataFrame, key: str = "file_id") ->
     return each.groupBy(key).agg(F.count("*").alias("n_items"), rate(F.col("_valid")).alias("valid_rate"), rate(F.col("met")).alias("support_rate"), rate(F.col("_present")).alias("presence_rate"))
 
 
-def fairness_weights(segments: DataFrame, keys: tuple[str, ...] = ("file_id",)) -> DataFrame:
+def fairness_weights(segments: DataFrame, keys: tuple[str, ...] = ("file_id",), slice_us: int | None = None) -> DataFrame:
     """Adds weight: 1.1 less the part of the talk so far (before the row, by start) that is the row's
-    speaker's; before any talk it is 1.1."""
+    speaker's; before any talk it is 1.1. Given slice_us, windows are slices of a recording's time."""
     order = ["start_us", "end_us", "seg_id"]
-    before = lambda *by: F.coalesce(F.sum(F.col("end_us") - F.col("start_us")).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    share = before(*keys, "speaker") / F.greatest(before(*keys), F.lit(1))
-    return segments.withColumn("weight", 1.0 - share + 0.1)
+    length = F.col("end_us") - F.col("start_us")
+    if slice_us is None:
+        before = lambda *by: F.coalesce(F.sum(length).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return segments.withColumn("weight", 1.0 - before(*keys, "speaker") / F.greatest(before(*keys), F.lit(1)) + 0.1)
+    cut = F.floor(F.col("start_us") / F.lit(slice_us))
+    own = carried(segments, [*keys, "speaker"], cut, length, F.sum, "_own", order)
+    every = carried(own, list(keys), cut, length, F.sum, "_every", order)
+    zero = F.lit(0).cast("long")
+    return every.withColumn("weight", 1.0 - F.coalesce("_own", zero) / F.greatest(F.coalesce("_every", zero), F.lit(1)) + 0.1).drop("_own", "_every")

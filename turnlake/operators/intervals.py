@@ -1,7 +1,9 @@
 """Interval algebra over half-open segments (keys..., speaker, start_us, end_us), times in microseconds.
 
-Islands and sweeps are window passes that share one shuffle by key (a recording). Rasters and slides
-explode within a row. Empty inputs give empty results; null bounds drop out in filters on them.
+Islands and sweeps are window passes that share one shuffle by key (a recording). Given slice_us, a window is a
+slice of a recording's time instead, and the latest end, the active count and the next start are carried from
+slice to slice, so that a recording may be larger than a task; results are the same. Rasters and slides explode
+within a row. Empty inputs give empty results; null bounds drop out in filters on them.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlake.operators.joins import range_join, right_side
+from turnlake.operators.shared import carried, numbered
 
 KEY = ("file_id",)
 
@@ -29,28 +32,44 @@ def intersects_closed(a0: str, a1: str, b0: str, b1: str) -> Column:
     return ~((F.col(a1) < F.col(b0)) | (F.col(b1) < F.col(a0)))
 
 
-def islands(segments: DataFrame, keys: tuple[str, ...] = KEY, gap_us: int = 0) -> DataFrame:
-    """Union of segments per key; a gap of up to gap_us (inclusive) is bridged."""
-    order = Window.partitionBy(*keys).orderBy("start_us", "end_us")
-    ended = F.max("end_us").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opened = F.when(ended.isNull() | (F.col("start_us") > ended + gap_us), 1).otherwise(0)
-    numbered = segments.withColumn("_open", opened).withColumn("_island", F.sum("_open").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "_island").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.count("*").alias("n_segments")).drop("_island")
+def _slices(slice_us: int) -> Column:
+    return F.floor(F.col("start_us") / F.lit(slice_us))
 
 
-def steps(segments: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
+def islands(segments: DataFrame, keys: tuple[str, ...] = KEY, gap_us: int = 0, slice_us: int | None = None) -> DataFrame:
+    """Union of segments per key; a gap of up to gap_us (inclusive) is bridged."""
+    if slice_us is None:
+        order = Window.partitionBy(*keys).orderBy("start_us", "end_us")
+        ended = F.max("end_us").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        opened = F.when(ended.isNull() | (F.col("start_us") > ended + gap_us), 1).otherwise(0)
+        numbered_rows = segments.withColumn("_open", opened).withColumn("_island", F.sum("_open").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        ended = carried(segments, list(keys), _slices(slice_us), F.col("end_us"), F.max, "_ended", ["start_us", "end_us"])
+        opened = ended.withColumn("_open", F.when(F.col("_ended").isNull() | (F.col("start_us") > F.col("_ended") + gap_us), F.col("start_us")))
+        # An island is named by its first start; of equal segments the one that opens it comes first.
+        before = carried(opened, list(keys), _slices(slice_us), F.col("_open"), F.max, "_before", ["start_us", "end_us", F.col("_open").isNull()])
+        numbered_rows = before.withColumn("_island", F.coalesce("_open", "_before"))
+    return numbered_rows.groupBy(*keys, "_island").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.count("*").alias("n_segments")).drop("_island")
+
+
+def steps(segments: DataFrame, keys: tuple[str, ...] = KEY, slice_us: int | None = None) -> DataFrame:
     """Elementary intervals between change points with the number of active segments."""
     marks = segments.select(*keys, F.explode(F.array(F.struct(F.col("start_us").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end_us").alias("t"), F.lit(-1).alias("d")))).alias("m"))
     summed = marks.groupBy(*keys, F.col("m.t").alias("start_us")).agg(F.sum("m.d").alias("d"))
-    order = Window.partitionBy(*keys).orderBy("start_us")
-    active = F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    out = summed.withColumn("active", active).withColumn("end_us", F.lead("start_us").over(order))
+    if slice_us is None:
+        order = Window.partitionBy(*keys).orderBy("start_us")
+        active = F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0))
+        out = summed.withColumn("active", active).withColumn("end_us", F.lead("start_us").over(order))
+    else:
+        before = carried(summed, list(keys), _slices(slice_us), F.col("d"), F.sum, "_active", ["start_us"])
+        after = carried(before, list(keys), _slices(slice_us), F.col("start_us"), F.min, "end_us", [F.desc("start_us")], last_first=True)
+        out = after.withColumn("active", F.col("d") + F.coalesce("_active", F.lit(0)))
     return out.where("end_us is not null").select(*keys, "start_us", "end_us", F.col("active").cast("long").alias("active"))
 
 
-def overlap_regions(segments: DataFrame, keys: tuple[str, ...] = KEY, least: int = 2) -> DataFrame:
+def overlap_regions(segments: DataFrame, keys: tuple[str, ...] = KEY, least: int = 2, slice_us: int | None = None) -> DataFrame:
     """Maximal regions with at least that many active segments."""
-    return islands(steps(segments, keys).where(F.col("active") >= least), keys).drop("n_segments")
+    return islands(steps(segments, keys, slice_us).where(F.col("active") >= least), keys, slice_us=slice_us).drop("n_segments")
 
 
 def by_speaker(segments: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
@@ -58,9 +77,9 @@ def by_speaker(segments: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
     return islands(segments, (*keys, "speaker")).drop("n_segments")
 
 
-def time_profile(segments: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
+def time_profile(segments: DataFrame, keys: tuple[str, ...] = KEY, slice_us: int | None = None) -> DataFrame:
     """Silence (inside the recording's span), single and overlap time, and most active at once."""
-    s = steps(segments, keys)
+    s = steps(segments, keys, slice_us)
     length = F.col("end_us") - F.col("start_us")
     part = lambda c: F.sum(F.when(c, length).otherwise(0)).alias
     return s.groupBy(*keys).agg(part(F.col("active") == 0)("silence_us"), part(F.col("active") == 1)("single_us"), part(F.col("active") >= 2)("overlap_us"), F.max("active").alias("max_active"))
@@ -170,7 +189,8 @@ def adjacent_gaps(segments: DataFrame, longer_us: int, keys: tuple[str, ...] = K
 
 
 def reindex(segments: DataFrame, keys: tuple[str, ...] = KEY, tie: str = "seg_id") -> DataFrame:
-    return segments.withColumn("idx", F.row_number().over(Window.partitionBy(*keys).orderBy("start_us", "end_us", tie)))
+    """Adds idx, the running number of a segment from 1; a speaker's segments may be more than a task holds."""
+    return numbered(segments, list(keys), ["start_us", "end_us", tie], "idx").withColumn("idx", (F.col("idx") + 1).cast("int"))
 
 
 def merge_rows(segments: DataFrame, keys: tuple[str, ...]) -> DataFrame:

@@ -24,19 +24,23 @@ def right_side(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, *(F.col(c).alias(f"r_{c}") for c in df.columns if c not in keys))
 
 
-def overlap_ratio(items: DataFrame, regions: DataFrame, keys: list[str], id_col: str) -> DataFrame:
-    """Covered time of each item by disjoint regions, and its share of the item."""
+def _ids(id_col: str | list[str]) -> list[str]:
+    return [id_col] if isinstance(id_col, str) else id_col
+
+
+def overlap_ratio(items: DataFrame, regions: DataFrame, keys: list[str], id_col: str | list[str]) -> DataFrame:
+    """Covered time of each item by disjoint regions, and its share of the item; id_col: what tells items apart."""
     pairs = range_join(items, right_side(regions, keys), keys)
-    held = pairs.groupBy(id_col).agg(F.sum(F.expr("least(end_us, r_end_us) - greatest(start_us, r_start_us)")).alias("covered_us"))
-    out = items.join(held, id_col, "left").withColumn("covered_us", F.coalesce("covered_us", F.lit(0)).cast("long"))
+    held = pairs.groupBy(*_ids(id_col)).agg(F.sum(F.expr("least(end_us, r_end_us) - greatest(start_us, r_start_us)")).alias("covered_us"))
+    out = items.join(held, _ids(id_col), "left").withColumn("covered_us", F.coalesce("covered_us", F.lit(0)).cast("long"))
     return out.withColumn("overlap_ratio", F.col("covered_us") / F.greatest(F.col("end_us") - F.col("start_us"), F.lit(1)))
 
 
-def clamp_to_region(items: DataFrame, regions: DataFrame, keys: list[str], id_col: str) -> DataFrame:
+def clamp_to_region(items: DataFrame, regions: DataFrame, keys: list[str], id_col: str | list[str]) -> DataFrame:
     """Each item cut to the region that it overlaps most (the first of equals); else as it is."""
     pairs = range_join(items, right_side(regions, keys), keys).withColumn("_ov", F.expr("least(end_us, r_end_us) - greatest(start_us, r_start_us)"))
-    best = pairs.groupBy(id_col).agg(F.min_by(F.struct("r_start_us", "r_end_us"), F.struct(-F.col("_ov"), F.col("r_start_us"))).alias("r"))
-    out = items.join(best, id_col, "left")
+    best = pairs.groupBy(*_ids(id_col)).agg(F.min_by(F.struct("r_start_us", "r_end_us"), F.struct(-F.col("_ov"), F.col("r_start_us"))).alias("r"))
+    out = items.join(best, _ids(id_col), "left")
     return out.withColumn("c_start_us", F.coalesce(F.greatest("start_us", "r.r_start_us"), "start_us")).withColumn("c_end_us", F.coalesce(F.least("end_us", "r.r_end_us"), "end_us")).drop("r")
 
 

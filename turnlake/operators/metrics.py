@@ -3,7 +3,7 @@
 Word distances are bit-parallel: the rows of the distance table are the bits of one integer, so a word of
 the other side costs a few operations on integers of as many bits, and memory is a column of the table.
 They run in Arrow passes over two columns of words (nulls count as no words). The split into substitutions,
-deletions and insertions keeps the bits of every column and walks back through them.
+deletions and insertions walks back through the columns, which are made again from kept ones in stretches.
 """
 
 from __future__ import annotations
@@ -28,12 +28,9 @@ def _places(words: list[str]) -> dict[str, int]:
     return out
 
 
-def levenshtein_columns(a: list[str], b: list[str]) -> Iterator[tuple[int, int, int, int]]:
-    """Columns of the edit distance table of a (rows) and b, as bit vectors of the steps of plus and minus
-    one: down the column (up, down), and from the column before (right, left)."""
-    places, full = _places(a), (1 << len(a)) - 1
-    up, down = full, 0
-    for w in b:
+def _columns(places: dict[str, int], full: int, state: tuple[int, int], words: list[str]) -> Iterator[tuple[int, int, int, int]]:
+    up, down = state
+    for w in words:
         same = places.get(w, 0)
         near = same | down
         carried = ((((same & up) + up) & full) ^ up) | same
@@ -44,6 +41,41 @@ def levenshtein_columns(a: list[str], b: list[str]) -> Iterator[tuple[int, int,
         yield up, down, right, left
 
 
+def levenshtein_columns(a: list[str], b: list[str]) -> Iterator[tuple[int, int, int, int]]:
+    """Columns of the edit distance table of a (rows) and b, as bit vectors of the steps of plus and minus
+    one: down the column (up, down), and from the column before (right, left)."""
+    full = (1 << len(a)) - 1
+    return _columns(_places(a), full, (full, 0), b)
+
+
+#: Columns of a table that are held at once, and columns kept of a longer stretch to start again from.
+HELD_COLUMNS, KEPT_COLUMNS = 256, 16
+
+
+def columns_from_end(a: list[str], b: list[str]) -> Iterator[tuple[tuple[int, int, int, int], tuple[int, int]]]:
+    """levenshtein_columns from the last to the first, each with (up, down) of the column before it. A stretch
+    that is too long to hold is run once for KEPT_COLUMNS of its columns, then its parts from the last on, so that
+    memory is some hundred columns, whatever the length, and time a factor of the logarithm to base KEPT_COLUMNS."""
+    places, full = _places(a), (1 << len(a)) - 1
+
+    def stretch(lo: int, hi: int, state: tuple[int, int]) -> Iterator[tuple[tuple[int, int, int, int], tuple[int, int]]]:
+        if hi - lo <= HELD_COLUMNS:
+            held = list(_columns(places, full, state, b[lo:hi]))
+            for k in range(len(held) - 1, -1, -1):
+                yield held[k], held[k - 1][:2] if k else state
+            return
+        step = -(-(hi - lo) // KEPT_COLUMNS)
+        kept = [state]
+        for k, column in enumerate(_columns(places, full, state, b[lo : lo + (KEPT_COLUMNS - 1) * step]), 1):
+            if k % step == 0 and lo + k < hi:
+                kept.append(column[:2])
+        for k in range(len(kept) - 1, -1, -1):
+            yield from stretch(lo + k * step, min(hi, lo + (k + 1) * step), kept[k])
+            kept.pop()
+
+    return stretch(0, len(b), (full, 0))
+
+
 def levenshtein(a: list[str], b: list[str]) -> int:
     if not a or not b:
         return len(a) + len(b)
@@ -66,26 +98,25 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
 def back_trace(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:
     """Substitutions, deletions, insertions of one best alignment; from the end, a match is preferred over
     a substitution, that over a deletion, that over an insertion."""
-    columns = list(levenshtein_columns(ref, hyp)) if ref else []
-    full = (1 << len(ref)) - 1
     s = d = k = 0
     i, j = len(ref), len(hyp)
-    while i and j:
-        up, down, right, left = columns[j - 1]
-        before_up, before_down = columns[j - 2][:2] if j > 1 else (full, 0)
-        bit = 1 << i - 1
-        # The cell's cost less that of the cells above, to the left, and diagonally before it.
-        above = bool(up & bit) - bool(down & bit)
-        beside = bool(right & bit) - bool(left & bit)
-        diagonal = beside + bool(before_up & bit) - bool(before_down & bit)
-        if diagonal == 0 and ref[i - 1] == hyp[j - 1]:
-            i, j = i - 1, j - 1
-        elif diagonal == 1:
-            s, i, j = s + 1, i - 1, j - 1
-        elif above == 1:
-            d, i = d + 1, i - 1
-        else:
-            k, j = k + 1, j - 1
+    for (up, down, right, left), (before_up, before_down) in columns_from_end(ref, hyp) if ref else ():
+        while i:
+            bit = 1 << i - 1
+            # The cell's cost less that of the cells above, to the left, and diagonally before it.
+            above = bool(up & bit) - bool(down & bit)
+            beside = bool(right & bit) - bool(left & bit)
+            diagonal = beside + bool(before_up & bit) - bool(before_down & bit)
+            if (diagonal == 0 and ref[i - 1] == hyp[j - 1]) or diagonal == 1:
+                s, i, j = s + diagonal, i - 1, j - 1
+                break
+            if above == 1:
+                d, i = d + 1, i - 1
+            else:
+                k, j = k + 1, j - 1
+                break
+        if not i:
+            break
     return s, d + i, k + j
 
 
@@ -168,7 +199,8 @@ def mix_at_snr(signal: str, noise: str, snr: Column) -> Column:
 
 def der(ref: DataFrame, hyp: DataFrame, keys: tuple[str, ...] = ("file_id",), mapping: dict[str, str] | None = None) -> DataFrame:
     """Per recording: reference time, miss, false alarm, confusion (microseconds), overlap time hit.
-    Each speaker's own segments are merged first; mapping renames hypothesis speakers."""
+    Each speaker's own segments are merged first. Labels are compared as they are; mapping renames the
+    hypothesis' speakers, the same in all recordings. der_mapped() finds the best names first."""
     h = hyp if not mapping else hyp.replace(mapping, subset=["speaker"])
     sides = [I.by_speaker(ref, keys).withColumn("side", F.lit(0)), I.by_speaker(h, keys).withColumn("side", F.lit(1))]
     both = sides[0].unionByName(sides[1])
@@ -282,6 +314,19 @@ def speaker_mapping(ref: DataFrame, hyp: DataFrame, keys: list[str]) -> DataFram
     return shared.groupBy(*keys).applyInPandas(best, schema)
 
 
+def der_mapped(ref: DataFrame, hyp: DataFrame, keys: tuple[str, ...] = ("file_id",)) -> DataFrame:
+    """der() under the one-to-one mapping of speakers that makes the error least, per recording: confusion is
+    what the smaller side says less what mapped pairs share, so the mapping of most shared time is best. Speakers'
+    own segments are merged before time is shared. A hypothesis speaker without a partner stays apart from all
+    reference speakers, also from one of the same name."""
+    columns = [*keys, "speaker", "start_us", "end_us"]
+    r = I.by_speaker(ref, keys).select(*columns).withColumn("speaker", F.col("speaker").cast("string"))
+    h = I.by_speaker(hyp, keys).select(*columns).withColumn("speaker", F.col("speaker").cast("string"))
+    names = speaker_mapping(r, h, list(keys)).select(*keys, "speaker", "r_speaker")
+    renamed = h.join(names, [*keys, "speaker"], "left").withColumn("speaker", F.coalesce(F.concat(F.lit("r"), "r_speaker"), F.concat(F.lit("h"), "speaker"), F.lit("h"))).select(*columns)
+    return der(r.withColumn("speaker", F.concat(F.lit("r"), F.coalesce("speaker", F.lit("")))), renamed, keys)
+
+
 def centroid_assignment(vectors: DataFrame, centroids: DataFrame, vector: str = "embedding") -> DataFrame:
     """Label of the centroid with the highest cosine for each vector; centroids (label, centroid) are
     a fixed few (one per speaker). Ties go to the smallest label."""

@@ -28,6 +28,20 @@ def iv_union(spark, d):
     return I.islands(segments(spark, d)).drop("n_segments")
 
 
+HOUR_US = 3_600_000_000
+
+
+@query("iv_speech_regions_sliced", sql(SEGMENTS, islands_sql("segments", "file_id", 150000), select="SELECT * FROM isl"))
+def iv_speech_regions_sliced(spark, d):
+    """The same with windows of an hour, as for recordings larger than a task."""
+    return I.islands(segments(spark, d), gap_us=150_000, slice_us=HOUR_US)
+
+
+@query("iv_time_profile_sliced", sql(SEGMENTS, steps_sql("segments"), select=PROFILE))
+def iv_time_profile_sliced(spark, d):
+    return I.time_profile(segments(spark, d), slice_us=HOUR_US)
+
+
 REGIONS = [steps_sql("segments"), "busy AS (SELECT file_id, start_us, end_us FROM steps WHERE active >= 2)", islands_sql("busy", "file_id", name="regions")]
 
 
@@ -36,6 +50,11 @@ def iv_overlap_regions(spark, d):
     return I.overlap_regions(segments(spark, d))
 
 
+@query("iv_overlap_regions_sliced", sql(SEGMENTS, *REGIONS, select="SELECT file_id, start_us, end_us FROM regions"))
+def iv_overlap_regions_sliced(spark, d):
+    return I.overlap_regions(segments(spark, d), slice_us=HOUR_US)
+
+
 @query("iv_overlap_ratio", sql(SEGMENTS, *REGIONS, select="""SELECT s.seg_id, CAST(SUM(CASE WHEN r.start_us IS NULL THEN 0 ELSE LEAST(s.end_us, r.end_us) - GREATEST(s.start_us, r.start_us) END) AS BIGINT) AS covered_us,
  SUM(CASE WHEN r.start_us IS NULL THEN 0 ELSE LEAST(s.end_us, r.end_us) - GREATEST(s.start_us, r.start_us) END)::DOUBLE / GREATEST(ANY_VALUE(s.end_us - s.start_us), 1) AS overlap_ratio
  FROM segments s LEFT JOIN regions r ON s.file_id = r.file_id AND s.start_us < r.end_us AND r.start_us < s.end_us GROUP BY s.seg_id"""))

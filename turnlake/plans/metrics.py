@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from turnlake.operators import metrics as M
+from turnlake.operators import vectors as V
 from turnlake.plans.joins import MATCHES, assigned
 from turnlake.plans.views import HYP, HYP_LINES, hyp, islands_sql, read, segments, sql
 from turnlake.registry import query
 
+#: Least cosine of a member to its centroid in met_purified.
+PURE = 0.5
 DP = """CASE WHEN len({a}) = 0 THEN len({b}) WHEN len({b}) = 0 THEN len({a}) ELSE list_reduce(list_concat([generate_series(0, len({b}))], list_transform({a}, lambda x: [CASE WHEN x = y THEN 0 ELSE 1 END for y in {b}])),
  lambda prev, row: list_reduce(list_concat([[prev[1] + 1]], list_transform(generate_series(1, len(row)), lambda j: [prev[j + 1] + 1, prev[j] + row[j]])), lambda cur, c: list_append(cur, LEAST(c[1], c[2], cur[len(cur)] + 1))))[-1] END"""
 
@@ -72,6 +75,24 @@ def met_der(spark, d):
     return M.der(segments(spark, d), hyp(spark, d))
 
 
+#: Best mapping of up to four speakers of a side by trying all orders: hm are the hypothesis' segments.
+BEST_SHARED = [
+    islands_sql("hm", "file_id, speaker", name="ms"),
+    "hx AS (SELECT file_id, speaker, DENSE_RANK() OVER (PARTITION BY file_id ORDER BY speaker) AS k FROM (SELECT DISTINCT file_id, speaker FROM ms)), rx AS (SELECT file_id, speaker, DENSE_RANK() OVER (PARTITION BY file_id ORDER BY speaker) AS k FROM (SELECT DISTINCT file_id, speaker FROM rs))",
+    "cooc AS (SELECT h.file_id, hx.k AS hk, rx.k AS rk, SUM(LEAST(h.end_us, r.end_us) - GREATEST(h.start_us, r.start_us)) AS v FROM ms h JOIN rs r ON h.file_id = r.file_id AND h.start_us < r.end_us AND r.start_us < h.end_us JOIN hx ON hx.file_id = h.file_id AND hx.speaker = h.speaker JOIN rx ON rx.file_id = r.file_id AND rx.speaker = r.speaker GROUP BY ALL)",
+    "perms AS (SELECT [a.x, b.x, c.x, d.x] AS p FROM range(1, 5) a(x), range(1, 5) b(x), range(1, 5) c(x), range(1, 5) d(x) WHERE a.x <> b.x AND a.x <> c.x AND a.x <> d.x AND b.x <> c.x AND b.x <> d.x AND c.x <> d.x)",
+    "bt AS (SELECT file_id, MAX(s) AS best FROM (SELECT file_id, p, SUM(v) AS s FROM cooc JOIN perms ON p[hk] = rk GROUP BY file_id, p) GROUP BY file_id)",
+]
+RELABELLED = "hm AS (SELECT file_id, 'x' || CAST((CAST(speaker AS BIGINT) + CAST(right(file_id, 2) AS BIGINT)) % 4 AS VARCHAR) AS speaker, start_us, end_us FROM hyp)"
+
+
+@query("met_der_mapped", sql(HYP, *DER, RELABELLED, *BEST_SHARED, select="SELECT c.file_id, CAST(SUM(d * nr) AS BIGINT) AS ref_us, CAST(SUM(d * GREATEST(0, nr - nh)) AS BIGINT) AS miss_us, CAST(SUM(d * GREATEST(0, nh - nr)) AS BIGINT) AS fa_us, CAST(SUM(d * LEAST(nr, nh)) - COALESCE(ANY_VALUE(best), 0) AS BIGINT) AS conf_us FROM c LEFT JOIN bt ON c.file_id = bt.file_id GROUP BY c.file_id"))
+def met_der_mapped(spark, d):
+    """DER of a hypothesis whose speakers have names of its own, others in every recording."""
+    named = F.concat(F.lit("x"), ((F.col("speaker").cast("long") + F.substring("file_id", -2, 2).cast("long")) % 4).cast("string"))
+    return M.der_mapped(segments(spark, d), hyp(spark, d).withColumn("speaker", named)).select("file_id", "ref_us", "miss_us", "fa_us", "conf_us")
+
+
 @query("met_speaker_mapping")
 def met_speaker_mapping(spark, d):
     return M.speaker_mapping(segments(spark, d), hyp(spark, d), ["file_id"])
@@ -104,3 +125,14 @@ def met_centroids(spark, d):
 def met_snr(spark, d):
     e = read(spark, d, "embeddings").withColumn("noise", F.slice("embedding", 1, 32))
     return e.select("vec_id", F.round(M.snr_db("embedding", "noise"), 6).alias("snr"))
+
+
+@query("met_purified")
+def met_purified(spark, d):
+    """Vectors of two recordings (even and odd ids), every seventh under a wrong label, every fifth without one:
+    purified by label, the rest labelled like their nearest member."""
+    e = read(spark, d, "embeddings")
+    label = F.when(F.col("vec_id") % 5 == 0, None).when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    state = V.purify(e.select((F.col("vec_id") % 2).alias("rec"), "vec_id", "embedding", label.alias("label")), ["rec"], PURE)
+    named = V.propagate(state, ["rec"]).select("rec", "vec_id", "assigned")
+    return named.join(state.select("rec", "vec_id", "member", "dropped_in"), ["rec", "vec_id"])

@@ -3,6 +3,8 @@ same functions scan frames that the tables give."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from turnlake.operators import aggregates as A
@@ -12,14 +14,17 @@ from turnlake.operators import joins as J
 from turnlake.operators import metrics as M
 from turnlake.operators import ranking as N
 from turnlake.operators import sweep as W
+from turnlake.operators.shared import shared_dir
+from turnlake.functions import scalars as S
 from turnlake.plans.joins import MATCHES, assigned
-from turnlake.plans.metrics import DER, DP
+from turnlake.plans.metrics import BEST_SHARED, DER, DP
 from turnlake.plans.intervals import WORDS
 from turnlake.plans.views import DAY_US, HYP, HYP_LINES, LOCAL, SEGMENTS, TURNS, hyp, hyp_lines, islands_sql, local, read, ref, segments, sql, steps_sql
 from turnlake.registry import query
 from turnlake.sources import readers as R
 from turnlake.sources import scans as C
 from turnlake.sources import sinks as K
+from turnlake.streaming.progress import run_progress
 
 
 def split_of(spark, d) -> C.Split:
@@ -104,6 +109,27 @@ def pipe_stage_two(spark, d):
     return C.stage_manifest(parents, samples, 0.3, 0.05, 142, second=True, unit="unit").select("part", "sample_id", "source_partition")
 
 
+@query("sink_stage_manifests", sql(STAGE.format(base="'self_train', 'dubbed_train'", ratio=0.1, seed=42 + 13, allowed=0.18), select="SELECT 'stage1' AS stage, part AS split, source_partition, COUNT(*) AS n, COUNT(DISTINCT parent_id) AS parents, MIN(sample_id) AS first, MAX(sample_id) AS last, CAST(SUM(CAST('0x' || substr(sample_id, 1, 8) AS BIGINT)) AS BIGINT) AS ids, CAST(SUM(unit) AS BIGINT) AS units, round(SUM(overlap_ratio), 6) AS overlap FROM r WHERE n <= 2 GROUP BY part, source_partition"))
+def sink_stage_manifests(spark, d):
+    """A stage's manifests and the scan's summary written as files, and what is read back of them."""
+    parents, samples = manifest_frames(spark, d)
+    path = f"{shared_dir(spark)}/manifests-{uuid.uuid4().hex}"
+    C.export_manifests(path, parents, samples, {"stage1": C.stage_manifest(parents, samples, 0.18, 0.1, 42, unit="unit")})
+    back = C.read_jsonl(spark, f"{path}/stages", "sample_id string, parent_id string, source_partition string, overlap_ratio double, unit long, stage string, split string")
+    ids = F.conv(F.substring("sample_id", 1, 8), 16, 10).cast("long")
+    aggs = [F.count("*").alias("n"), F.countDistinct("parent_id").alias("parents"), F.min("sample_id").alias("first"), F.max("sample_id").alias("last"), F.sum(ids).alias("ids"), F.sum("unit").alias("units"), F.round(F.sum("overlap_ratio"), 6).alias("overlap")]
+    return back.groupBy("stage", "split", "source_partition").agg(*aggs)
+
+
+@query("sink_scan_report", sql(STAGE.format(base="'self_train'", ratio=0.1, seed=1, allowed=1), select="SELECT p.source_partition, parents, hours, COALESCE(samples, 0) AS samples FROM (SELECT source_partition, COUNT(*) AS parents, round(SUM(duration_us) / 3.6e9::DOUBLE, 3) AS hours FROM p GROUP BY ALL) p LEFT JOIN (SELECT source_partition, COUNT(*) AS samples FROM s GROUP BY ALL) c ON p.source_partition = c.source_partition"))
+def sink_scan_report(spark, d):
+    """The scan's summary as CSV, read back."""
+    parents, samples = manifest_frames(spark, d)
+    path = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    K.write_csv(C.scan_summary(parents, samples), path)
+    return spark.read.option("header", True).schema("source_partition string, parents long, hours double, samples long").csv(path)
+
+
 @query("scan_sessions", "SELECT 'data' || CAST(p_partkey AS VARCHAR) AS file_id, CASE WHEN ov = 0 THEN 'tier_A_0pct' WHEN ov BETWEEN 5 AND 10 THEN 'tier_B_5_10pct' WHEN ov = 15 THEN 'tier_C_15pct' ELSE 'tier_D_20_30pct' END AS source, n AS n_speakers, LEAST(n, 4) AS load_speakers, CASE WHEN n <= 4 THEN 'spk' || CAST(n AS VARCHAR) ELSE 'spk5plus' END AS folder FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_size END AS ov, CAST(CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 2 + 1 ELSE p_partkey % 7 END AS INTEGER) AS n FROM part WHERE p_partkey % 4 <> 0)")
 def scan_sessions(spark, d):
     """Parts as sessions: every fourth lacks segments, every third metadata, so that its turns count."""
@@ -193,6 +219,11 @@ def win_fairness(spark, d):
     return A.fairness_weights(segments(spark, d)).select("seg_id", F.round("weight", 9).alias("weight"))
 
 
+@query("win_fairness_sliced", sql(SEGMENTS, FAIR, select="SELECT seg_id, round(1.0 - own::DOUBLE / GREATEST(every, 1)::DOUBLE + 0.1::DOUBLE, 9) AS weight FROM f"))
+def win_fairness_sliced(spark, d):
+    return A.fairness_weights(segments(spark, d), slice_us=3_600_000_000).select("seg_id", F.round("weight", 9).alias("weight"))
+
+
 @query("top_composite_order", sql(SEGMENTS, select="SELECT file_id, list(seg_id ORDER BY speaker, start_us DESC, seg_id) AS ids FROM segments GROUP BY file_id"))
 def top_composite_order(spark, d):
     """Segments of a recording by speaker, latest first: the order itself is the result."""
@@ -234,26 +265,65 @@ def pipe_attempts(spark, d):
     return W.attempt(read(spark, d, "nation").select(F.col("n_nationkey").alias("task")), task)
 
 
+@query("pipe_attempt_ledger", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 50 = 0 THEN NULL ELSE 'done ' || CAST(l_orderkey AS VARCHAR) END AS result, CASE WHEN l_partkey % 50 = 0 THEN 'ValueError: bad task' END AS error, CAST(CASE WHEN l_partkey % 50 = 0 THEN 2 ELSE 1 END AS INTEGER) AS tries FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem)")
+def pipe_attempt_ledger(spark, d):
+    """Two passes over line items with a table of results as the ledger; the parts of every fiftieth number fail."""
+
+    def task(row: dict) -> str:
+        if row["l_partkey"] % 50 == 0:
+            raise ValueError("bad task")
+        return f"done {row['l_orderkey']}"
+
+    grid = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
+    return W.run_passes(grid, grid.columns, task, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
+
+
+PROGRESS = """e AS (SELECT CAST(user_id AS VARCHAR) AS session, event_type AS stage, epoch_us(ts) AS us, CAST(floor(value) AS BIGINT) AS done FROM events), m AS (SELECT session, stage, MIN(us) AS start, MAX(done) AS done, MAX(us) // 1000 + 600000 < (SELECT MAX(us) // 1000 - 600000 FROM e) AS silent FROM e GROUP BY ALL),
+ a AS (SELECT m.session, m.stage, m.done, MIN(us) - ANY_VALUE(start) AS elapsed, ANY_VALUE(silent) AS silent FROM m JOIN e ON m.session = e.session AND m.stage = e.stage AND m.done = e.done GROUP BY m.session, m.stage, m.done)"""
+
+
+@query("pipe_progress", sql(PROGRESS, select="SELECT session, stage, done, CAST(500 AS BIGINT) AS total, elapsed AS elapsed_us, CASE WHEN done > 0 THEN elapsed * (500 - done) // done END AS left_us, silent AS timed_out FROM a"))
+def pipe_progress(spark, d):
+    """Events as a stream of progress lines: users are sessions, kinds of events are stages. At the stream's end
+    those silent for ten minutes before the watermark (ten minutes behind the last event) have timed out."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d)
+    value = F.concat(F.lit("PROGRESS:"), F.floor("value").cast("string"), F.lit("/500"))
+    lines = events.select(F.col("user_id").cast("string").alias("session"), F.col("event_type").alias("stage"), F.col("ts").cast("timestamp").alias("ts"), value.alias("value"))
+    return run_progress(lines, f"{shared_dir(spark)}/progress-{uuid.uuid4().hex}")
+
+
 RUN = [
     HYP_LINES,
     MATCHES,
-    "segments AS (SELECT file_id, speaker, start_us, end_us FROM ref), hyp AS (SELECT file_id, speaker, start_us, end_us FROM hypl)",
+    "segments AS (SELECT file_id, speaker, start_us, end_us FROM ref), hyp AS (SELECT file_id, speaker, start_us, end_us FROM hypl), hm AS (SELECT file_id, 'voice ' || speaker AS speaker, start_us, end_us FROM hypl)",
     *DER,
-    "t AS (SELECT file_id, CAST(SUM(d * nr) AS BIGINT) AS ref_us, CAST(SUM(d * (GREATEST(nr, nh) - nc)) AS BIGINT) AS wrong_us FROM c GROUP BY file_id)",
+    *BEST_SHARED,
+    "t AS (SELECT c.file_id, CAST(SUM(d * nr) AS BIGINT) AS ref_us, CAST(SUM(d * GREATEST(nr, nh)) - COALESCE(ANY_VALUE(best), 0) AS BIGINT) AS wrong_us FROM c LEFT JOIN bt ON c.file_id = bt.file_id GROUP BY c.file_id)",
     f"e AS (SELECT file_id, CAST(SUM({DP.format(a='ref_words', b='words')}) AS BIGINT) AS edits, CAST(SUM(len(ref_words)) AS BIGINT) AS n_words FROM assigned GROUP BY file_id)",
+    "z AS (SELECT h.file_id, AVG(CASE WHEN EXISTS (SELECT 1 FROM ref l WHERE l.file_id = h.file_id AND l.speaker = h.speaker AND NOT (h.end_us < l.start_us OR l.end_us < h.start_us)) THEN 1.0 ELSE 0.0 END)::DOUBLE AS evidence, AVG(CASE WHEN len(words) < 8 THEN 1.0 ELSE 0.0 END)::DOUBLE AS generic, AVG(len(words))::DOUBLE AS words FROM hypl h GROUP BY h.file_id)",
 ]
+SUMMARY = f"{S.SCORE_WEIGHTS['schema']}::DOUBLE + {S.SCORE_WEIGHTS['evidence']}::DOUBLE * evidence + {S.SCORE_WEIGHTS['specific']}::DOUBLE * (1 - generic) + {S.SCORE_WEIGHTS['compact']}::DOUBLE * CASE WHEN words <= {S.LONG_WORDS} THEN 1 ELSE GREATEST(0, 1 - (words - {S.LONG_WORDS}) / {S.LONG_SPAN}) END"
 
 
-@query("pipe_full_run", sql(*RUN, select="SELECT t.file_id, ref_us, wrong_us, edits, n_words, wrong_us::DOUBLE / ref_us AS der, edits::DOUBLE / GREATEST(n_words, 1) AS wer FROM t JOIN e ON t.file_id = e.file_id"))
+@query("pipe_full_run", sql(*RUN, select=f"SELECT t.file_id, ref_us, wrong_us, edits, n_words, wrong_us::DOUBLE / ref_us AS der, edits::DOUBLE / GREATEST(n_words, 1) AS wer, round({SUMMARY}, 6) AS summary FROM t JOIN e ON t.file_id = e.file_id JOIN z ON t.file_id = z.file_id"))
 def pipe_full_run(spark, d):
-    """A whole run over recordings: diarization error, then recognition error on the reference that is
-    assigned to the hypothesis, per recording."""
-    times = M.der(ref(spark, d).select("file_id", "speaker", "start_us", "end_us"), hyp_lines(spark, d).select("file_id", "speaker", "start_us", "end_us"))
+    """A whole run over recordings: diarization error under the best mapping of the hypothesis' voices, recognition
+    error on the reference that is assigned to the hypothesis, and the score of a summary that quotes every
+    hypothesis line at its time (short lines are generic), per recording."""
+    said, heard = ref(spark, d), hyp_lines(spark, d)
+    voices = heard.select("file_id", F.concat(F.lit("voice "), "speaker").alias("speaker"), "start_us", "end_us")
+    times = M.der_mapped(said.select("file_id", "speaker", "start_us", "end_us"), voices)
     wrong = times.select("file_id", "ref_us", (F.col("miss_us") + F.col("fa_us") + F.col("conf_us")).alias("wrong_us"))
     scored = assigned(spark, d).select("file_id", M.edit_distance("ref_words", "words").alias("e"), F.size("ref_words").alias("n"))
     words = scored.groupBy("file_id").agg(F.sum("e").alias("edits"), F.sum("n").alias("n_words"))
-    both = wrong.join(words, "file_id")
-    return both.withColumn("der", F.col("wrong_us") / F.col("ref_us")).withColumn("wer", F.col("edits") / F.greatest(F.col("n_words"), F.lit(1)))
+    items = heard.select("file_id", F.col("hyp_id").alias("item_id"), "speaker", F.array(F.array("start_us", "end_us")).alias("spans"))
+    evidence = A.evidence_rates(items, said.select("file_id", "speaker", "start_us", "end_us")).select("file_id", "support_rate")
+    texts = heard.groupBy("file_id").agg(F.avg((F.size("words") < 8).cast("double")).alias("generic"), F.avg(F.size("words")).alias("average"))
+    summary = evidence.join(texts, "file_id").select("file_id", F.round(S.quality_score(F.lit(1.0), F.col("support_rate"), F.col("generic"), F.col("average")), 6).alias("summary"))
+    both = wrong.join(words, "file_id").join(summary, "file_id")
+    rates = both.withColumn("der", F.col("wrong_us") / F.col("ref_us")).withColumn("wer", F.col("edits") / F.greatest(F.col("n_words"), F.lit(1)))
+    return rates.select("file_id", "ref_us", "wrong_us", "edits", "n_words", "der", "wer", "summary")
 
 
 @query("src_prediction_counters", "SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (WHERE event_id % 11 = 0) AS no_text, COUNT(*) FILTER (WHERE event_id % 11 <> 0 AND event_id % 7 = 0) AS bad_times, COUNT(*) FILTER (WHERE event_id % 11 <> 0 AND event_id % 7 <> 0) AS kept FROM events")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from turnlake.operators import intervals as I
 from turnlake.operators import joins as J
+from turnlake.operators.shared import shared_dir
 from turnlake.plans.views import LOCAL, SEGMENTS, TURNS, local, read, ref, segments, sql
 from turnlake.sources import readers as R
 from turnlake.sources import sinks as K
+from turnlake.sources import tree
 from turnlake.registry import query
 
 MS = "(({us}) + 500) // 1000 * 1000"
@@ -169,3 +173,14 @@ def sink_export_index(spark, d):
 def sink_manifest_counts(spark, d):
     samples = read(spark, d, "documents").withColumn("stage", F.concat(F.lit("stage"), (F.col("n_chars") % 4 + 1).cast("string")))
     return samples.groupBy("stage", F.col("lang").alias("split")).agg(F.count("*").alias("n"))
+
+
+@query("src_tree", sql(LOCAL, select=f"SELECT file_id, speaker, {MS.format(us='start_us')} AS start_us, {MS.format(us='start_us')} + {MS.format(us='end_us - start_us')} AS end_us FROM local WHERE file_id >= '2024-01-10'"))
+def src_tree(spark, d):
+    """Segments written as a tree of RTTM files and read by the recording_tree format; folders before a day are not
+    opened."""
+    path = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
+    K.write_lines(K.rttm_lines(local(spark, d)), path)
+    tree.register(spark)
+    lines = spark.read.format(tree.FORMAT).load(path).where("file_id >= '2024-01-10'")
+    return R.rttm(lines, key="file_id").select("file_id", "speaker", "start_us", "end_us")

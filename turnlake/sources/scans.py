@@ -22,6 +22,7 @@ from turnlake.operators import dedup as D
 from turnlake.operators import folds as O
 from turnlake.operators import intervals as I
 from turnlake.operators import joins as J
+from turnlake.operators.shared import durable
 from turnlake.sources import readers as R
 
 #: Names of a recording's files, transcripts in the order in which they count.
@@ -130,15 +131,15 @@ def samples(split: Split, of: DataFrame, spec: O.ChunkSpec = O.ChunkSpec()) -> D
     """Chunks of the parents' text: lines cut to speech, joined and split by the chunk rules, padded inside
     the recording, without near copies, with the share of overlapped speech."""
     key = ["file_id"]
-    text = split.text.join(of.select("file_id"), "file_id", "left_semi").withColumn("_span", F.concat_ws("|", "file_id", "start_us", "end_us"))
-    spans = text.select("_span", "file_id", "start_us", "end_us").distinct()
-    cut = J.clamp_to_region(spans, I.islands(split.turns, gap_us=REGION_GAP_US).drop("n_segments"), key, "_span").select("_span", "c_start_us", "c_end_us")
+    told = split.text.join(of.select("file_id"), "file_id", "left_semi")
+    cut = J.clamp_to_region(told.select("file_id", "start_us", "end_us").distinct(), I.islands(split.turns, gap_us=REGION_GAP_US).drop("n_segments"), key, ["file_id", "start_us", "end_us"])
     valid = F.col("c_end_us") > F.col("c_start_us")
-    lines = text.join(cut, "_span").withColumns({"start_us": F.when(valid, F.col("c_start_us")).otherwise(F.col("start_us")), "end_us": F.when(valid, F.col("c_end_us")).otherwise(F.col("end_us"))})
+    spans = cut.select("file_id", "start_us", "end_us", F.when(valid, F.col("c_start_us")).otherwise(F.col("start_us")).alias("a"), F.when(valid, F.col("c_end_us")).otherwise(F.col("end_us")).alias("b"))
+    lines = told.join(spans, ["file_id", "start_us", "end_us"]).drop("start_us", "end_us").withColumnsRenamed({"a": "start_us", "b": "end_us"})
     chunked = O.chunks(lines, split.turns, spec).join(of.select("file_id", "duration_us"), "file_id")
     padded = chunked.select("file_id", F.col("n").alias("seg_id"), "speaker", "text", *I.pad(PAD_LEFT_US, PAD_RIGHT_US, F.col("duration_us"))).where("end_us > start_us")
-    kept = O.per_recording(padded, O.drop_near_copies).withColumn("_chunk", F.concat_ws("|", "file_id", "n"))
-    rated = J.overlap_ratio(kept, I.overlap_regions(split.turns), key, "_chunk").join(of, "file_id")
+    kept = O.per_recording(padded, O.drop_near_copies)
+    rated = J.overlap_ratio(kept, I.overlap_regions(split.turns), key, ["file_id", "n"]).join(of, "file_id")
     said = X.clean_text(F.col("text"))
     centis = lambda c: F.expr(f"cast(({c} + 5000) div 10000 as string)")
     made = rated.select(X.stable_id(F.col("parent_id"), centis("start_us"), centis("end_us"), said).alias("sample_id"), "parent_id", "file_id", "split_name", "source_type", "bucket", "class_name", "group_name", "start_us", "end_us", "speaker", "text", "overlap_ratio")
@@ -164,20 +165,13 @@ def segment_samples(turns: DataFrame, recordings: DataFrame, metadata: DataFrame
 
 def limit_units(rows: DataFrame, units: DataFrame, most: int = 2) -> DataFrame:
     """Samples in order of parent and start, each base unit of a recording (file_id, unit) in most kept ones;
-    samples of recordings without units stay. Samples of recordings that share units, directly or through
-    others, depend on each other: the pass over their ids and units is one task a source, texts stay out."""
-    listed = units.groupBy("file_id").agg(F.sort_array(F.collect_set("unit")).alias("units"))
-    narrow = rows.join(listed, "file_id").select("sample_id", "source_type", "parent_id", "start_us", "units")
-
-    def fold(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(["parent_id", "start_us", "sample_id"])
-        return pd.DataFrame({"sample_id": O.capped_use([(i, list(u)) for i, u in zip(pdf.sample_id, pdf.units, strict=True)], most)})
-
-    kept = narrow.groupBy("source_type").applyInPandas(fold, "sample_id string")
-    dropped = narrow.select("sample_id").join(kept, "sample_id", "left_anti")
-    return rows.join(dropped, "sample_id", "left_anti")
+    samples of recordings without units stay, sources are apart. The rows are stored once; ids, order and
+    units alone decide (dedup.capped_rows)."""
+    stored = durable(rows)
+    listed = units.groupBy("file_id").agg(F.collect_set("unit").alias("units"))
+    narrow = stored.select("sample_id", F.col("source_type").alias("group"), "parent_id", "start_us", "file_id").join(listed, "file_id", "left").drop("file_id")
+    stay = D.capped_rows(narrow, "sample_id", ["parent_id", "start_us"], most)
+    return stored.join(stay.withColumnRenamed("group", "source_type"), ["sample_id", "source_type"], "left_semi")
 
 
 def scan(split: Split, split_name: str, source_type: str, bucket: str | None = None, by_overlap: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -220,14 +214,19 @@ def stage_manifest(all_parents: DataFrame, all_samples: DataFrame, allowed_overl
     return D.limit_reuse(limited, "_unit", order or ["sample_id"]).drop("_unit")
 
 
+def scan_summary(all_parents: DataFrame, all_samples: DataFrame) -> DataFrame:
+    """Recordings, hours and samples per source partition."""
+    counted = all_samples.groupBy("source_partition").agg(F.count("*").alias("samples"))
+    told = all_parents.groupBy("source_partition").agg(F.count("*").alias("parents"), F.round(F.sum("duration_us") / 3.6e9, 3).alias("hours"))
+    return told.join(counted, "source_partition", "left").fillna({"samples": 0})
+
+
 def export_manifests(path: str, all_parents: DataFrame, all_samples: DataFrame, stages: dict[str, DataFrame]) -> None:
     """All samples, a summary per source partition, and the stages' manifests by stage and split."""
     from turnlake.sources import sinks as K
 
     K.write_jsonl(all_samples, f"{path}/unified_manifest")
-    counted = all_samples.groupBy("source_partition").agg(F.count("*").alias("samples"))
-    summary = all_parents.groupBy("source_partition").agg(F.count("*").alias("parents"), F.round(F.sum("duration_us") / 3.6e9, 3).alias("hours")).join(counted, "source_partition", "left").fillna({"samples": 0})
-    K.write_jsonl(summary, f"{path}/scan_summary")
+    K.write_jsonl(scan_summary(all_parents, all_samples), f"{path}/scan_summary")
     whole = None
     for name, rows in stages.items():
         tagged = rows.withColumn("stage", F.lit(name)).withColumnRenamed("part", "split")
