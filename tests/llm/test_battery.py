@@ -5,6 +5,8 @@ import random
 import re
 import time
 
+import pytest
+
 from test_secret_kinds import HEX, LETTERS, LOWER, SCHEMA, WORDS
 from tests_llm_brute import brute_base
 
@@ -117,3 +119,39 @@ def test_many_matches_in_one_text_take_linear_time(spark):
     began = time.time()
     row = {r.doc_id: r for r in S.scan(df).collect()}[1]
     assert row.n_assign == 20_000 and row.base_sha256 == brute_base(text)[3] and time.time() - began < 5
+
+
+def masked(text, spans):
+    """The text with every stretch of spans that overlap replaced; spans that touch are two stretches."""
+    out, at = "", 0
+    for a, b in sorted(spans):
+        if a >= at:
+            out += text[at:a] + S.MASK
+        at = max(at, b)
+    return out + text[at:]
+
+
+def test_masks_equal_plain_steps(spark):
+    rng = random.Random(13)
+    texts = [made(rng) for _ in range(300)] + [None, "", "\U0001f600 token=abcdef12\U0001f600é"]
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    spans = {r.doc_id: [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x] for r in S.scan(df).collect()}
+    for r in S.redact(df).collect():
+        assert r.text == (masked(texts[r.doc_id], spans[r.doc_id]) if texts[r.doc_id] else texts[r.doc_id])
+
+
+@pytest.mark.parametrize("kind", ["spaced", "in one run", "with gaps to test"])
+def test_forty_thousand_matches_take_seconds(spark, kind):
+    n = 40_000
+    hexes = "0123456789abcdef01234567"
+    text = {"spaced": "token=abcdef12 é " * n, "in one run": (hexes + "Z") * n, "with gaps to test": (hexes + "Zq" * 13) * (n // 2)}[kind]
+    df = spark.createDataFrame([(1, text), (2, "x")], SCHEMA)
+    for f in (S.scan, S.redact):
+        f(df.where("doc_id = 2")).collect()
+        began = time.time()
+        row = {r.doc_id: r for r in f(df).collect()}[1]
+        assert time.time() - began < 15
+        if f is S.scan:
+            assert max(row.n_assign, row.n_hex) in (n, n // 2) and row.base_sha256 == brute_base(text)[3]
+        else:
+            assert row.text.count(S.MASK) in (n, n // 2) and "abcdef" not in row.text

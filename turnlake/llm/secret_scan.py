@@ -134,20 +134,19 @@ def with_spans(rows: DataFrame, text: str = "text") -> DataFrame:
     found = found.withColumn("assign", F.expr(f"filter(assign, x -> char_length(regexp_replace(x.m, '{head}', '')) >= {ASSIGN_LEAST})"))
     bare = "concat(" + ", ".join(f"transform({k}, x -> named_struct('s', x.s, 'e', x.e))" for k in KINDS[:3]) + ")"
     # What the spans that start inside a run leave of it, from the end of those that start before it.
-    start = f"greatest(c.s, coalesce(get(reach, {_below('base', 'c.s')} - 1), 0))"
-    inside = f"slice(base, {_below('base', 'c.s')} + 1, {_below('base', 'c.e')} - {_below('base', 'c.s')})"
-    gaps = (
-        f"aggregate({inside}, named_struct('at', {start}, 'out', cast(array() as array<struct<s:int,e:int>>)),"
-        " (a, x) -> named_struct('at', greatest(a.at, x.e), 'out', if(x.s > a.at, array_append(a.out, named_struct('s', a.at, 'e', x.s)), a.out)),"
-        " a -> if(c.e > a.at, array_append(a.out, named_struct('s', a.at, 'e', c.e)), a.out))"
-    )
-    left = f"transform(filter({gaps}, g -> g.e - g.s >= {RUN_LEAST}), g -> named_struct('s', g.s, 'e', g.e, 'm', substring(c.m, g.s - c.s + 1, g.e - g.s)))"
+    # A gap lies between the end of all spans before and the next start; the last ends with the run.
+    gap = "named_struct('s', greatest(c.s, coalesce(get(reach, j - 1), 0)), 'e', if(j < hi, get(base, j).s, c.e))"
+    gaps = _let("lo", _below("base", "c.s"), _let("hi", _below("base", "c.e"), f"transform(sequence(lo, hi), j -> {gap})"))
+    # Runs are ASCII, so places are bytes, which are cut without a search from the start.
+    part = "cast(substring(bytes, g.s - c.s + 1, g.e - g.s) as string)"
+    left = _let("bytes", "cast(c.m as binary)", f"transform(filter({gaps}, g -> g.e - g.s >= {RUN_LEAST}), g -> named_struct('s', g.s, 'e', g.e, 'm', {part}))")
     reach = _scan("transform(base, x -> x.e)", "greatest({x}, {y})")
     cut = _let("base", f"sort_array({bare})", f"if(size(base) = 0, random, {_let('reach', reach, f'flatten(transform(random, c -> {left}))')})")
     found = found.withColumn("random", F.expr(cut))
     tested = found.withColumn("tested", F.expr(f"transform(random, x -> named_struct('p', {_battery('x')}, 'n', char_length(x.m), 's', x.s, 'e', x.e, 'm', x.m))"))
     mean = "(aggregate(tested, 0D, (a, x) -> a + least(2D, x.n / 32D)) / size(tested))"
-    weighed = tested.withColumn("tested", F.expr(f"if(size(tested) = 0, cast(array() as array<struct<q:double,s:int,e:int,m:string>>), array_sort(transform(tested, x -> named_struct('q', x.p * {mean} / least(2D, x.n / 32D), 's', x.s, 'e', x.e, 'm', x.m))))"))
+    weigh = "array_sort(transform(tested, x -> named_struct('q', x.p * mean / least(2D, x.n / 32D), 's', x.s, 'e', x.e, 'm', x.m)))"
+    weighed = tested.withColumn("tested", F.expr(f"if(size(tested) = 0, cast(array() as array<struct<q:double,s:int,e:int,m:string>>), {_let('mean', mean, weigh)})"))
     # Step-up: the last rank whose weighted p-value is below its line, and all before it.
     ranked = weighed.withColumn("ranks", F.expr(f"aggregate(sequence(0, size(tested)), 0, (a, i) -> if(i < size(tested) and get(tested, i).q <= {FDR}D * (i + 1) / size(tested), i + 1, a))"))
     return ranked.withColumn("random", F.expr("transform(slice(tested, 1, ranks), x -> named_struct('s', x.s, 'e', x.e, 'm', x.m))")).drop("tested", "ranks")
@@ -176,9 +175,12 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
     found = with_spans(rows)
     merged = found.withColumn("all", F.expr("sort_array(concat(" + ", ".join(f"transform({k}, x -> named_struct('s', x.s, 'e', x.e))" for k in KINDS) + "))"))
-    masked = F.expr(
-        "if(size(all) = 0, text, aggregate(all, named_struct('at', 0, 'out', ''), (a, x) -> if(x.s < a.at, named_struct('at', greatest(a.at, x.e), 'out', a.out),"
-        f" named_struct('at', x.e, 'out', concat(a.out, substring(text, a.at + 1, x.s - a.at), '{MASK}'))), a -> concat(a.out, substring(text, a.at + 1))))"
-    )
+    # A span that starts behind the end of all before it opens a mask; what lies between is cut from four bytes a
+    # code point, so that no cut searches the text from its start.
+    piece = "decode(substring(points, 4 * coalesce(get(reach, j - 1), 0) + 1, 4 * (get(all, j).s - coalesce(get(reach, j - 1), 0))), 'UTF-32')"
+    opened = "filter(sequence(0, size(all) - 1), j -> get(all, j).s >= coalesce(get(reach, j - 1), 0))"
+    rest = "decode(substring(points, 4 * element_at(reach, -1) + 1, octet_length(points)), 'UTF-32')"
+    joined = _let("points", "encode(text, 'UTF-32')", f"array_join(concat(transform({opened}, j -> concat({piece}, '{MASK}')), array({rest})), '')")
+    masked = F.expr(f"if(size(all) = 0, text, {_let('reach', _scan('transform(all, x -> x.e)', 'greatest({x}, {y})'), joined)})")
     out = merged.select("row", masked.alias("masked"))
     return fenced(out.select(*(F.col("masked").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns)))
