@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +17,7 @@ from pyspark.sql import types as T
 
 from turnlake.operators import intervals as I
 from turnlake.operators.joins import range_join, right_side
+from turnlake.operators.shared import stream_groups
 
 
 def _places(words: list[str]) -> dict[str, int]:
@@ -202,15 +202,15 @@ def der(ref: DataFrame, hyp: DataFrame, keys: tuple[str, ...] = ("file_id",), ma
     Each speaker's own segments are merged first. Labels are compared as they are; mapping renames the
     hypothesis' speakers, the same in all recordings. der_mapped() finds the best names first."""
     h = hyp if not mapping else hyp.replace(mapping, subset=["speaker"])
-    sides = [I.by_speaker(ref, keys).withColumn("side", F.lit(0)), I.by_speaker(h, keys).withColumn("side", F.lit(1))]
-    both = sides[0].unionByName(sides[1])
-    cuts = both.select(*keys, F.explode(F.array("start_us", "end_us")).alias("t0")).distinct()
-    cuts = cuts.withColumn("t1", F.lead("t0").over(Window.partitionBy(*keys).orderBy("t0"))).where("t1 is not null")
-    # Active speakers of each elementary interval: bounds are cut points, so overlap means cover.
-    pieces = cuts.select(*keys, F.col("t0").alias("r_start_us"), F.col("t1").alias("r_end_us"))
-    held = range_join(both, pieces, list(keys)).withColumn("c", F.struct(F.col("r_start_us").alias("t0"), F.col("r_end_us").alias("t1")))
-    one = held.groupBy(*keys, "c", "speaker").agg(F.max(F.when(F.col("side") == 0, 1).otherwise(0)).alias("r"), F.max(F.when(F.col("side") == 1, 1).otherwise(0)).alias("h"))
-    counts = one.groupBy(*keys, "c").agg(F.sum("r").alias("nr"), F.sum("h").alias("nh"), F.sum(F.col("r") * F.col("h")).alias("nc")).withColumn("d", F.col("c.t1") - F.col("c.t0"))
+    columns = [*keys, "speaker", "start_us", "end_us"]
+    r, h = I.by_speaker(ref, keys).select(*columns), I.by_speaker(h, keys).select(*columns)
+    # A speaker's merged segments of both sides overlap where both have them.
+    both = I.overlap_regions(r.unionByName(h), (*keys, "speaker"))
+    change = lambda df, *by: df.select(*keys, F.explode(F.array(*(F.struct(F.col(t).alias("t"), *(F.lit(x * sign).alias(n) for n, x in zip(("nr", "nh", "nc"), by, strict=True))) for t, sign in (("start_us", 1), ("end_us", -1))))).alias("m"))
+    marks = change(r, 1, 0, 0).unionByName(change(h, 0, 1, 0)).unionByName(change(both, 0, 0, 1))
+    summed = marks.groupBy(*keys, F.col("m.t").alias("t")).agg(*(F.sum(f"m.{n}").alias(n) for n in ("nr", "nh", "nc")))
+    order = Window.partitionBy(*keys).orderBy("t")
+    counts = summed.select(*keys, *(F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(n) for n in ("nr", "nh", "nc")), (F.lead("t").over(order) - F.col("t")).alias("d")).where("d is not null")
     zero = F.lit(0).cast("long")
     total = lambda c: F.sum(c).cast("long")
     both2 = F.when((F.col("nr") >= 2) & (F.col("nh") >= 2), F.col("d")).otherwise(zero)
@@ -299,19 +299,15 @@ def speaker_mapping(ref: DataFrame, hyp: DataFrame, keys: list[str]) -> DataFram
     What a recording's task holds is its table of shared times, speakers by speakers."""
     pairs = range_join(hyp, right_side(ref, keys), keys).withColumn("ov", F.expr("least(end_us, r_end_us) - greatest(start_us, r_start_us)"))
     shared = pairs.groupBy(*keys, "speaker", "r_speaker").agg(F.sum("ov").alias("shared_us"))
-    schema = ", ".join(f"{k} {ref.schema[k].dataType.simpleString()}" for k in keys) + ", speaker string, r_speaker string, shared_us long"
+    schema = T.StructType([*(ref.schema[k] for k in keys), T.StructField("speaker", T.StringType()), T.StructField("r_speaker", T.StringType()), T.StructField("shared_us", T.LongType())])
 
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        hs, rs = sorted(pdf.speaker.unique()), sorted(pdf.r_speaker.unique())
-        w = {(a, b): int(v) for a, b, v in zip(pdf.speaker, pdf.r_speaker, pdf.shared_us, strict=True)}
+    def best(key: tuple, rows: list[tuple]) -> list[tuple]:
+        w = {(h or "", r or ""): v for h, r, v in rows}
+        hs, rs = (sorted({pair[side] for pair in w}) for side in (0, 1))
         chosen = assignment([[w.get((h, r), 0) for r in rs] for h in hs])
-        rows = [(h, rs[c], w[h, rs[c]]) for h, c in zip(hs, chosen, strict=True) if c >= 0 and w.get((h, rs[c]))]
-        out = pd.DataFrame(rows, columns=["speaker", "r_speaker", "shared_us"])
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
+        return [(*key, h, rs[c], w[h, rs[c]]) for h, c in zip(hs, chosen, strict=True) if c >= 0 and w.get((h, rs[c]))]
 
-    return shared.groupBy(*keys).applyInPandas(best, schema)
+    return stream_groups(shared, keys, ["speaker", "r_speaker"], best, schema)
 
 
 def der_mapped(ref: DataFrame, hyp: DataFrame, keys: tuple[str, ...] = ("file_id",)) -> DataFrame:

@@ -4,9 +4,13 @@ values of groups that may be larger than a task."""
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -85,3 +89,38 @@ def carried(rows: DataFrame, keys: list[str], cut: Column, value: Column, fold,
     met = sliced.withColumn("__inside", inside).join(bases, same([*keys, "__cut"], right="__k_"))
     both = {F.sum: F.coalesce(F.col("__base") + F.col("__inside"), "__base", "__inside"), F.max: F.greatest("__base", "__inside"), F.min: F.least("__base", "__inside")}[fold]
     return met.withColumn(name, both).select(*rows.columns, name)
+
+
+#: Rows of a batch that stream_groups() gives out.
+BATCH_ROWS = 10_000
+
+
+def stream_groups(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[tuple, list[tuple]], Iterable[tuple]], schema: StructType) -> DataFrame:
+    """Rows that a fold makes of each group's key and rows (tuples of the columns other than keys) in order. Groups are
+    partitioned and sorted, then read as a stream, so a task holds one at a time and no group costs a call of
+    its own."""
+    others, width, arrow = [c for c in df.columns if c not in keys], len(keys), to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        now, held = None, []
+
+        def batch_of() -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else [()] * len(arrow)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:width] != now:
+                    if held:
+                        out.extend(fold(now, held))
+                    now, held = row[:width], []
+                    if len(out) > BATCH_ROWS:
+                        yield batch_of()
+                        out.clear()
+                held.append(row[width:])
+        if held:
+            out.extend(fold(now, held))
+        yield batch_of()
+
+    return df.select(*keys, *others).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
