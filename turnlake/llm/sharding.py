@@ -6,8 +6,8 @@ each bucket by id, permutes it with Spark's shuffle() (a seeded Fisher-Yates), a
 record in the whole permutation is its bucket's base, a prefix sum of bucket counts, plus its place in the
 bucket; shards are equal cuts of that order, so their counts differ by one at most (law "rows").
 
-Copies of one record (same id and text) share a hash. Where they are more than a bucket should hold, they
-are dealt out by a running number instead: HOT_SHARE such groups at most, found by a partial count.
+Copies of one record (same id and text) share a hash. Where they are more bytes than a bucket should hold, they
+are dealt out by a running number instead; such groups, fewer than buckets, are found by a partial count.
 Records travel once, between the passes, and are written once, as Parquet with a bucket column; the digest
 is read from what was written. Counts stay in Spark; the driver has the totals.
 
@@ -27,7 +27,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, compact, durable, remove, shared_dir
+from .common import compact, durable, hot_join, remove, shared_dir
 
 SHARDS = 16
 SEED = 91
@@ -46,12 +46,15 @@ def bucket_size(spark: SparkSession) -> int:
     return min(BUCKET_MOST, max(BUCKET_LEAST, heap // cores // BUCKET_PART))
 
 
-def _hot(records: DataFrame, total: int, n: int, bucket_bytes: int) -> DataFrame:
-    """(id, hash, parts) of the groups of equal records that are larger than a bucket should be, at most
-    HOT_SHARE of them."""
-    groups = records.groupBy("id", "hash").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
-    large = groups.where((F.col("n") * HOT_SHARE > n) & (F.col("bytes") > bucket_bytes))
-    return large.select("id", "hash", F.ceil(F.col("bytes") / bucket_bytes).cast("long").alias("parts"))
+def _large(records: DataFrame, bucket_bytes: int) -> DataFrame:
+    """(key, n, parts) of the groups of equal records that are larger than a bucket should be, whatever their share
+    of the rows. There are fewer of them than buckets."""
+    groups = records.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    return groups.where(F.col("bytes") > bucket_bytes).select("key", "n", F.ceil(F.col("bytes") / bucket_bytes).cast("long").alias("parts"))
+
+
+#: Large groups that are broadcast, some 50 bytes each; with more, only those of a great share of the rows are.
+BROADCAST_GROUPS = 1 << 16
 
 
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", payload: tuple[str, ...] = (), shards: int = SHARDS, seed: int = SEED, bucket_bytes: int | None = None) -> DataFrame:
@@ -60,16 +63,20 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     bucket_bytes = bucket_bytes or bucket_size(spark)
     size = (F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + 1).alias("size")
-    record = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), size, F.struct(F.col(id_col).alias("id"), F.col(text_col).alias("text"), size, *(F.col(c).alias(f"p_{c}") for c in payload)).alias("r"))
-    narrow = record.select("id", "hash", "size")
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash")).alias("key")
+    record = docs.select(key, size, F.struct(F.col(id_col).alias("id"), F.col(text_col).alias("text"), size, *(F.col(c).alias(f"p_{c}") for c in payload)).alias("r"))
+    narrow = record.select("key", "size")
     total, n = narrow.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     buckets = max(1, -(-total // bucket_bytes))
-    choice = F.xxhash64(F.lit(seed), F.col("id"), F.col("hash"))
+    choice = F.xxhash64(F.lit(seed), F.col("key.id"), F.col("key.hash"))
     if buckets > 1:
-        hot = F.broadcast(durable(_hot(narrow, total, n, bucket_bytes), HOT_SHARE))
-        record = record.join(hot, record.id.eqNullSafe(hot.id) & (record.hash == hot.hash), "left").select(record.id, record.hash, "r", "parts")
+        large = durable(_large(narrow, bucket_bytes), buckets)
+        if large.count() <= BROADCAST_GROUPS:
+            record = record.join(F.broadcast(large.drop("n")), "key", "left")
+        else:
+            record = hot_join(record, large, "key", "n", n)
         number = F.monotonically_increasing_id()
-        choice = F.when(F.col("parts").isNull(), choice).otherwise(F.xxhash64(F.lit(seed), F.col("id"), F.col("hash"), number))
+        choice = F.when(F.col("parts").isNull(), choice).otherwise(F.xxhash64(F.lit(seed), F.col("key.id"), F.col("key.hash"), number))
     scattered = record.select(F.pmod(choice, F.lit(buckets)).alias("bucket"), "r")
     gathered = scattered.repartition(buckets, "bucket").sortWithinPartitions("bucket", "r.id", F.xxhash64("r.text")).groupBy("bucket").agg(F.collect_list("r").alias("rs"))
     permuted = gathered.select("bucket", F.posexplode(F.shuffle("rs", seed)).alias("place", "r")).select("bucket", F.col("place").cast("long").alias("place"), "r.*")
