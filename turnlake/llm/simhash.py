@@ -184,9 +184,12 @@ def links(prints: DataFrame) -> DataFrame:
         keys = F.explode(F.array(*_keys(F.col("open"), level))).alias("k")
         rows = rows.select("fp", *names, keys).select("fp", *names, F.col("k.key").alias(f"key{level}"), F.col("k.open").alias("open"))
         names.append(f"key{level}")
-        # Sizes are counted by the fingerprints' keys alone; keys of one fingerprint have no pair.
+        # Sizes are counted by the fingerprints' keys alone, rows of frequent keys meet a broadcast table; keys of one
+        # fingerprint have no pair.
         n_rows *= 10
-        met = durable(rows.join(rows.groupBy(*names).agg(F.count("*").alias("n")).where("n > 1"), names), n_rows)
+        key = F.struct(*names).alias("key")
+        sizes = rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").withColumn("rows", F.col("n"))
+        met = durable(hot_join(rows.withColumn("key", key), sizes, "key", "rows", n_rows).where("n > 1").drop("key"), n_rows)
         hot = met.where(F.col("n") > HOT)
         n_rows = 0 if level == LEVELS - 1 else hot.count()
         last = not n_rows
@@ -221,8 +224,8 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         large = hot_join(both, least, "u", "n", 2 * seen[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = hot_join(large, low, "u", "n", 2 * seen[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = durable(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), 2 * seen[0])
         before, seen = seen, mark(e)
         if before == seen:
@@ -238,8 +241,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     found = components(links(distinct), 10 * total)
     linked = found.unionAll(found.select("root", "root")).distinct().withColumnRenamed("node", "fp")
     rooted = distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "n")
-    low = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = durable(rooted.join(low, "root").select("fp", "root", "component_id", "n"), total)
+    low = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("prints"))
+    classes = durable(hot_join(rooted, low, "root", "prints", total).select("fp", "root", "component_id", "n"), total)
     return hot_join(prints, classes, "fp", "n", total)
 
 
