@@ -3,8 +3,8 @@
 A data set is a folder of shards in ascending id order. shard-NNNNN.ids is a flat array of unsigned
 integers (2 bytes each if the vocabulary fits, else 4); shard-NNNNN.idx holds three int64 parts: a
 head (documents, bytes per id), the document ids, and documents + 1 offsets in ids. Readers map both
-into memory. Shards come from a range partition on the document id; a shard's base (the ids of all
-shards before it) is the prefix sum of shard sizes, one number a shard.
+into memory. Shards come from a range partition on the document id, then the text's hash; a shard's base (the ids
+of all shards before it) is the prefix sum of shard sizes, one number a shard.
 
 Texts are cut before a space that follows a non-space character: the tokenizer's own pattern always
 starts a new word there. A piece is cut into the pattern's words, whose ids the tokenizers library's
@@ -119,11 +119,21 @@ def _place(store: pyarrow.fs.FileSystem, path: str, write) -> None:
     store.move(part, path)
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
-    """Write the data set into a new folder; (shard, path, n_docs, n_ids, base, width), one row a shard."""
+#: Bytes of stored input of a shard, about, and most shards.
+SHARD_BYTES, MOST_SHARDS = 256 << 20, 1 << 20
+
+
+def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Write the data set into a new folder; (shard, path, n_docs, n_ids, base, width), one row a shard. Shards are of
+    shard_bytes of stored input, about, or as many as there are shuffle partitions if that is more."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # The hash makes ranges of one id, so many null or equal ids are several shards.
+    by = [F.col("id").asc_nulls_first(), F.col("hash")]
+    least = -(-int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // shard_bytes)
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(min(least, MOST_SHARDS), *by) if least > usual else rows.repartitionByRange(*by)
+    ordered = ranged.sortWithinPartitions(*by).select("id", "text")
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -134,8 +144,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
         enc = encoder(tokenizer)
         name = f"{folder}/shard-{number:05d}"
         end = np.array([end_id], enc.kind).tobytes()
-        ids: list[int | None] = []
-        sizes: list[int] = []
+        # Eight bytes a number, whatever the shard holds.
+        ids, nulls, sizes = array("q"), array("q"), array("q")
 
         def body(f) -> None:
             for batch in batches:
@@ -143,14 +153,16 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
                     tokens = enc.encode(t.as_py())
                     f.write(tokens)
                     f.write(end)
-                    ids.append(i)
+                    if i is None:
+                        nulls.append(len(ids))
+                    ids.append(i or 0)
                     sizes.append(len(tokens) // enc.kind.itemsize + 1)
 
         _place(store, f"{name}.ids", body)
         offsets = np.concatenate([[0], np.cumsum(np.array(sizes, "<i8"))]).astype("<i8")
-        null = np.array([k for k, i in enumerate(ids) if i is None], "<i8")
+        null = np.array(nulls, "<i8")
         head = np.array([len(ids), enc.kind.itemsize, len(null)], "<i8")
-        known = np.array([0 if i is None else i for i in ids], "<i8")
+        known = np.array(ids, "<i8")
         _place(store, f"{name}.idx", lambda f: f.write(b"".join(x.tobytes() for x in (head, null, known, offsets))))
         yield pa.RecordBatch.from_pydict({"shard": [number], "path": [f"{path}/shard-{number:05d}"], "n_docs": [len(ids)], "n_ids": [int(offsets[-1])], "width": [enc.kind.itemsize]})
 
