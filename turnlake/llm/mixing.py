@@ -156,7 +156,8 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     sources = small_table(spark, [(i, r.source, r.size, float(goal[i]), parts[i]) for i, r in enumerate(found)], kind)
 
     def placed(sized: DataFrame) -> DataFrame:
-        block = F.pmod(F.xxhash64("id", F.lit(seed)), F.col("parts")).cast("int").alias("block")
+        # By id and text, so that null or repeated ids are many blocks.
+        block = F.pmod(F.xxhash64("id", "hash", F.lit(seed)), F.col("parts")).cast("int").alias("block")
         within = F.shiftrightunsigned(F.xxhash64("id", "hash", F.lit(seed + 1)), 2).alias("within")
         return sized.join(sources, sized.source.eqNullSafe(sources.source)).select(*(sized[c] for c in sized.columns), "number", "source_size", "target", block, within)
 
