@@ -58,3 +58,35 @@ def test_folders_go(spark):
     assert sharding.digest(df).count() == token_files.round_trip(df).count() == 2
     folder = common.shared_dir(spark).removeprefix("file://")
     assert not glob.glob(f"{folder}/shards-*") and not glob.glob(f"{folder}/tokens-*")
+
+
+def test_copies_of_a_small_share_are_dealt_out(spark, tmp_path, monkeypatch):
+    """A group far below 1/4096 of all rows, but larger than a bucket; with too many such groups to broadcast too."""
+    df = spark.range(30_000).selectExpr("if(id < 6, -7, id) as doc_id", "if(id < 6, repeat('long text ', 1000), 'short') as text")
+    for k, most in enumerate((1 << 16, 0)):
+        monkeypatch.setattr(sharding, "BROADCAST_GROUPS", most)
+        rows = sharding.write(df, f"{tmp_path}/{k}", bucket_bytes=20_000).select("id", "bucket", "size", "shard", "slot").collect()
+        held = Counter()
+        for r in rows:
+            held[r.bucket] += r.size
+        assert len({r.bucket for r in rows if r.id == -7}) > 1 and len(rows) == len({(r.shard, r.slot) for r in rows}) == 30_000
+        assert max(held.values()) < 3 * 20_000
+
+
+def test_null_ids_are_many_shards(spark, tmp_path):
+    import public_tokenizers
+
+    df = spark.range(4000).selectExpr("if(id % 2 = 0, null, id % 5) as doc_id", "concat('text ', id) as text").repartition(5)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    shards = token_files.write(df, f"{tmp_path}/t", path, shard_bytes=max(1, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // 20))
+    sizes = [r.n_docs for r in shards.collect()]
+    assert len(sizes) > 15 and max(sizes) < 1000
+    got = token_files.read(shards).collect()
+    ordered = sorted(got, key=lambda r: r.start)
+    assert [r.doc_id is not None for r in ordered] == sorted(r.doc_id is not None for r in ordered)
+    known = [r.doc_id for r in ordered if r.doc_id is not None]
+    assert known == sorted(known) and sum(r.doc_id is None for r in got) == 2000
+    at = 0
+    for r in ordered:
+        assert r.start == at
+        at += r.n_tokens
