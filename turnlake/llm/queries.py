@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, license_scan, mixing, prefix_trie, quality, secret_scan, sharding, simhash, spelling, tiff, token_files, toxicity
+from . import base, bpe, exact, license_scan, mixing, prefix_trie, quality, secret_scan, sharding, simhash, spelling, tiff, token_files, toxicity
 from .common import documents
 
 
@@ -75,11 +75,11 @@ QUERIES = {
     "op11_spelling": op11_spelling,
     "op12_exact_dedup": op12_exact_dedup,
     "op13_prefix_trie": op13_prefix_trie,
-}
+} | base.QUERIES
 
 #: Queries that SQL can express; the others have brute-force tests in tests/llm.
 ORACLE_SQL: dict[str, str] = {
     "op11_spelling": spelling.ORACLE,
     "op12_exact_dedup": exact.ORACLE,
     "op13_prefix_trie": prefix_trie.ORACLE,
-}
+} | base.ORACLE_SQL
