@@ -23,11 +23,11 @@ def test_random_keys_have_spans(spark):
     kinds = {
         "uuid": (lambda: str(uuid.UUID(int=rng.getrandbits(128))), 0.95),
         "0x": (lambda: "0x" + pick(HEX, 40).upper(), 0.95),
-        "sk-": (lambda: "sk-" + pick(HEX, 20), 0.8),
-        "sk_live_": (lambda: "sk_live_" + pick(LETTERS + "0123456789", 24), 0.85),
-        "base36 of 24": (lambda: pick(LOWER, 24), 0.65),
-        "base36 of 32": (lambda: pick(LOWER, 32), 0.8),
-        "no digit": (lambda: pick(LETTERS, 40), 0.35),
+        "sk-": (lambda: "sk-" + pick(HEX, 20), 0.9),
+        "sk_live_": (lambda: "sk_live_" + pick(LETTERS + "0123456789", 24), 0.9),
+        "base36 of 24": (lambda: pick(LOWER, 24), 0.85),
+        "base36 of 32": (lambda: pick(LOWER, 32), 0.9),
+        "no digit": (lambda: pick(LETTERS, 40), 0.9),
     }
     shares = {k: found(spark, [make() for _ in range(150)]) for k, (make, _) in kinds.items()}
     assert all(shares[k] >= least for k, (_, least) in kinds.items()), shares
