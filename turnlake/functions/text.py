@@ -114,6 +114,20 @@ def sentence(text: Column) -> Column:
     return F.when(capital.rlike(r"[.!?]$") | (capital == ""), capital).otherwise(F.concat(capital, F.lit(".")))
 
 
+def joined_sentences(texts: Column) -> Column:
+    """Texts of an array in a row: a text that begins with a capital letter closes the one before with a stop, if
+    that has no mark at its end; empty texts drop out."""
+    kept = F.filter(F.transform(texts, lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")), lambda t: t != "")
+    first = lambda t: F.substring(t, 1, 1)
+    capital = lambda t: (F.upper(first(t)) == first(t)) & (F.lower(first(t)) != first(t))
+
+    def piece(all_: Column):
+        before = lambda i: F.when(i == 0, F.lit("")).when(~F.get(all_, i - 1).rlike("[.?!,:;]$") & capital(F.get(all_, i)), F.lit(". ")).otherwise(F.lit(" "))
+        return F.array_join(F.transform(all_, lambda t, i: F.concat(before(i), t)), "")
+
+    return F.get(F.transform(F.array(kept), piece), F.lit(0))
+
+
 def query_value(url: Column, key: str) -> Column:
     """A query parameter's value, null without it."""
     return F.nullif(F.regexp_extract(url, rf"[?&]{key}=([^&#]+)", 1), F.lit(""))

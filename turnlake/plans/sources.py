@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from turnlake.operators import intervals as I
@@ -105,6 +106,30 @@ def src_metadata_cases(spark, d):
     return R.case_of(records, known, ["case_id", "case"]).select("o_orderkey", "case_id")
 
 
+DIALECTS = """WITH o AS (SELECT o_custkey AS f, o_orderkey AS k, 'data' || CAST(o_orderkey % 20 AS VARCHAR) AS c, CAST(o_orderkey % 7 AS VARCHAR) AS m, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+ x AS (SELECT *, CASE WHEN f % 3 = 0 AND k % 4 <> 0 THEN 0 WHEN f % 3 = 1 AND i = 1 THEN NULL WHEN f % 3 = 1 AND k % 5 <> 0 THEN 1 ELSE 5 END AS lv FROM o), b AS (SELECT f, MIN(lv) AS lv FROM x GROUP BY f)
+ SELECT x.f AS file, c AS case_id, CAST(x.lv AS INTEGER) AS dialect, ARG_MAX(CASE WHEN x.lv = 5 THEN m || ' ' || c ELSE m END, k) AS spk FROM x JOIN b ON x.f = b.f AND x.lv = b.lv GROUP BY x.f, c, x.lv"""
+
+
+@query("src_metadata_dialects", DIALECTS)
+def src_metadata_dialects(spark, d):
+    """A metadata file a customer, a line an order: JSON, a table or free text, with free lines in all of them."""
+    k, file = F.col("o_orderkey"), F.col("o_custkey")
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    orders = read(spark, d, "orders").select("o_custkey", "o_orderkey", place.alias("i"), F.concat(F.lit("data"), (k % 20).cast("string")).alias("case"), (k % 7).cast("string").alias("spk"))
+    # With a comma it would be a table under its first line.
+    free = F.concat(F.lit("spk: "), "spk", F.lit(" "), "case")
+    value = (
+        F.when((file % 3 == 0) & (k % 4 != 0), F.to_json(F.struct(F.col("case").alias("case_id"), "spk")))
+        .when((file % 3 == 1) & (F.col("i") == 1), F.lit("case_id | spk"))
+        .when((file % 3 == 1) & (k % 5 != 0), F.concat_ws(" | ", "case", "spk"))
+        .otherwise(free)
+    )
+    known = spark.range(20).select(F.concat(F.lit("data"), F.col("id").cast("string")).alias("case_id"))
+    found = R.metadata(orders.select(file.alias("file"), k.alias("line_no"), value.alias("value")), known, ["case_id", "case"])
+    return found.select("file", "case_id", "dialect", F.col("record")["spk"].alias("spk"))
+
+
 @query("src_predictions", "SELECT 'rec_' || CAST(user_id % 4 AS VARCHAR) AS data_name, CASE WHEN event_id % 2 = 0 THEN 'x' ELSE CAST(user_id % 4 AS VARCHAR) END AS speaker, event_id * 1000000 AS start_us, event_id * 1000000 + 500000 AS end_us, event_type AS text, event_id % 3 = 0 AS was_retried FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0")
 def src_predictions(spark, d):
     e = F.col("event_id")

@@ -202,3 +202,15 @@ def sc_quality_with_reference(spark, d):
 def sc_folders_and_buckets(spark, d):
     name = F.element_at(F.array(*map(F.lit, ("vif", "coi_mo", "dustin", "another"))), (F.col("p_partkey") % 4 + 1).cast("int"))
     return read(spark, d, "part").select("p_partkey", S.speaker_folder(F.col("p_size")).alias("folder"), S.class_bucket(name).alias("bucket"))
+
+
+SENTENCES = """WITH t AS (SELECT conv_id, list(trim(text, chr(9) || chr(10) || chr(13) || ' ') ORDER BY turn) AS w FROM conversations WHERE regexp_matches(COALESCE(text, ''), '\\S') GROUP BY conv_id)
+SELECT conv_id, array_to_string(list_transform(w, lambda x, i: CASE WHEN i = 1 THEN '' WHEN NOT regexp_matches(w[i - 1], '[.?!,:;]$') AND upper(x[1]) = x[1] AND lower(x[1]) <> x[1] THEN '. ' ELSE ' ' END || x), '') AS said FROM t"""
+
+
+@query("str_joined_sentences", SENTENCES)
+def str_joined_sentences(spark, d):
+    """A conversation's turns as one text."""
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"])
+    c = read(spark, d, "conversations").groupBy("conv_id").agg(texts.alias("texts"))
+    return c.select("conv_id", X.joined_sentences(F.col("texts")).alias("said")).where("said <> ''")

@@ -4,6 +4,8 @@ Times become microseconds."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,13 +135,50 @@ def word_runs(line: str) -> Column:
 def case_of(records: DataFrame, known: DataFrame, names: list[str], line: str = "value") -> DataFrame:
     """case_id of each record: under one of the names, else the first known id (by id) that stands in its
     line as a word. The words of the lines meet the known ids by an equi-join, however many there are."""
-    named = records.withColumn("_named", first_filled("record", names))
+    named = records.withColumn("_named", first_filled("record", names) if names else F.lit(None).cast("string"))
     wanted = named.where("_named is null").select(F.col(line).alias("_line")).distinct()
     met = wanted.select("_line", F.explode(word_runs("_line")).alias("case_id")).join(known.select("case_id").distinct(), "case_id")
     found = met.groupBy("_line").agg(F.min("case_id").alias("_found"))
     return named.join(found, named[line] == found["_line"], "left").withColumn("case_id", F.coalesce("_named", "_found")).drop("_named", "_found", "_line")
 
 
+#: Delimiters of a metadata table, in the order in which they are tried.
+DELIMITERS = ("|", "\t", ",", ";")
+
+
+def _record_of(entries: str) -> Column:
+    """A map of an array of structs (k, v), in which the last of a key counts."""
+    return F.expr(f"map_from_entries(filter({entries}, (x, i) -> not exists(slice({entries}, i + 2, size({entries})), y -> y.k = x.k)))")
+
+
+def metadata(lines: DataFrame, known: DataFrame, names: list[str], key: str = "file") -> DataFrame:
+    """Records of metadata files (lines: key, line_no, value) by case: key, case_id, dialect, record. A file is read in
+    the first dialect that gives it a case: JSON lines; a table under its first line, by the first of DELIMITERS
+    that works; or lines that have a known id (case_id) as a word, with their k=v or k:v tokens. The last line of a
+    case counts. Lines of other columns than the header, comments and lines that are no JSON drop out."""
+    said = lines.select(key, "line_no", F.trim("value").alias("value")).where("value <> ''")
+    columns = [key, "line_no", "value", "dialect", "record"]
+    objects = said.where(F.col("value").startswith("{")).withColumn("record", F.from_json("value", "map<string,string>")).where("record is not null").withColumn("dialect", F.lit(0)).select(*columns)
+    heads = said.groupBy(F.col(key).alias("_file")).agg(F.min_by("value", "line_no").alias("_head"), F.min("line_no").alias("_first"))
+    under = said.join(heads, said[key].eqNullSafe(heads["_file"])).where("line_no > _first and not startswith(value, '#')")
+    tables = None
+    for i, d in enumerate(DELIMITERS, 1):
+        split = lambda c: F.transform(F.split(c, re.escape(d)), lambda x: F.trim(x))  # noqa: B023, E731
+        rows = under.where(F.contains("_head", F.lit(d)) & F.contains("value", F.lit(d))).withColumn("_names", split(F.col("_head"))).withColumn("_parts", split(F.col("value")))
+        rows = rows.where("size(_names) = size(_parts)").withColumn("_entries", F.expr("zip_with(_names, _parts, (k, v) -> named_struct('k', k, 'v', v))"))
+        made = rows.withColumn("record", _record_of("_entries")).withColumn("dialect", F.lit(i)).select(*columns)
+        tables = made if tables is None else tables.unionByName(made)
+    told = case_of(objects.unionByName(tables), known, names)
+    token = "trim(t)"
+    entry = lambda sign: f"named_struct('k', trim(ltrim('#', trim(substring_index({token}, '{sign}', 1)))), 'v', trim(substr({token}, instr({token}, '{sign}') + 1)))"
+    free = said.withColumn("_entries", F.expr(f"transform(filter(split(value, '[|,;]'), t -> {token} <> '' and (contains(t, '=') or contains(t, ':'))), t -> if(contains(t, '='), {entry('=')}, {entry(':')}))"))
+    loose = case_of(free.withColumn("record", _record_of("_entries")).withColumn("dialect", F.lit(len(DELIMITERS) + 1)).select(*columns), known, [])
+    every = told.select(*columns, "case_id").unionByName(loose.select(*columns, "case_id")).where("case_id is not null")
+    first = every.groupBy(F.col(key).alias("_file")).agg(F.min("dialect").alias("_best"))
+    best = every.join(first, every[key].eqNullSafe(first["_file"])).where("dialect = _best")
+    return best.groupBy(key, "case_id").agg(F.first("dialect").alias("dialect"), F.max_by("record", "line_no").alias("record"))
+
+
 def predictions(rows: DataFrame) -> DataFrame:
     """Rows of a predictions CSV (all text): empty texts and bad times drop out, a missing speaker comes
     from the data name."""
