@@ -41,8 +41,8 @@ RUN = re.compile(rb"(?:[a-z]|\xc3[\x80-\xbf])+")
 #: One run of so many has a code point deleted.
 ODD = 97
 LEAST_LETTERS, LEAST_COUNT, RATIO = 5, 3, 2
-#: Words that a task holds, and bytes of a text that are searched at a time.
-HELD, PIECE = 200_000, 1 << 20
+#: Bytes that the words a task holds are charged, and bytes of a text that are searched at a time.
+HELD, PIECE = 32 << 20, 1 << 20
 #: Primes and bases of the two rolling hashes (fixed values).
 PRIMES = ((1 << 31) - 1, (1 << 31) - 19)
 BASES = (1_000_003, 998_244_353)
@@ -79,6 +79,7 @@ def _runs(low: bytes) -> Iterator[list[bytes]]:
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     worker_state(("spelling",), dict)  # nothing of its own; what an earlier operator kept goes
     held: dict[bytes, int] = {}
+    charged = 0
 
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in held], pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
@@ -93,10 +94,13 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 for run, n in Counter(runs).items():
                     word = _deleted(run, prefix)
                     if len(word) - word.count(b"\xc3") >= LEAST_LETTERS:
+                        if word not in held:
+                            charged += 140 + len(word)
                         held[word] = held.get(word, 0) + n
-                if len(held) > HELD:
+                if charged > HELD:
                     yield out()
                     held.clear()
+                    charged = 0
     yield out()
 
 
