@@ -55,6 +55,8 @@ def _large(records: DataFrame, bucket_bytes: int) -> DataFrame:
 
 #: Large groups that are broadcast, some 50 bytes each; with more, only those of a great share of the rows are.
 BROADCAST_GROUPS = 1 << 16
+#: Buckets whose bases are broadcast.
+BROADCAST_BUCKETS = 1 << 20
 
 
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", payload: tuple[str, ...] = (), shards: int = SHARDS, seed: int = SEED, bucket_bytes: int | None = None) -> DataFrame:
@@ -86,7 +88,8 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     counts = written.groupBy("bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     bases = durable(counts.select("bucket", F.coalesce(before, F.lit(0)).alias("base")), buckets)
-    at = written.join(bases, "bucket").withColumn("at", F.col("base") + F.col("place"))
+    # Sixteen bytes a bucket; beyond BROADCAST_BUCKETS texts travel once more.
+    at = written.join(F.broadcast(bases) if buckets <= BROADCAST_BUCKETS else bases, "bucket").withColumn("at", F.col("base") + F.col("place"))
     placed = at.withColumn("shard", F.expr(f"((at + 1) * {shards} - 1) div {max(1, n)}"))
     return placed.withColumn("slot", F.expr(f"at - shard * {n} div {shards}")).drop("at", "base").withColumn("shard", F.col("shard").cast("int"))
 
