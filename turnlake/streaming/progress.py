@@ -18,7 +18,9 @@ OUT = "session string, stage string, done long, total long, elapsed_us long, lef
 
 def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     def row(start: int, at: int, done: int, total: int, out: bool) -> pd.DataFrame:
-        left = (at - start) * (total - done) // done if done else None
+        # More done than the total tells leaves less than nothing, cut toward zero like SQL's integer division.
+        ahead = abs(total - done) * (at - start) // done if done else None
+        left = -ahead if done > total else ahead
         return pd.DataFrame({"session": [key[0]], "stage": [key[1]], "done": [done], "total": [total], "elapsed_us": [at - start], "left_us": pd.array([left], "Int64"), "timed_out": [out]})
 
     if state.hasTimedOut:
