@@ -1,12 +1,15 @@
 """Byte-level BPE by merge replay over a corpus block, and decoding.
 
 Texts are cut into matches of the tokenizer's pattern. The distinct new matches of a block of texts
-form the replay's corpus: an inverted index maps every adjacent token pair to the word positions
-where it stands, and the merges that occur are applied in rank order, each at all its places at
-once. A merge touches only the pairs left and right of a place, which leave and enter the index.
-Since a byte-level merge order is by rank inside each word, this equals encoding word by word.
+form the replay's corpus. Words of up to SHORT bytes replay in rounds over one flat array: in a round every
+word applies its merge of least rank, the leftmost of equals, all words at once; ranks of the pairs left and
+right of the places are looked up in one sorted table. For longer words an inverted index maps every
+adjacent token pair to the word positions where it stands, and the merges that occur are applied in rank
+order, each at all its places at once. A merge touches only the pairs left and right of a place, which
+leave and enter the index. Since a byte-level merge order is by rank inside each word, both equal encoding
+word by word.
 
-Words are linked lists over one flat array, so a word of any length costs n log n. What a word turns
+In the index words are linked lists, so a word of any length costs n log n. What a word turns
 into (ids, their decimal form, its decoded bytes) stays in a cache of bounded bytes; a text's result is
 the concatenation over its words. No shuffle; memory is bounded by the block and the cache.
 
@@ -40,6 +43,8 @@ BLOCK, REPLAY = 300_000, 150_000
 #: The rank of pairs that no merge joins.
 NONE = 1 << 40
 _SPLIT = regex.compile(public_tokenizers.PATTERN)
+#: Bytes of a word that replays in rounds; their number is that of its merges.
+SHORT = 64
 #: Entries of the table of merges at most; it is only a cache.
 MERGES = 150_000
 
@@ -57,6 +62,52 @@ class Coder:
         #: Pair (left << 20 | right) -> rank of the merged token, or NONE.
         self.merge: dict[int, int] = {}
         self.cache = Cache(40 << 20, 16 << 20)
+        self.decimal = {r: str(r) for r in self.token}
+        # All pairs of tokens that a merge joins, in order, and the ranks they turn into.
+        ranks = self.rank
+        joined = sorted((ranks[t[:k]] << 20 | ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks)
+        self.pairs, self.joins = np.array([p for p, _ in joined] + [NONE << 20], np.int64), np.array([r for _, r in joined] + [NONE], np.int64)
+
+    def _join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of merged pairs, or NONE."""
+        pair = left << 20 | right
+        at = np.searchsorted(self.pairs, pair)
+        return np.where(self.pairs[at] == pair, self.joins[at], NONE)
+
+    def rounds(self, words: list[bytes]) -> list[list[int]]:
+        """Token ids of each word, none of them empty: every round merges one place in each word."""
+        out: list[list[int]] = [[]] * len(words)
+        if not words:
+            return out
+        line = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        lengths, live = np.fromiter(map(len, words), np.int64, len(words)), np.arange(len(words))
+        ends = np.cumsum(lengths)
+        ids, ranks = self.single[line], np.append(self.bytes_rank[line[:-1] << 8 | line[1:]], NONE)
+        ranks[ends - 1] = NONE
+        while True:
+            least = np.minimum.reduceat(ranks, ends - lengths)
+            over = least == NONE
+            if over.any():
+                flags = np.repeat(over, lengths)
+                flat, cuts = ids[flags].tolist(), np.cumsum(lengths[over]).tolist()
+                for w, a, b in zip(live[over].tolist(), [0, *cuts], cuts, strict=False):
+                    out[w] = flat[a:b]
+                ids, ranks, lengths, live, least = ids[~flags], ranks[~flags], lengths[~over], live[~over], least[~over]
+                if not len(live):
+                    return out
+            word = np.repeat(np.arange(len(live)), lengths)
+            hits = np.flatnonzero(ranks == least[word])
+            of = word[hits]
+            places = hits[np.append(True, of[1:] != of[:-1])]  # the leftmost in each word
+            ids[places] = least
+            keep = np.ones(len(ids), bool)
+            keep[places + 1] = False
+            ids, ranks, lengths = ids[keep], ranks[keep], lengths - 1
+            ends, places = np.cumsum(lengths), places - np.arange(len(places))
+            ranks[places] = NONE
+            before, after = places[places > ends - lengths] - 1, places[places < ends - 1]
+            touched = np.concatenate([before, after])
+            ranks[touched] = self._join(ids[touched], ids[touched + 1])
 
     def _merged(self, pair: int) -> int:
         if len(self.merge) > MERGES:
@@ -149,8 +200,12 @@ class Coder:
                 room -= len(words[end])
                 end += 1
             block = words[at:end]
-            for w, ids in zip(block, self.replay([w.encode("utf-8", "surrogatepass") for w in block]), strict=True):
-                line, decoded = ",".join(map(str, ids)), self.decode(ids)
+            coded = [w.encode("utf-8", "surrogatepass") for w in block]
+            short, long = self.rounds([c for c in coded if len(c) <= SHORT]), [c for c in coded if len(c) > SHORT]
+            found = iter(short), iter(self.replay(long) if long else [])
+            for w, c in zip(block, coded, strict=True):
+                ids = next(found[len(c) > SHORT])
+                line, decoded = ",".join(map(self.decimal.__getitem__, ids)), self.decode(ids)
                 self.cache.add(w, (len(ids), line, decoded), 330 + 2 * len(w) + len(line) + len(decoded))
             at = end
 
