@@ -8,7 +8,7 @@ of all shards before it) is the prefix sum of shard sizes, one number a shard.
 
 Texts are cut before a space that follows a non-space character: the tokenizer's own pattern always
 starts a new word there. A piece is cut into the pattern's words, whose ids the tokenizers library's
-model gives; both stay in caches of bounded bytes and concatenate to those of the text. (Giving the
+model gives; words of Latin letters, alone or before a mark, need no pattern; both stay in caches of bounded bytes and concatenate to those of the text. (Giving the
 library whole pieces instead cost half as much again.)
 
 Folders are paths, file: URIs or URIs of any store that Arrow's file systems open; only local files are
@@ -49,6 +49,25 @@ _BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not
 _SPACE = chr(_BYTE_LETTERS[0x20])
 
 
+#: A word of Latin letters, and one of the marks that may end it.
+_MARKS = ".,;:!?"
+_PLAIN = re.compile(f"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+[{_MARKS}]?").fullmatch
+
+
+class _Space(Exception):
+    """A piece that is empty or ends in white space."""
+
+
+class _Pieces(dict):
+    """Ids of pieces; one that is not there is made."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.make(piece)
+
+
 class Encoder:
     """Ids of whole texts as bytes of a fixed-width unsigned type."""
 
@@ -59,8 +78,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype(kind or ("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"))
-        self.code = {2: "H", 4: "I"}[self.kind.itemsize]
+        most = max(self.tokenizer.get_vocab().values(), default=0)
+        #: Bytes of each id.
+        self.packed = [k.to_bytes(self.kind.itemsize, "little") for k in range(most + 1)]
         self.pieces, self.words = Cache(64 << 20, 32 << 20), Cache(8 << 20, 4 << 20)
+        self.pieces.map = _Pieces(self._piece)
 
     def _word(self, word: str) -> bytes:
         """Ids of one match of the tokenizer's pattern."""
@@ -73,32 +95,45 @@ class Encoder:
         return ids
 
     def _ids(self, letters: str) -> bytes:
-        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+        return b"".join([self.packed[t.id] for t in self.tokenizer.model.tokenize(letters)])
 
     def _split(self, piece: str) -> bytes:
-        if piece.isascii() and piece[1:].isalpha() and piece[0] == " ":  # one word, without odd bytes but the space
-            return self._ids(_SPACE + piece[1:])
         return b"".join(map(self._word, _PATTERN.findall(piece)))
 
+    def _piece(self, p: str) -> bytes:
+        """Ids of a new piece behind its space: a word of Latin letters, alone or before a mark, needs no pattern."""
+        if not p or p[-1].isspace():
+            raise _Space
+        found = _PLAIN(p)
+        if not found:
+            ids = self._split(" " + p)
+        elif p[-1] in _MARKS:
+            ids = self.pieces.map[p[:-1]] + self._word(p[-1])
+        elif p.isascii():
+            ids = self._ids(_SPACE + p)
+        else:
+            ids = self._ids((" " + p).encode().decode("latin-1").translate(_BYTE_LETTERS))
+        self.pieces.add(p, ids, 140 + 2 * len(p) + len(ids))
+        return ids
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         self.pieces.room()
         first, *pieces = text.split(" ")
-        known = self.pieces.map
-        new = set(pieces).difference(known)
-        end = b""
-        # Pieces that end in white space are never kept, so a text with a space after white space, where no
-        # word need begin, shows here.
-        if first[-1:].isspace() or any(not p or p[-1].isspace() for p in new):
+        known, end = self.pieces.map.__getitem__, b""
+        try:
+            if first[-1:].isspace():
+                raise _Space
+            body = b"".join(map(known, pieces))
+        except _Space:
+            # Pieces that end in white space are never kept, so a text with a space after white space, where no
+            # word need begin, shows here.
             first, *pieces = _CUT.split(text)
             if pieces:
                 end = self._split(" " + pieces.pop())
-            new = set(pieces).difference(known)
-        for p in new:
-            ids = self._split(" " + p)
-            self.pieces.add(p, ids, 140 + 2 * len(p) + len(ids))
-        return self._split(first) + b"".join(map(known.__getitem__, pieces)) + end
+            body = b"".join(map(known, pieces))
+        return self._split(first) + body + end
 
 
 def encoder(path: str) -> Encoder:
