@@ -222,16 +222,17 @@ def scan_summary(all_parents: DataFrame, all_samples: DataFrame) -> DataFrame:
 
 
 def export_manifests(path: str, all_parents: DataFrame, all_samples: DataFrame, stages: dict[str, DataFrame]) -> None:
-    """All samples, a summary per source partition, and the stages' manifests by stage and split."""
+    """All samples, a summary per source partition, and the stages' manifests by stage and split. The rows of
+    samples repeat their names and are several times as large as the tables they come from, so they are gzipped."""
     from turnlake.sources import sinks as K
 
-    K.write_jsonl(all_samples, f"{path}/unified_manifest")
+    K.write_jsonl(all_samples, f"{path}/unified_manifest", compression="gzip")
     K.write_jsonl(scan_summary(all_parents, all_samples), f"{path}/scan_summary")
     whole = None
     for name, rows in stages.items():
         tagged = rows.withColumn("stage", F.lit(name)).withColumnRenamed("part", "split")
         whole = tagged if whole is None else whole.unionByName(tagged)
-    K.write_manifests(whole, f"{path}/stages")
+    K.write_manifests(whole, f"{path}/stages", compression="gzip")
 
 
 def sessions(recordings: DataFrame, turns: DataFrame, overlaps: DataFrame, source: str, max_speakers: int = 4, fixed_tier: bool = False) -> DataFrame:

@@ -66,17 +66,17 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.repartition("file_id").sortWithinPartitions("file_id", "start_us").select("file_id", "value").write.partitionBy("file_id").text(path)
 
 
-def write_jsonl(rows: DataFrame, path: str, by: list[str] | None = None) -> None:
-    (rows.write.partitionBy(*by) if by else rows.write).json(path)
+def write_jsonl(rows: DataFrame, path: str, by: list[str] | None = None, compression: str = "none") -> None:
+    (rows.write.partitionBy(*by) if by else rows.write).json(path, compression=compression)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.option("header", True).csv(path)
 
 
-def write_manifests(samples: DataFrame, path: str) -> None:
+def write_manifests(samples: DataFrame, path: str, compression: str = "none") -> None:
     """Samples by stage and split."""
-    samples.write.partitionBy("stage", "split").json(path)
+    samples.write.partitionBy("stage", "split").json(path, compression=compression)
 
 
 def write_report(row: DataFrame, path: str) -> None:
